@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotry.llm import lines, mixing, packing
+from depotry.llm import lines, lm, mixing, packing
+from depotry.llm.shared import crc_of_id
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 MIX_WEIGHTS = {"src0": 2.0, "src1": 0.5, "src2": 3.0}
@@ -32,7 +33,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumnRenamed("kept", "kept_sha256")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_of_id("doc_id") % 10 == 0).alias("held_out"))
+    model = lm.fit(docs.where(~F.col("held_out")))
+    return lm.score(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_lm_scoring": op10_lm_scoring,
     "op2_packing": op2_packing,
     "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
