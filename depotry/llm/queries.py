@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotry.llm import lines, lm, mixing, packing
+from depotry.llm import jaccard, lines, lm, mixing, packing
 from depotry.llm.shared import crc_of_id
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +24,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, max_tokens=2048, end_id=0)
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SEED)
 
@@ -42,6 +46,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
     "op2_packing": op2_packing,
+    "op3_jaccard": op3_jaccard,
     "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
 }
