@@ -30,40 +30,98 @@ from pyspark.sql import functions as F
 from depotry.llm.shared import Workspace, once
 from depotry.llm.textscan import text_buffers
 
-WORD_CACHE = 200_000
-LONGEST_CACHED = 48
+#: Words and stems that a worker remembers, and the bytes of the longest one.
+WORDS_KEPT, STEMS_KEPT, LONGEST_KEPT = 250_000, 250_000, 48
+#: Stems coded in one call, bytes of text coded together.
+JOINED, BLOCK = 500, 1 << 20
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordCoder:
     """Ids of texts, coded by words between ASCII white space, which the tokenizer drops.
 
-    A bounded table remembers words already coded; a text's ids are its words' ids in order.
+    A text's ids are its words' ids in order, and a word's are its stem's (A-Z lower-cased, as
+    the tokenizer does) and its closing punctuation's, since a run of letters or digits never
+    joins what follows. Bounded tables remember words and stems; stems of letters alone are
+    coded many at a time, told apart by the mark that ends each of them.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def _code(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+    def _each(self, parts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def ids(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words, known = text.split(), self.known
-        missing = [w for w in set(words) if w not in known]
-        if missing:
-            if len(known) > WORD_CACHE:
-                known.clear()
-                missing = list(set(words))
-            known.update(zip(missing, self._code(missing), strict=True))
-        out = b"".join([known[w] for w in words])
-        for w in missing:
-            if len(w) > LONGEST_CACHED:
-                del known[w]
-        return out
+    def _code(self, parts: list[bytes]) -> None:
+        """Add the ids of new stems."""
+        plain = [p for p in parts if p.decode().isalpha()]
+        for i in range(0, len(plain), JOINED):
+            some = plain[i : i + JOINED]
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) == len(some):
+                coded = [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+            else:
+                coded = self._each(some)
+            self.stems.update(zip(some, coded, strict=True))
+        rest = [p for p in parts if not p.decode().isalpha()]
+        self.stems.update(zip(rest, self._each(rest), strict=True))
+
+    def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words not yet known; those of ordinary length are remembered."""
+        if len(self.stems) > STEMS_KEPT:
+            self.older, self.stems = self.stems, {}
+        cut = {}
+        for w in new:
+            if b"<|" in w:  # may be a special token, which is told by its letters' case
+                cut[w] = (w, b"")
+                continue
+            low = w.lower()
+            stem = low.rstrip(PUNCTUATION)
+            cut[w] = (stem, low[len(stem) :]) if stem and stem[-1:].isalnum() else (low, b"")
+        stems, older = self.stems, self.older
+        need = {p for pair in cut.values() for p in pair if p and p not in stems}
+        for p in [p for p in need if p in older]:
+            stems[p] = older[p]
+            need.discard(p)
+        self._code(list(need))
+        coded = {w: stems[a] + (stems[b] if b else b"") for w, (a, b) in cut.items()}
+        for p in need:
+            if len(p) > LONGEST_KEPT:
+                del stems[p]
+        return coded
+
+    def blocks(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+        """Ids of each text of a column's buffers."""
+        i, n = 0, len(offsets) - 1
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, "right")) - 1)
+            yield from self.ids([data[offsets[r] : offsets[r + 1]].tobytes() for r in range(i, min(j, n))])
+            i = j
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        if len(self.words) > WORDS_KEPT:
+            self.words.clear()
+        split = [t.split() for t in texts]
+        new = set().union(*split).difference(self.words)
+        coded = self._learn(new) if new else {}
+        self.words.update((w, c) for w, c in coded.items() if len(w) <= LONGEST_KEPT)
+        long = {w: c for w, c in coded.items() if len(w) > LONGEST_KEPT}
+        if not long:
+            known = self.words
+            return [b"".join([known[w] for w in ws]) for ws in split]
+        return [b"".join([long[w] if w in long else self.words[w] for w in ws]) for ws in split]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int, with_ids: bool = False) -> DataFrame:
@@ -75,8 +133,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int,
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             ids, columns = batch.column(0).to_pylist(), [[] for _ in range(6)]
-            for r, doc in enumerate(ids):
-                coded = coder.ids(data[offsets[r] : offsets[r + 1]].tobytes()) + end
+            for doc, coded in zip(ids, coder.blocks(data, offsets), strict=True):
+                coded += end
                 for k, at in enumerate(range(0, len(coded), 4 * max_tokens)):
                     part = coded[at : at + 4 * max_tokens]
                     for c, v in zip(columns, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<i4") if with_ids else None), strict=True):
