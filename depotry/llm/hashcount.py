@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from depotry.llm.shared import get_array, put_array, shard_starts
 
 #: Keys that a task holds before it sends what it has.
-HELD = 2_000_000
+HELD = 1_000_000
 PARTS_SCHEMA = "shard int, once binary, more binary, times binary"
 _PARTS = pa.schema([("shard", pa.int32()), ("once", pa.binary()), ("more", pa.binary()), ("times", pa.binary())])
 

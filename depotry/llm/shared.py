@@ -22,6 +22,10 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that Spark sends a Python worker at once. Texts are long, so its default would hold tens of MB on both sides.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _CACHE: dict[tuple[str, str], np.ndarray] = {}
 
 
@@ -42,13 +46,18 @@ def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class Workspace:
-    """One run's own sub-folder of the shared folder; removed when the driver ends."""
+    """One run's own sub-folder of the shared folder; removed when the driver ends.
+
+    Also lowers the session's Arrow batches to ``BATCH_ROWS`` rows if they are larger.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.uri = spark, f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         fs, path = _fs(self.uri)
         fs.create_dir(path, recursive=True)
         atexit.register(self.remove)
+        if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+            spark.conf.set(_BATCH, str(BATCH_ROWS))
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written as Parquet and read again: cuts the lineage, survives lost executors."""
