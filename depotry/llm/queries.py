@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotry.llm import jaccard, lines, lm, mixing, packing, secret_scan
+from depotry.llm import jaccard, lines, lm, mixing, packing, quality, rules, secret_scan
 from depotry.llm.shared import crc_of_id
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,13 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(crc_of_id("doc_id") % 4 != 2))
+    scored = quality.score(docs.withColumn("held_out", crc_of_id("doc_id") % 4 == 2), model, threshold=0.7)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("found", lambda s: s["kind"] <= 2)
@@ -35,6 +42,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.span_text(base).cast("binary"), 256).alias("base_sha256"), secret_scan.span_text(F.col("found")).alias("spans"))
 
 
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(table(spark, sf_dir, "documents")).drop("distance2")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SEED)
 
@@ -55,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_jaccard": op3_jaccard,
     "op5_secrets": op5_secrets,
+    "op4_quality": op4_quality,
+    "op6_rules": op6_rules,
     "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
 }

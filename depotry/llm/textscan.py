@@ -19,6 +19,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 _LOWER += np.uint64(1)
+_EXACT = np.arange(1, 257, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
 
@@ -68,18 +69,18 @@ def word_bounds(data: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, A-Z lower-cased."""
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hash of each word, with A-Z lower-cased if ``fold``."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lens = ends - starts
     begin = np.concatenate(([0], np.cumsum(lens)[:-1]))
     rel = np.arange(int(lens.sum())) - np.repeat(begin, lens)
-    values = _LOWER[data[~_SPACE[data]]] * _powers(int(lens.max()))[rel]
+    values = (_LOWER if fold else _EXACT)[data[~_SPACE[data]]] * _powers(int(lens.max()))[rel]
     return mix64(np.add.reduceat(values, begin) + lens.astype(np.uint64))
 
 
-def _segments(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+def segments(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(first row, last row + 1, first byte, last byte + 1); one text longer than SEGMENT comes in several."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -103,14 +104,14 @@ def _segments(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int,
         i += 1
 
 
-def scan(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def scan(column: pa.Array, fold: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes, offsets of the rows in them) for runs of whole texts."""
     data, offsets = text_buffers(column)
     parts: list[np.ndarray] = []
-    for i, j, a, b in _segments(offsets, data):
+    for i, j, a, b in segments(offsets, data):
         piece, at = data[a:b], offsets[i : j + 1] - a
         starts, ends = word_bounds(piece, at)
-        hashes = hash_words(piece, starts, ends)
+        hashes = hash_words(piece, starts, ends, fold)
         if j - i > 1 or (a == offsets[i] and b == offsets[j]):
             yield i, hashes, np.searchsorted(starts, at)
             continue
