@@ -11,11 +11,12 @@ Two texts link when |A n B| * den >= num * |A u B| for their sets of n-word shin
    l; a partner with another l shares at least the smaller. Each document picks its l by
    estimated cost: postings that a longer prefix meets against verifications that a stricter
    requirement saves.
-4. Candidates are verified exactly. First every document against one leader of the buckets
+4. Candidates are verified exactly. First every document against a few leaders of the buckets
    (shingles) of its prefix. Then, only where a bucket still holds documents of different
    groups, those outside the bucket's largest group against all others in it; a pair inside a
-   group would tell nothing new. An upper bound on the overlap (repeated shingles and sizes) is
-   part of the join.
+   group would tell nothing new. Bounds are part of the join: repeated shingles and sizes bound
+   the overlap, and the parity signatures of two sets (each shingle flips one of ``BITS`` bits)
+   differ in no more bits than the sets differ in shingles.
 5. Connected components of the verified links.
 
 Nothing is capped: buckets, partners and candidates are joined in full.
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotry.llm.components import components
@@ -46,6 +47,9 @@ SHARD = 6 << 20
 MATCHES = (1, 2, 3, 4, 6, 8)
 #: Cost of verifying one candidate, in postings for each shingle of the document.
 VERIFY = 0.05
+#: Leaders of a bucket, and how many of them a document is verified against at first.
+LEADERS, TRIED = 7, 3
+BITS = 512
 #: Sizes are grouped in steps of a factor 2 ** (1 / 32) for the join.
 STEPS = 32
 
@@ -71,8 +75,14 @@ def count_repeated(docs: DataFrame, work: Workspace, n: int) -> Shards:
     return Shards(folder, {r["shard"]: r["n"] for r in made.collect()}, shards)  # a row for each shard
 
 
+def parity(tokens: np.ndarray) -> list[int]:
+    """Bit b is the parity of the tokens whose lowest bits are b."""
+    odd = np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def document_sets(docs: DataFrame, repeated: Shards, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, fp, tokens, times): set size and fingerprint; the repeated shingles where enough of them are."""
+    """(doc_id, n, fp, tokens, times, sig): set size and fingerprint; the repeated shingles where enough of them are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -89,12 +99,12 @@ def document_sets(docs: DataFrame, repeated: Shards, n: int, num: int, den: int)
                     t = times[at : at + len(s)]
                     at += len(s)
                     keep = len(s) > 0 and den * np.count_nonzero(t) >= num * len(s)
-                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[t > 0].tobytes() if keep else None, t[t > 0].tobytes() if keep else None))
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            columns = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n", "fp", "tokens", "times"])
+                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[t > 0].tobytes() if keep else None, t[t > 0].tobytes() if keep else None, parity(s) if keep else None))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            columns = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n", "fp", "tokens", "times", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp binary, tokens binary, times binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp binary, tokens binary, times binary, sig array<long>")
 
 
 def choose_matches(times: np.ndarray, size: int, least: int, unique: int) -> tuple[int, int]:
@@ -129,8 +139,13 @@ def postings(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _possible(num: int, den: int, a: str, b: str) -> str:
-    """Overlap and union bounds of two documents with n, o."""
-    return f"least({a}.o, {b}.o) * {num + den} >= {num} * ({a}.n + {b}.n)"
+    """What two documents with n, o and sig must meet to link."""
+    return f"least({a}.o, {b}.o) * {num + den} >= {num} * ({a}.n + {b}.n) AND {_apart(a, b)} * {num + den} <= {den - num} * ({a}.n + {b}.n)"
+
+
+def _apart(a: str, b: str) -> str:
+    """Bits in which two signatures differ."""
+    return "(" + " + ".join(f"bit_count({a}.sig[{i}] ^ {b}.sig[{i}])" for i in range(BITS // 64)) + ")"
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -152,11 +167,18 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 def links(sets: DataFrame, work: Workspace, num: int, den: int) -> DataFrame:
     """Verified links between representatives, enough to connect all that link."""
     post = work.table(postings(sets, num, den), "postings")
-    buckets = post.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct((F.col("n") - F.col("o")).alias("u"), "cid", "n", "o", "l")).alias("lead")).where("held > 1")
-    post = work.table(post.join(buckets, "token").select("token", "cid", "n", "o", "l", "lead"), "shared")
-    led = post.alias("x").where(f"lead.cid <> cid AND least(o, lead.o) * {num + den} >= {num} * (n + lead.n)")
-    pairs = led.groupBy("cid", F.col("lead.cid").alias("leader")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("l", "lead.l")).alias("need")).where("shared >= need")
-    first = pairs.groupBy("cid").agg(F.max(F.struct("shared", (-F.col("leader")).alias("back"))).alias("best")).select(F.col("cid").alias("a"), (-F.col("best.back")).alias("b"))
+    # The leaders of a bucket are minima, so they come from partial aggregates: the document with
+    # the fewest shingles of its own, and members that hashes pick, alike in every bucket.
+    own = F.min(F.struct((F.col("n") - F.col("o")).alias("by"), "cid", "l"))
+    picked = [F.min(F.struct(F.xxhash64("cid", F.lit(r)).alias("by"), "cid", "l")) for r in range(1, LEADERS)]
+    buckets = post.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.array_distinct(F.array(*(F.struct(m["cid"].alias("cid"), m["l"].alias("l")) for m in (own, *picked)))).alias("leaders")).where("held > 1")
+    post = work.table(post.join(buckets, "token").select("token", "cid", "n", "o", "l", "leaders"), "shared")
+    led = post.select("cid", "l", F.explode("leaders").alias("lead")).where("lead.cid <> cid")
+    tried = led.groupBy("cid", F.col("lead.cid").alias("leader")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("l", "lead.l")).alias("need")).where("shared >= need")
+    marks = sets.select("cid", "n", "o", "sig")
+    near = tried.select("cid", "leader").join(marks.select("cid", F.struct("n", "o", "sig").alias("x")), "cid").join(marks.select(F.col("cid").alias("leader"), F.struct("n", "o", "sig").alias("y")), "leader")
+    ranked = near.where(_possible(num, den, "x", "y")).withColumn("nth", F.row_number().over(Window.partitionBy("cid").orderBy(F.expr(_apart("x", "y")), "leader")))
+    first = work.table(ranked.where(F.col("nth") <= TRIED).select(F.col("cid").alias("a"), F.col("leader").alias("b")), "tried")
     stars = work.table(verified(first, sets, num, den), "stars")
     groups = components(stars, work, "stars-groups")
     post = work.table(post.select("token", "cid", "n", "o", "l").join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("g", F.coalesce("component", "cid")).drop("component"), "grouped")
@@ -165,7 +187,7 @@ def links(sets: DataFrame, work: Workspace, num: int, den: int) -> DataFrame:
     sizes = post.groupBy("token", "g").agg(F.count(F.lit(1)).alias("held"))
     mixed = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("held", "g")).alias("top")).where("groups > 1").select("token", F.col("top.g").alias("top"))
     step = F.floor(F.log2(F.col("n").cast("double")) * STEPS)
-    held = work.table(post.join(mixed, "token").withColumn("step", step), "mixed")
+    held = work.table(post.join(mixed, "token").join(marks.select("cid", "sig"), "cid").withColumn("step", step), "mixed")
     highest = F.col("o") * F.lit((num + den) / num) - F.col("n")  # no larger partner can share enough
     low, high = F.floor(F.log2(F.col("n") * F.lit(num / den)) * STEPS), F.floor(F.log2(highest) * STEPS)
     outside = held.where("g <> top").withColumn("_low", low - 1).withColumn("_high", F.least(high + 1, F.col("step") + (F.col("step") - low) + 2)).where("_high >= _low").withColumn("step", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
@@ -182,7 +204,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     known = work.table(document_sets(docs, count_repeated(docs, work, n), n, num, den), "sets")
     classes = known.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("cid"))
     own = known.where("tokens IS NOT NULL").join(classes.withColumnRenamed("fp", "_fp"), (F.col("doc_id") == F.col("cid")) & (F.col("fp") == F.col("_fp")))
-    sets = work.table(own.select("cid", "fp", "n", F.expr("length(tokens) div 8 AS o"), "tokens", "times").dropDuplicates(["cid", "fp"]), "representatives")
+    sets = work.table(own.select("cid", "fp", "n", F.expr("length(tokens) div 8 AS o"), "tokens", "times", "sig").dropDuplicates(["cid", "fp"]), "representatives")
     groups = components(links(sets, work, num, den), work)
     named = known.select("doc_id", "n", "fp").join(classes.withColumnRenamed("fp", "_fp"), (F.col("fp") == F.col("_fp")) & (F.col("n") > 0), "left")
     return named.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cid", "doc_id").alias("component_id"))
