@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotry.llm import jaccard, knn, lines, lm, mixing, packing, quality, rules, secret_scan
+from depotry.llm import extraction, jaccard, knn, lines, lm, mixing, packing, quality, rules, secret_scan
 from depotry.llm.shared import crc_of_id
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -60,6 +60,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumnRenamed("kept", "kept_sha256")
 
 
+def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_of_id("doc_id") % 10 == 0).alias("held_out"))
     model = lm.fit(docs.where(~F.col("held_out")))
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_rules": op6_rules,
     "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_extraction": op9_extraction,
 }
 
 _SPACES = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
