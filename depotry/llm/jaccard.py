@@ -50,6 +50,8 @@ VERIFY = 0.05
 #: Leaders of a bucket, and how many of them a document is verified against at first.
 LEADERS, TRIED = 7, 3
 BITS = 512
+#: Ids of rows to leave out (8 bytes each) up to this number are broadcast; more are joined by shuffle.
+MOST_BROADCAST = 1_000_000
 #: Sizes are grouped in steps of a factor 2 ** (1 / 32) for the join.
 STEPS = 32
 
@@ -202,9 +204,25 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     work = Workspace(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = work.table(document_sets(docs, count_repeated(docs, work, n), n, num, den), "sets")
+    work.remove("shingles")
     classes = known.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("cid"))
     own = known.where("tokens IS NOT NULL").join(classes.withColumnRenamed("fp", "_fp"), (F.col("doc_id") == F.col("cid")) & (F.col("fp") == F.col("_fp")))
     sets = work.table(own.select("cid", "fp", "n", F.expr("length(tokens) div 8 AS o"), "tokens", "times", "sig").dropDuplicates(["cid", "fp"]), "representatives")
     groups = components(links(sets, work, num, den), work)
     named = known.select("doc_id", "n", "fp").join(classes.withColumnRenamed("fp", "_fp"), (F.col("fp") == F.col("_fp")) & (F.col("n") > 0), "left")
     return named.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cid", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` that stand for their group: one of each, that of the smallest id.
+
+    Where ids are null or repeated, rows are numbered first and the smallest number stays.
+    """
+    work, key = Workspace(docs.sparkSession, "representatives"), "doc_id"
+    ids = docs.agg(F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("known"), F.countDistinct("doc_id").alias("distinct")).first()
+    if not ids["rows"] == ids["known"] == ids["distinct"]:
+        docs, key = work.table(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered"), "__row"
+    groups = jaccard_groups(docs.select(F.col(key).alias("doc_id"), "text"), n, num, den)
+    gone = work.table(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), "gone")
+    few = gone.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(gone) if few else gone, F.col(key) == F.col("__gone"), "left_anti").drop("__row")
