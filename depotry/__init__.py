@@ -1,0 +1 @@
+"""Facility-location analytics on Spark: where depots go, how many, and which serves each point."""
