@@ -28,7 +28,7 @@ def ladder(orders: np.ndarray, k: int, capacity: int) -> list[int]:
 
 
 def repair(orders: np.ndarray, d: np.ndarray, target: int, rule: str) -> np.ndarray:
-    """Labels after moving points off overloaded sites, by ``rule``, until all fit or none can move."""
+    """Labels after moving points off overloaded sites, by ``rule``, until all fit; where no move fits, exchanges that lower the overload."""
     n, k = d.shape
     labels = d.argmin(1)
     for _ in range(4 * n * k):
@@ -37,8 +37,13 @@ def repair(orders: np.ndarray, d: np.ndarray, target: int, rule: str) -> np.ndar
         rises = orders[:, None] * (d - d[np.arange(n), labels][:, None])
         legal = over[labels][:, None] & (loads[None, :] + orders[:, None] <= target)
         legal[np.arange(n), labels] = False
-        if not over.any() or not legal.any():
+        if not over.any():
             break
+        if not legal.any():
+            if (pair := _exchange(orders, d, labels, loads, target)) is None:
+                break
+            labels[pair[0]], labels[pair[1]] = labels[pair[1]], labels[pair[0]]
+            continue
         if rule == "resolve_first":
             enough = legal & (orders >= loads[labels] - target)[:, None]
             legal = enough if enough.any() else legal
@@ -48,6 +53,20 @@ def repair(orders: np.ndarray, d: np.ndarray, target: int, rule: str) -> np.ndar
     return labels
 
 
+def _exchange(orders: np.ndarray, d: np.ndarray, labels: np.ndarray, loads: np.ndarray, target: int) -> tuple[int, int] | None:
+    """The cheapest exchange of two points among those that lower the overload most."""
+    own = d[np.arange(len(labels)), labels]
+    there = loads[labels][:, None] - orders[:, None] + orders[None, :]
+    before = np.maximum(loads[labels] - target, 0)
+    gain = before[:, None] + before[None, :] - np.maximum(there - target, 0) - np.maximum(there.T - target, 0)
+    gain = np.where(labels[:, None] != labels[None, :], gain, 0)
+    if gain.max() <= 0:
+        return None
+    rise = orders[:, None] * (d[:, labels] - own[:, None])
+    i, j = np.unravel_index(np.where(gain == gain.max(), rise + rise.T, np.inf).argmin(), gain.shape)
+    return int(i), int(j)
+
+
 def improve(orders: np.ndarray, d: np.ndarray, labels: np.ndarray, limit: int) -> np.ndarray:
     """Labels that no single move and no exchange of two points makes cheaper within ``limit``; the best change first."""
     n, k = d.shape
