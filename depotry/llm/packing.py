@@ -30,21 +30,21 @@ from pyspark.sql import functions as F
 from depotry.llm.shared import Workspace, once
 from depotry.llm.textscan import text_buffers
 
-#: Words and stems that a worker remembers, and the bytes of the longest one.
-WORDS_KEPT, STEMS_KEPT, LONGEST_KEPT = 250_000, 250_000, 48
-#: Stems coded in one call, bytes of text coded together.
+#: Words of a generation that a worker remembers, and the bytes of the longest one.
+WORDS_KEPT, LONGEST_KEPT = 250_000, 48
+#: Words coded in one call, bytes of text coded together.
 JOINED, BLOCK = 500, 1 << 20
-PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordCoder:
     """Ids of texts, coded by words between ASCII white space, which the tokenizer drops.
 
-    A text's ids are its words' ids in order, and a word's are its stem's (A-Z lower-cased, as
-    the tokenizer does) and its closing punctuation's, since a run of letters or digits never
-    joins what follows. Bounded tables remember words and stems; stems of letters alone are
-    coded many at a time, told apart by the mark that ends each of them.
+    A text's ids are its words' ids in order. Before the cut A-Z are lower-cased, as the tokenizer
+    does, and a closing mark is set apart where a letter or digit stands before it and white space
+    after, since a run of letters or digits never joins what follows. A bounded table of two
+    generations remembers words; words of letters alone are coded many at a time, told apart by
+    the mark that ends each of them. Texts that may hold special tokens go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -54,74 +54,75 @@ class WordCoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def _each(self, parts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _code(self, parts: list[bytes]) -> None:
-        """Add the ids of new stems."""
-        plain = [p for p in parts if p.decode().isalpha()]
+    def _code(self, words: list[bytes]) -> dict[bytes, bytes]:
+        coded, plain, rest = {}, [], []
+        for w in words:
+            (plain if w.isalpha() or w.decode().isalpha() else rest).append(w)
         for i in range(0, len(plain), JOINED):
             some = plain[i : i + JOINED]
             ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) == len(some):
-                coded = [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
-            else:
-                coded = self._each(some)
-            self.stems.update(zip(some, coded, strict=True))
-        rest = [p for p in parts if not p.decode().isalpha()]
-        self.stems.update(zip(rest, self._each(rest), strict=True))
-
-    def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words not yet known; those of ordinary length are remembered."""
-        if len(self.stems) > STEMS_KEPT:
-            self.older, self.stems = self.stems, {}
-        cut = {}
-        for w in new:
-            if b"<|" in w:  # may be a special token, which is told by its letters' case
-                cut[w] = (w, b"")
-                continue
-            low = w.lower()
-            stem = low.rstrip(PUNCTUATION)
-            cut[w] = (stem, low[len(stem) :]) if stem and stem[-1:].isalnum() else (low, b"")
-        stems, older = self.stems, self.older
-        need = {p for pair in cut.values() for p in pair if p and p not in stems}
-        for p in [p for p in need if p in older]:
-            stems[p] = older[p]
-            need.discard(p)
-        self._code(list(need))
-        coded = {w: stems[a] + (stems[b] if b else b"") for w, (a, b) in cut.items()}
-        for p in need:
-            if len(p) > LONGEST_KEPT:
-                del stems[p]
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            parts = [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)] if len(cuts) == len(some) else self._each(some)
+            coded.update(zip(some, parts, strict=True))
+        coded.update(zip(rest, self._each(rest), strict=True))
         return coded
 
     def blocks(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
-        """Ids of each text of a column's buffers."""
+        """Little-endian unsigned 32-bit ids of each text of a column's buffers."""
         i, n = 0, len(offsets) - 1
         while i < n:
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, "right")) - 1)
-            yield from self.ids([data[offsets[r] : offsets[r + 1]].tobytes() for r in range(i, min(j, n))])
+            j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, "right")) - 1))
+            block, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            if b"<|" in block.tobytes():
+                for a, b in zip(at[:-1], at[1:], strict=True):
+                    raw = block[a:b].tobytes()
+                    yield self._each([raw])[0] if b"<|" in raw else self._texts(*_apart(block[a:b], np.array([0, b - a])))[0]
+            else:
+                yield from self._texts(*_apart(block, at))
             i = j
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.words)
-        coded = self._learn(new) if new else {}
-        self.words.update((w, c) for w, c in coded.items() if len(w) <= LONGEST_KEPT)
-        long = {w: c for w, c in coded.items() if len(w) > LONGEST_KEPT}
-        if not long:
-            known = self.words
-            return [b"".join([known[w] for w in ws]) for ws in split]
-        return [b"".join([long[w] if w in long else self.words[w] for w in ws]) for ws in split]
+    def _texts(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
+        raw = data.tobytes()
+        split = [raw[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        if len(self.known) > WORDS_KEPT:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = set().union(*split).difference(known)
+        back = {w: older[w] for w in new if w in older}
+        known.update(back)
+        coded = self._code([w for w in new if w not in back])
+        known.update(coded)
+        out = [b"".join([known[w] for w in ws]) for ws in split]
+        for w in coded:
+            if len(w) > LONGEST_KEPT:
+                del known[w]
+        return out
+
+
+_MARK, _SPACE, _ALNUM = (np.isin(np.arange(256), list(b)) for b in (b".,!?;:", b" \t\n\x0b\x0c\r", b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _apart(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased bytes with a blank before closing marks, and the texts' offsets in them."""
+    data = _LOWER[data]
+    mark = np.flatnonzero(_MARK[data])
+    mark = mark[mark > 1]
+    after = np.append(data, 32)[mark + 1]
+    one, two = data[mark - 1], data[mark - 2]
+    # A letter of the Latin-1 block is C3 and a byte of 80 to BF; the two signs among them are none.
+    letter = _ALNUM[one] | (two == 0xC3) & (one >= 0x80) & (one < 0xC0) & (one != 0x97) & (one != 0xB7)
+    mark = mark[_SPACE[after] & letter]
+    return np.insert(data, mark, 32), at + np.searchsorted(mark, at)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int, with_ids: bool = False) -> DataFrame:

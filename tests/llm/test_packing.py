@@ -5,10 +5,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from depotry.llm import packing
+from depotry.llm.textscan import text_buffers
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -51,15 +53,17 @@ def test_ids_and_places(spark):
         check_packed(rows, want, room)
 
 
-def test_small_tables_of_words_do_not_change_ids(monkeypatch):
+@pytest.mark.parametrize("block", [1, 40, 1 << 20])
+def test_ids_whatever_is_remembered(monkeypatch, block):
     monkeypatch.setattr(packing, "WORDS_KEPT", 3)
-    monkeypatch.setattr(packing, "STEMS_KEPT", 2)
+    monkeypatch.setattr(packing, "BLOCK", block)
+    rng = random.Random(6)
+    parts = ["the", "The", "café", "CAFÉ", ".", ",", "!", " ", " ", "  ", "\n", "é.", "×.", "x1.", "1,", "...", "%%%", "'s", "don't.", "ß;", "»,", "Σ:", "a\u0301.", "<", "|", "<|endoftext|>", "\u00a0", "\u2028.", "x" * 60]
+    texts = [t or "" for t in ODD] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(600)]
     coder, tokenizer = packing.WordCoder(PATH), Tokenizer.from_file(PATH)
-    for pair in zip(ODD, ODD[::-1], strict=True):
-        for t, ids in zip(pair, coder.ids([(t or "").encode() for t in pair]), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
-    for t in [t for t in ODD if t] * 2:
-        assert np.frombuffer(coder.ids([t.encode()])[0], "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    for _ in range(2):
+        for t, ids in zip(texts, coder.blocks(*text_buffers(pa.array(texts))), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
 @pytest.mark.parametrize("seed", range(6))
