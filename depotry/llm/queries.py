@@ -85,6 +85,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _SPACES = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORD = r"[^\x20\x09-\x0D]+"
+_KEYWORD = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "(password|passwd|secret|token|api_?key)")
+_ASSIGN = _KEYWORD + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_RUN = "[A-Za-z0-9+/_-]+"
+
+
+def _spans_sql(name: str, pattern: str) -> str:
+    """(doc_id, hit, s, e) of a pattern's matches: places from the lengths of matches and of what lies between."""
+    return f"""{name}_l AS (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS h, string_split_regex(text, '{pattern}') AS b FROM d),
+{name}_r AS (SELECT doc_id, unnest(h) AS hit, generate_subscripts(h, 1) AS i, b FROM {name}_l WHERE len(h) > 0),
+{name} AS (SELECT doc_id, hit, CAST(sum(length(b[i])) OVER w + sum(length(hit)) OVER w - length(hit) AS BIGINT) AS s, CAST(sum(length(b[i])) OVER w + sum(length(hit)) OVER w AS BIGINT) AS e FROM {name}_r WINDOW w AS (PARTITION BY doc_id ORDER BY i))"""
+
+
+def _entropy_sql(window: int) -> str:
+    return f"list_max(list_transform(range(length(hit) - {window - 1}), lambda i: list_aggregate(string_split(substr(hit, CAST(i + 1 AS INTEGER), {window}), ''), 'entropy')))"
+
+
+_ALLOWED = "|".join(secret_scan.ALLOWED)
 
 ORACLES: dict[str, str] = {
     "op1_top_k": """
@@ -94,6 +112,32 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op3_jaccard": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+n AS MATERIALIZED (SELECT doc_id, CAST(len(s) AS BIGINT) AS n, s FROM s),
+t AS MATERIALIZED (SELECT doc_id, unnest(s) AS t FROM n),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * common >= 90 * (x.n + y.n - common)),
+g AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b)
+SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2""",
+    "op5_secrets": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+{_spans_sql("a", _ASSIGN)},
+{_spans_sql("k", "AKIA[A-Z0-9]+")},
+{_spans_sql("x", "[0-9a-f]+")},
+{_spans_sql("r", _RUN)},
+c AS (SELECT * FROM r WHERE length(hit) >= 20 AND NOT regexp_matches(hit, '{_ALLOWED}', 'i')),
+v AS (SELECT doc_id, 0 AS kind, s, e FROM a WHERE length(regexp_extract(hit, '{_ASSIGN}', 2)) >= 8
+ UNION ALL SELECT doc_id, 1, s, e FROM k WHERE length(hit) >= 16
+ UNION ALL SELECT doc_id, 2, s, e FROM x WHERE length(hit) >= 32
+ UNION ALL SELECT doc_id, 3, s, e FROM (SELECT * FROM c WHERE regexp_full_match(hit, '[0-9A-Fa-f]+')) WHERE {_entropy_sql(20)} >= 3.0
+ UNION ALL SELECT doc_id, 4, s, e FROM (SELECT * FROM c WHERE length(hit) >= 24) WHERE {_entropy_sql(24)} >= 4.0),
+n AS (SELECT *, ['assign', 'access', 'hex', 'entropy_hex', 'entropy_base64'][kind + 1] || ':' || s || ':' || e AS span FROM v)
+SELECT d.doc_id, CAST(count(*) FILTER (WHERE kind = 0) AS BIGINT) AS n_assign, CAST(count(*) FILTER (WHERE kind = 1) AS BIGINT) AS n_access, CAST(count(*) FILTER (WHERE kind = 2) AS BIGINT) AS n_hex,
+ sha256(coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE kind <= 2), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY s, kind), '') AS spans
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
     "op7_mixing": f"""
 WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 w AS (SELECT source, n, CASE source WHEN 'src0' THEN 2.0e0 WHEN 'src1' THEN 0.5e0 WHEN 'src2' THEN 3.0e0 ELSE 1.0e0 END AS w FROM n),
