@@ -106,7 +106,8 @@ class Pages:
         self.mark = r.choice(self.styles()) if r.random() < 0.25 else lambda text: text
         if r.random() < 0.85:
             blocks.append(self.mark(self.words(2, 12)))
-            out.append(f"<h1>{blocks[-1]}</h1>")
+            title = f"<h1>{blocks[-1]}</h1>"
+            out.append(f"<header>{title}</header>" if r.random() < 0.08 else title)
         for _ in range(r.choice((0, 1, 1, 1, 2, 2, 4, 8, 14, 25)) if blocks else r.choice((1, 2, 5))):
             kind = r.random()
             text = r.choice((self.prose(8), self.prose(3), self.sentence(1, 4)))
@@ -127,6 +128,10 @@ class Pages:
                 items = [self.sentence(1, 12) for _ in range(r.randint(2, 5))]
                 out.append("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
                 blocks += items
+            elif kind < 0.95:
+                cells = [self.words(1, 3) for _ in range(4)]
+                out.append("<table><tr><td>{}</td><td>{}</td></tr><tr><td>{}</td><td>{}</td></tr></table>".format(*cells))
+                blocks += cells
             else:
                 out.append(f"<blockquote><p>{text}</p></blockquote>" if r.random() < 0.5 else f"<div>{text}</div>")
                 blocks.append(text)
@@ -142,7 +147,10 @@ class Pages:
         for chunk in body.replace("<p>", "\x00<p>").split("\x00"):
             mixed.append(chunk)
             if r.random() < 0.04 and "<ul>" not in chunk and "<blockquote>" not in chunk and (chunk.endswith("</p>") or not chunk):
-                mixed.append(self.part(r.choice(("ad", "social", "side", "form")), semantic))
+                mixed.append(self.part(r.choice(("ad", "ad", "social", "side", "form", "notice")), semantic))
+        for kind in ("comments", "social", "side", "footer"):
+            if r.random() < 0.07:
+                mixed.append(self.part(kind, semantic))
         main = self.wrap("content", "".join(mixed), semantic) if r.random() < 0.95 else "".join(mixed)
         for _ in range(r.choice((0, 0, 1, 2))):
             main = f"<div{self.attrs(r.choice(('neutral', 'content')), 0.7)}>{main}</div>"
