@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depotry.functions.geo import haversine
-from depotry.operators.solve import Metric, medians
+from depotry.operators.solve import Metric
 from depotry.schema import RUPEE, Profile
 
 #: Subsets that exact enumeration takes on; one limit for warm starts and proofs.
@@ -101,6 +101,35 @@ def lattice(points: DataFrame, k: int, resolution: int = 14, weight: str = "orde
     return best.select("dataset", "b.sites", "b.objective", "evaluated")
 
 
+def golden_medians(metric: Metric, weights: np.ndarray, precision_km: float = 1e-3) -> np.ndarray:
+    """Geometric medians (m, 2) by golden sections, one inside the other, over the points' bounding box.
+
+    Slower than reweighted means and sharing nothing with them, so that each can check the other:
+    the cost is convex in either coordinate for points this close together.
+    """
+    ratio, w = (math.sqrt(5) - 1) / 2, np.maximum(weights, 0)
+    low, high = (np.array([f(metric.lat), f(metric.lon)]) for f in (np.min, np.max))
+    turns = max(1, math.ceil(math.log(max(1e-12, precision_km / 111.2 / 50) / max(1e-9, float((high - low).max()))) / math.log(ratio)))
+
+    def section(cost, axis: int) -> np.ndarray:  # noqa: ANN001
+        a, b = np.full(w.shape[1], low[axis]), np.full(w.shape[1], high[axis])
+        c, d = b - ratio * (b - a), a + ratio * (b - a)
+        fc, fd = cost(c), cost(d)
+        for _ in range(turns):
+            left = fc < fd
+            a, b = np.where(left, a, c), np.where(left, d, b)
+            new = np.where(left, b - ratio * (b - a), a + ratio * (b - a))
+            f = cost(new)
+            c, d, fc, fd = np.where(left, new, d), np.where(left, c, new), np.where(left, f, fd), np.where(left, fc, f)
+        return (a + b) / 2
+
+    def along(lat: np.ndarray) -> np.ndarray:
+        return section(lambda lon: (metric.to(np.stack([lat, lon], axis=1)) * w).sum(0), 1)
+
+    lat = section(lambda x: (metric.to(np.stack([x, along(x)], axis=1)) * w).sum(0), 0)
+    return np.stack([lat, along(lat)], axis=1)
+
+
 def continuous_optimum(points: DataFrame, ks: tuple[int, ...], weight: str = "orders", profile: Profile = RUPEE) -> DataFrame:
     """(dataset, k, objective, groups): best placement anywhere for at most ten points a data set.
 
@@ -115,8 +144,10 @@ def continuous_optimum(points: DataFrame, ks: tuple[int, ...], weight: str = "or
             raise ValueError(f"{n} points are more than {MOST_CONTINUOUS}")
         member = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1
         w, metric = pdf[weight].to_numpy(float), Metric(pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), profile)
-        at = medians(metric, w[:, None] * member.T)
-        cost = (metric.to(at) * (w[:, None] * member.T)).sum(0)
+        held = w[:, None] * member.T
+        at = golden_medians(metric, held)
+        spots = np.stack([metric.lat, metric.lon], axis=1)
+        cost = np.minimum((metric.to(at) * held).sum(0), (metric.to(spots).T @ held).min(0))
         cost[0] = 0
         rows, full = [], (1 << n) - 1
         best, pick = [cost.copy()], [np.arange(1 << n)]

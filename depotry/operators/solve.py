@@ -221,3 +221,39 @@ def solve_large(points: DataFrame, k: int, weight: str = "orders", profile: Prof
         if moved < tol_km:
             break
     return [(float(a), float(b)) for a, b in centres]
+
+
+def geometric_medians(points: DataFrame, plan: tuple[str, ...] = ("dataset",), weight: str = "orders", profile: Profile = RUPEE) -> DataFrame:
+    """(plan, lat, lon): the weighted geometric median of each group, one task a group."""
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at = medians(Metric(pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), profile), pdf[weight].to_numpy(float)[:, None])[0]
+        return pd.DataFrame([(*key, at[0], at[1])], columns=[*plan, "lat", "lon"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    return points.groupBy(*plan).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in plan), "lat double, lon double"]))
+
+
+def median_steps(points: DataFrame, steps: int, weight: str = "orders", profile: Profile = RUPEE) -> DataFrame:
+    """(dataset, lat, lon) after so many reweighted steps from the weighted mean, in Spark's functions alone.
+
+    Every step is one partial aggregate by data set joined back as a row, so points of any number
+    stay where they are.
+    """
+    w = F.col(weight).cast("double")
+    at = points.groupBy("dataset").agg((F.sum(w * F.col("lat")) / F.sum(w)).alias("_a"), (F.sum(w * F.col("lon")) / F.sum(w)).alias("_b"))
+    for _ in range(steps):
+        pull = w / F.greatest(haversine(F.col("lat"), F.col("lon"), F.col("_a"), F.col("_b"), profile), F.lit(1e-9))
+        at = points.join(at, "dataset").groupBy("dataset").agg((F.sum(pull * F.col("lat")) / F.sum(pull)).alias("_a"), (F.sum(pull * F.col("lon")) / F.sum(pull)).alias("_b"))
+    return at.select("dataset", F.col("_a").alias("lat"), F.col("_b").alias("lon"))
+
+
+def means_steps(points: DataFrame, sites: DataFrame, steps: int, weight: str = "orders", profile: Profile = RUPEE) -> DataFrame:
+    """(dataset, wh_ord, wh_id, lat, lon): weighted k-means from given sites, a fixed number of rounds; sites without points stay."""
+    from depotry.operators.assign import nearest
+
+    at = sites.select("dataset", "wh_ord", "wh_id", "lat", "lon")
+    for _ in range(steps):
+        w = F.col(weight).cast("double")
+        moved = nearest(points, at, profile).groupBy("dataset", "wh_ord").agg((F.sum(w * F.col("lat")) / F.sum(w)).alias("_a"), (F.sum(w * F.col("lon")) / F.sum(w)).alias("_b"))
+        at = at.join(moved, ["dataset", "wh_ord"], "left").select("dataset", "wh_ord", "wh_id", F.coalesce("_a", "lat").alias("lat"), F.coalesce("_b", "lon").alias("lon"))
+    return at

@@ -245,3 +245,45 @@ def run_order_km(points: DataFrame, k: int, limit: int | None = None, cost_per_k
     else:
         plan = sites.groupBy("dataset").agg(F.first("objective").alias("order_km"))
     return {"sites": sites, "ladder": ladder, "summary": cost.impact_order_km(plan.join(naive, "dataset"), cost_per_km, co2_g_per_km)}
+
+
+def pair_sites(left: DataFrame, right: DataFrame, profile: Profile = RUPEE) -> DataFrame:
+    """(dataset, k, left_id, right_id, km): every left site in turn takes the nearest right one still free.
+
+    A fold over the sites of two plans, at most a few dozen each.
+    """
+    def side(s: DataFrame, name: str) -> DataFrame:
+        return s.groupBy("dataset", "k").agg(F.array_sort(F.collect_list(F.struct("wh_ord", "wh_id", "lat", "lon"))).alias(name))
+
+    none = F.expr("CAST(array() AS array<struct<left_id:string,right_id:string,km:double>>)")
+
+    def take(done: Column, a: Column) -> Column:
+        free = F.filter("r", lambda b: ~F.exists(done, lambda d: d["right_id"] == b["wh_id"]))
+        near = F.array_min(F.transform(free, lambda b: F.struct(haversine(a["lat"], a["lon"], b["lat"], b["lon"], profile).alias("km"), b["wh_ord"].alias("o"), b["wh_id"].alias("i"))))
+        return F.when(F.size(free) > 0, F.concat(done, F.array(F.struct(a["wh_id"].alias("left_id"), near["i"].alias("right_id"), near["km"].alias("km"))))).otherwise(done)
+
+    both = side(left, "l").join(side(right, "r"), ["dataset", "k"])
+    return both.select("dataset", "k", F.explode(F.aggregate("l", none, take)).alias("p")).select("dataset", "k", "p.*")
+
+
+def rising_steps(sweep: DataFrame, by: tuple[str, ...] = ("dataset",), value: str = "delivery") -> DataFrame:
+    """Rows of a sweep whose value is above that of the K before: none, if the placement is sound."""
+    before = F.lag(value).over(Window.partitionBy(*by).orderBy("k"))
+    return sweep.withColumn("_before", before).where(F.col(value) > F.col("_before") * (1 + 1e-9)).drop("_before")
+
+
+def co2_matches_fuel(vehicles: DataFrame) -> DataFrame:
+    """(vehicle, grams_per_litre, consistent): within 3 g of petrol's or diesel's; null for fleets without fuel."""
+    # Grams of CO2 a litre of petrol and of diesel.
+    litre = F.col("co2_g_per_km") / F.nullif("fuel_per_km", F.lit(0.0))
+    near = [F.abs(F.col("co2_g_per_km") - F.col("fuel_per_km") * g) <= 3 for g in (2310.0, 2680.0)]
+    return vehicles.select("vehicle", litre.alias("grams_per_litre"), F.when(F.col("fuel_per_km") > 0, near[0] | near[1]).alias("consistent"))
+
+
+def headline(points: DataFrame, config: Config = Config(), k: int = 3) -> DataFrame:
+    """(dataset, k, total, per_order, saving_pct, is_optimal): K, and the cheapest K, against one depot."""
+    sweep = k_sweep(points, 8, config)
+    orders = points.groupBy("dataset").agg(F.sum("orders").alias("_o"))
+    base = sweep.where("k = 1").select("dataset", F.col("total").alias("_base"))
+    rows = sweep.where((F.col("k") == k) | (F.col("k") == F.col("optimal_k"))).join(base, "dataset").join(orders, "dataset")
+    return rows.select("dataset", "k", "total", (F.col("total") / F.greatest("_o", F.lit(1))).alias("per_order"), cost.improvement_pct(F.col("_base"), F.col("total")).alias("saving_pct"), (F.col("k") == F.col("optimal_k")).alias("is_optimal"))

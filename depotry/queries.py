@@ -314,6 +314,55 @@ def optimal_k(spark: SparkSession, d: str) -> DataFrame:
     return rounded(s.groupBy("dataset").agg(F.min(F.struct("total", "k")).alias("b")).select("b.k", "b.total"), "total")
 
 
+def _steps_sql(turns: int) -> str:
+    out = "m0 AS (SELECT sum(orders*lat)/sum(orders) AS a, sum(orders*lon)/sum(orders) AS b FROM pts)"
+    for i in range(turns):
+        out += f", q{i} AS (SELECT p.*, orders/greatest({_km('p.lat', 'p.lon', 'm.a', 'm.b')}, 1e-9) AS pull FROM pts p, m{i} m), m{i + 1} AS (SELECT sum(pull*lat)/sum(pull) AS a, sum(pull*lon)/sum(pull) AS b FROM q{i})"
+    return out
+
+
+@query(f"WITH {NATIONS}, {_steps_sql(6)} SELECT round(a, 8) AS lat, round(b, 8) AS lon FROM m6")
+def weiszfeld_fixed_iters(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(solve.median_steps(_nations(spark, d).cache(), 6).drop("dataset"), "lat", "lon", places=8)
+
+
+def _means_sql(turns: int) -> str:
+    out = "s0 AS (SELECT wh_ord, wh_id, lat, lon FROM sites WHERE wh_ord < 3)"
+    for i in range(turns):
+        out += f""", n{i} AS (SELECT * FROM (SELECT p.*, s.wh_ord, row_number() OVER (PARTITION BY p.ord ORDER BY {_km('p.lat', 'p.lon', 's.lat', 's.lon')}, s.wh_ord) AS rn FROM pts p, s{i} s) WHERE rn = 1),
+s{i + 1} AS (SELECT s.wh_ord, s.wh_id, coalesce(sum(n.orders*n.lat)/sum(n.orders), any_value(s.lat)) AS lat, coalesce(sum(n.orders*n.lon)/sum(n.orders), any_value(s.lon)) AS lon FROM s{i} s LEFT JOIN n{i} n ON n.wh_ord = s.wh_ord GROUP BY 1, 2)"""
+    return out
+
+
+@query(f"WITH {NATIONS}, {FIVE}, {_means_sql(4)} SELECT wh_id, round(lat, 8) AS lat, round(lon, 8) AS lon FROM s4")
+def kmeans_fixed_iters(spark: SparkSession, d: str) -> DataFrame:
+    out = solve.means_steps(_nations(spark, d).cache(), tables.five_sites(spark).where("wh_ord < 3"), 4)
+    return rounded(out.select("wh_id", "lat", "lon"), "lat", "lon", places=8)
+
+
+@query(f"WITH {NATIONS}, c AS (SELECT avg(lat) AS a, avg(lon) AS b FROM pts), f AS (SELECT id, {_km('p.lat', 'p.lon', 'c.a', 'c.b')} AS km FROM pts p, c) SELECT id, round(km, 6) AS km FROM f ORDER BY km DESC, id LIMIT 1")
+def farthest_point(spark: SparkSession, d: str) -> DataFrame:
+    pts = _nations(spark, d)
+    centre = pts.groupBy("dataset").agg(F.avg("lat").alias("a"), F.avg("lon").alias("b"))
+    far = pts.join(centre, "dataset").withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("a"), F.col("b")))
+    return rounded(far.groupBy("dataset").agg(F.max_by(F.struct("id", "km"), F.struct("km", "id")).alias("f")).select("f.id", "f.km"), "km", places=6)
+
+
+@query(f"{BASE} SELECT count(DISTINCT wh_id) AS used FROM near")
+def sites_used(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).agg(F.countDistinct("wh_id").alias("used"))
+
+
+@query(f"WITH v AS (SELECT * FROM (VALUES {_ROWS}) t(vehicle, label, capacity, fuel, speed, upkeep, co2, energy)) SELECT vehicle, round(co2/nullif(fuel, 0), 6) AS grams_per_litre, CASE WHEN fuel > 0 THEN abs(co2-fuel*2310) <= 3 OR abs(co2-fuel*2680) <= 3 END AS consistent FROM v")
+def co2_consistency(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(whatif.co2_matches_fuel(schema.vehicles(spark)), "grams_per_litre", places=6)
+
+
+@query(f"{_CURVE} SELECT CAST(count(*) FILTER (WHERE cost > before) AS BIGINT) AS rising FROM (SELECT cost, lag(cost) OVER (ORDER BY k) AS before FROM curve)")
+def monotone_cost(spark: SparkSession, d: str) -> DataFrame:
+    return whatif.rising_steps(_discrete_sweep(spark, d), value="cost").agg(F.count(F.lit(1)).alias("rising"))
+
+
 # --- ingest ------------------------------------------------------------------------------------
 
 _DIRTY = """raw AS (SELECT CAST(p_partkey AS BIGINT) AS line_no,
@@ -514,3 +563,27 @@ def column_map(spark: SparkSession, d: str) -> DataFrame:
         return out
 
     return mapping.map_columns(spark, heads[0].split(","), [h.split(",") for h in heads[1:]], embed).select("source_column", "field", "confidence", "method")
+
+
+@query()
+def headline_report(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(whatif.headline(samples.sample(spark, "bengaluru_12")), "total", "per_order", "saving_pct", places=2)
+
+
+@query()
+def geometric_medians(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(solve.geometric_medians(samples.sample(spark)), "lat", "lon", places=6)
+
+
+@query()
+def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Plans for K = 1..5 written as JSON and read back."""
+    plans = solve.solve_grouped(samples.sample(spark, "cross_13"), (1, 2, 3, 4, 5), profile=ORDER_KM)
+    return rounded(points.read_json_plans(spark, export.json_plans(plans)), "lat", "lon", places=6)
+
+
+@query()
+def paired_sites(spark: SparkSession, d: str) -> DataFrame:
+    pts = samples.sample(spark, "cross_13").cache()
+    a, b = (solve.solve_grouped(pts, (3, 4), profile=p) for p in (RUPEE, ORDER_KM))
+    return rounded(whatif.pair_sites(a, b), "km", places=3)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depotry.operators.mapping import FIELDS, alias_mapping
+from depotry.operators.mapping import FIELDS, Embedder, alias_mapping, map_columns
 from depotry.schema import POINTS, RANGES, SCENARIOS, TRAFFIC, VEHICLES
 
 DELIMITERS = (",", ";", "\t", "|")
@@ -151,3 +151,21 @@ def decode_link(links: DataFrame) -> DataFrame:
         return F.when(value.isin(*names), value)
 
     return links.select("link", F.try_element_at(m, F.lit("s")).alias("sample"), number("k").alias("k"), known("v", tuple(v[0] for v in VEHICLES)).alias("vehicle"), known("t", tuple(t[0] for t in TRAFFIC)).alias("traffic"), number("f").alias("fuel_price"), number("w").alias("driver_wage"), number("r").alias("rent"), number("cap").alias("capacity"), number("rad").alias("max_radius"), known("sc", tuple(s[0] for s in SCENARIOS)).alias("scenario"), (F.try_element_at(m, F.lit("run")) == "1").alias("run"))
+
+
+def ingest(spark: SparkSession, path: str, dataset: str = "upload", embed: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
+    """(points, errors) of an unfamiliar file: headers mapped by meaning where an embedder is given, rows read, rules checked."""
+    headers, sep = peek(spark, path)
+    head = spark.read.text(path).where(F.trim("value") != "").limit(9)
+    cells = F.from_csv("value", ", ".join(f"_{i} string" for i in range(len(headers))), {"sep": sep, "escape": '"'})
+    rows = [[x or "" for x in r["c"]] for r in head.select(cells.alias("c")).collect()[1:]] if headers else []  # eight sample rows
+    good, bad = read_csv(spark, path, dataset, map_columns(spark, headers, rows, embed))
+    broken = validate(good)
+    said = broken.select("dataset", F.col("ord").alias("line_no"), F.concat(F.lit("Row "), F.col("ord").cast("string"), F.lit(": "), "error").alias("error"))
+    return good.join(broken.select("dataset", "ord").distinct(), ["dataset", "ord"], "left_anti"), bad.unionByName(said)
+
+
+def read_json_plans(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """(dataset, k, objective, wh_ord, wh_id, lat, lon) of ``lines(dataset, json)``, one plan a document."""
+    kind = "k int, objective double, sites array<struct<wh_ord int, wh_id string, lat double, lon double>>"
+    return lines.select("dataset", F.from_json("json", kind).alias("p")).select("dataset", "p.k", "p.objective", F.inline("p.sites"))

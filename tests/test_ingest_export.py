@@ -138,3 +138,11 @@ def test_energy_of_electric_vehicles(spark):
     full, omitted = whatif.run(pts, 1, ev)["summary"].first(), whatif.run(pts, 1, ev.with_(fuel_only_rows=True))["summary"].first()
     assert abs(full["delivery"] - omitted["delivery"] - 1.4 * full["vehicle_km"]) < 1e-6
     assert abs(Config().rate_per_km - 7.5318) < 1e-3
+
+
+def test_whole_ingest(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text("name,lat,lng,orders\nA,12.9,77.6,5\nB,95,77.6,5\nA,12.8,77.6,5\nC,12.8,x,5\n")
+    good, bad = points.ingest(spark, str(path))
+    assert [r["id"] for r in good.collect()] == ["A"]
+    assert bad.count() == 3

@@ -167,3 +167,24 @@ def test_order_of_rows_does_not_matter(spark):
     shuffled = pts.withColumn("ord", (F.col("ord") * 5) % 13)
     a, b = (solve.solve_grouped(p, (3,), profile=ORDER_KM).first()["objective"] for p in (pts, shuffled))
     assert abs(a - b) < 1e-6
+
+
+def test_two_median_algorithms_agree():
+    rng = np.random.default_rng(3)
+    metric = solve.Metric(12.9 + rng.random(9) / 5, 77.5 + rng.random(9) / 4)
+    w = rng.random((9, 40)) * (rng.random((9, 40)) > 0.4)
+    a, b = solve.medians(metric, w), exact.golden_medians(metric, w)
+    costs = [(metric.to(x) * w).sum(0) for x in (a, b)]
+    assert np.allclose(*costs, atol=1e-3, rtol=1e-5)
+
+
+def test_pairs_and_headline(spark):
+    pts = sample(spark, "cross_13").cache()
+    pairs = whatif.pair_sites(*(solve.solve_grouped(pts, (3,), profile=p) for p in (RUPEE, ORDER_KM))).collect()
+    assert len(pairs) == 3
+    assert len({r["right_id"] for r in pairs}) == 3
+    assert all(r["km"] < 1 for r in pairs)
+    rows = {r["k"]: r for r in whatif.headline(sample(spark, "bengaluru_12")).collect()}
+    assert rows[4]["is_optimal"]
+    assert abs(rows[4]["saving_pct"] - 32.5) < 0.2
+    assert whatif.rising_steps(whatif.k_sweep(sample(spark, "bengaluru_12"), 6, Config())).count() == 0
