@@ -109,13 +109,12 @@ def document_sets(docs: DataFrame, repeated: Shards, n: int, num: int, den: int)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp binary, tokens binary, times binary, sig array<long>")
 
 
-def choose_matches(times: np.ndarray, size: int, least: int, unique: int) -> tuple[int, int]:
+def choose_matches(times: np.ndarray, size: int, least: int, unique: int, matches: tuple[int, ...] = MATCHES) -> tuple[int, int]:
     """(l, repeated shingles in the prefix) of least estimated cost; ``times`` in prefix order."""
     meets = np.concatenate(([0], np.cumsum(times.astype(np.float64) - 1)))
     best = None
-    for l in MATCHES:
-        if l > max(1, least):
-            break
+    for l in matches:
+        l = min(l, max(1, least))
         reach = max(0, min(size - least + l - unique, len(times)))
         cost = meets[reach] * (1 + VERIFY * size / l)
         if best is None or cost < best[0]:
@@ -123,7 +122,7 @@ def choose_matches(times: np.ndarray, size: int, least: int, unique: int) -> tup
     return best[1], best[2]
 
 
-def postings(sets: DataFrame, num: int, den: int) -> DataFrame:
+def postings(sets: DataFrame, num: int, den: int, matches: tuple[int, ...] = MATCHES) -> DataFrame:
     """(token, cid, n, o, l): the prefix of each representative; o is its number of repeated shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +131,7 @@ def postings(sets: DataFrame, num: int, den: int) -> DataFrame:
             for cid, n, tokens, times in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 keys, t = np.frombuffer(tokens, np.int64), np.frombuffer(times, np.uint32)
                 order = np.lexsort((keys, t))
-                l, reach = choose_matches(t[order], n, -(-num * n // den), n - len(keys))
+                l, reach = choose_matches(t[order], n, -(-num * n // den), n - len(keys), matches)
                 for c, v in zip(out, (keys[order[:reach]], *(np.full(reach, x) for x in (cid, n, len(keys), l))), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0), pa.int64()) for c in out], ["token", "cid", "n", "o", "l"])
@@ -166,9 +165,9 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ta", "nb", "tb").mapInArrow(run, "a long, b long")
 
 
-def links(sets: DataFrame, work: Workspace, num: int, den: int) -> DataFrame:
+def links(sets: DataFrame, work: Workspace, num: int, den: int, matches: tuple[int, ...] = MATCHES) -> DataFrame:
     """Verified links between representatives, enough to connect all that link."""
-    post = work.table(postings(sets, num, den), "postings")
+    post = work.table(postings(sets, num, den, matches), "postings")
     # The leaders of a bucket are minima, so they come from partial aggregates: the document with
     # the fewest shingles of its own, and members that hashes pick, alike in every bucket.
     own = F.min(F.struct((F.col("n") - F.col("o")).alias("by"), "cid", "l"))
@@ -194,13 +193,13 @@ def links(sets: DataFrame, work: Workspace, num: int, den: int) -> DataFrame:
     low, high = F.floor(F.log2(F.col("n") * F.lit(num / den)) * STEPS), F.floor(F.log2(highest) * STEPS)
     outside = held.where("g <> top").withColumn("_low", low - 1).withColumn("_high", F.least(high + 1, F.col("step") + (F.col("step") - low) + 2)).where("_high >= _low").withColumn("step", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
     crossing = outside.alias("x").join(held.alias("y"), ["token", "step"]).where(f"x.g <> y.g AND (y.g = y.top OR x.cid < y.cid) AND {_possible(num, den, 'x', 'y')}")
-    rest = crossing.groupBy(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("x.l", "y.l")).alias("need")).where("shared >= need").select("a", "b")
+    rest = crossing.groupBy(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("x.l", "y.l")).alias("need")).where("shared >= need").select("a", "b")
     more = work.table(verified(work.table(rest, "candidates"), sets, num, den), "crossing")
     return stars.unionByName(more)
 
 
-def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``."""
+def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, matches: tuple[int, ...] = MATCHES) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``; ``matches`` are the l to choose from."""
     work = Workspace(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = work.table(document_sets(docs, count_repeated(docs, work, n), n, num, den), "sets")
@@ -208,7 +207,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     classes = known.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("cid"))
     own = known.where("tokens IS NOT NULL").join(classes.withColumnRenamed("fp", "_fp"), (F.col("doc_id") == F.col("cid")) & (F.col("fp") == F.col("_fp")))
     sets = work.table(own.select("cid", "fp", "n", F.expr("length(tokens) div 8 AS o"), "tokens", "times", "sig").dropDuplicates(["cid", "fp"]), "representatives")
-    groups = components(links(sets, work, num, den), work)
+    groups = components(links(sets, work, num, den, matches), work)
     named = known.select("doc_id", "n", "fp").join(classes.withColumnRenamed("fp", "_fp"), (F.col("fp") == F.col("_fp")) & (F.col("n") > 0), "left")
     return named.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cid", "doc_id").alias("component_id"))
 

@@ -66,6 +66,14 @@ def test_groups_equal_brute_force(spark, seed, n, num):
     assert got == brute(rows, n, num, 100)
 
 
+@pytest.mark.parametrize(("seed", "matches"), [(6, (4,)), (7, (2, 5)), (8, (50,)), (9, (8,))])
+def test_groups_whatever_the_matches(spark, seed, matches):
+    rows = corpus(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_groups(docs, 3, 80, 100, matches).collect()}
+    assert got == brute(rows, 3, 80, 100)
+
+
 def test_odd_tables(spark):
     assert jaccard_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (None, "a b c d e f", None), (None, "z z", None), (4, "q " * 9000, None)]
