@@ -14,10 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from depotry.llm.shared import get_array, put_array, shard_starts
+from depotry.llm.shared import forget, get_array, put_array, shard_starts
 
 #: Keys that a task holds before it sends what it has.
-HELD = 1_000_000
+HELD = 250_000
+#: Shards that a merging task takes in turn, one in memory at a time.
+SHARDS_A_TASK = 4
 PARTS_SCHEMA = "shard int, once binary, more binary, times binary"
 _PARTS = pa.schema([("shard", pa.int32()), ("once", pa.binary()), ("more", pa.binary()), ("times", pa.binary())])
 
@@ -33,19 +35,33 @@ def summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.
     return keys[first], (np.add.reduceat(counts, first) if len(first) else counts).astype(np.uint64)
 
 
-def _cut(keys: np.ndarray, counts: np.ndarray, cuts: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
+def _pack(keys: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each key."""
+    return keys.tobytes() if width == 8 else np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpack(raw: bytes, width: int) -> np.ndarray:
+    if width == 8:
+        return np.frombuffer(raw, np.uint64)
+    keys = np.zeros((len(raw) // width, 8), np.uint8)
+    keys[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return keys.view(np.uint64).ravel()
+
+
+def _cut(keys: np.ndarray, counts: np.ndarray, cuts: Callable[[np.ndarray], np.ndarray], width: int) -> pa.RecordBatch:
     at, rows = cuts(keys), []
     for shard in np.flatnonzero(np.diff(at)):
         k, c = keys[at[shard] : at[shard + 1]], counts[at[shard] : at[shard + 1]]
         many = c > 1
-        rows.append((int(shard), k[~many].tobytes(), k[many].tobytes(), np.minimum(c[many], 0xFFFFFFFF).astype(np.uint32).tobytes()))
+        rows.append((int(shard), _pack(k[~many], width), _pack(k[many], width), np.minimum(c[many], 0xFFFFFFFF).astype(np.uint32).tobytes()))
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else ((), (), (), ()), _PARTS, strict=True)], schema=_PARTS)
 
 
-def parts(streams: Iterable[tuple[np.ndarray, np.ndarray | None]], cuts: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Packed parts of (keys, counts or None) pieces; ``cuts`` gives the shards' offsets in sorted keys."""
+def parts(streams: Iterable[tuple[np.ndarray, np.ndarray | None]], cuts: Callable[[np.ndarray], np.ndarray], width: int = 8) -> Iterator[pa.RecordBatch]:
+    """Packed parts of (keys, counts or None) pieces; ``cuts`` gives the shards' offsets in sorted keys of ``width`` bytes."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     n = 0
+    forget()
     for keys, counts in streams:
         held.append(summed(keys, counts))
         n += len(held[-1][0])
@@ -53,13 +69,13 @@ def parts(streams: Iterable[tuple[np.ndarray, np.ndarray | None]], cuts: Callabl
             held = [summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
             n = len(held[0][0])
             if n > HELD // 2:
-                yield _cut(*held[0], cuts)
+                yield _cut(*held[0], cuts, width)
                 held, n = [], 0
     if held:
-        yield _cut(*summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])), cuts)
+        yield _cut(*summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])), cuts, width)
 
 
-def merged(parts_df: DataFrame, shards: int, finish: Callable[[int, np.ndarray, np.ndarray], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def merged(parts_df: DataFrame, shards: int, finish: Callable[[int, np.ndarray, np.ndarray], Iterable[pa.RecordBatch]], schema: str, width: int = 8) -> DataFrame:
     """``finish(shard, keys, counts)`` once for each shard that has keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,8 +84,8 @@ def merged(parts_df: DataFrame, shards: int, finish: Callable[[int, np.ndarray,
         def close() -> Iterable[pa.RecordBatch]:
             if shard < 0:
                 return ()
-            keys = np.concatenate([np.frombuffer(b, np.uint64) for o, m, _ in pieces for b in (o, m)])
-            counts = np.concatenate([x for o, _, t in pieces for x in (np.ones(len(o) // 8, np.uint64), np.frombuffer(t, np.uint32).astype(np.uint64))])
+            keys = np.concatenate([_unpack(b, width) for o, m, _ in pieces for b in (o, m)])
+            counts = np.concatenate([x for o, _, t in pieces for x in (np.ones(len(o) // width, np.uint64), np.frombuffer(t, np.uint32).astype(np.uint64))])
             pieces.clear()
             return finish(shard, *summed(keys, counts))
 
@@ -82,21 +98,22 @@ def merged(parts_df: DataFrame, shards: int, finish: Callable[[int, np.ndarray,
                 pieces.append(tuple(batch.column(c)[row].as_py() for c in (1, 2, 3)))
         yield from close()
 
-    return parts_df.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+    tasks = max(parts_df.sparkSession.sparkContext.defaultParallelism, -(-shards // SHARDS_A_TASK))
+    return parts_df.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
 
 
 class Shards:
-    """Lookup in sorted keys held by equal ranges of the 64-bit space."""
+    """Lookup in sorted keys held by equal ranges of the space of 64 bits, less ``shift`` lower ones."""
 
-    def __init__(self, folder: str, present: dict[int, int], shards: int, name: str = "keys"):
-        self.folder, self.present, self.shards, self.name = folder, present, shards, name
+    def __init__(self, folder: str, present: dict[int, int], shards: int, name: str = "keys", shift: int = 0):
+        self.folder, self.present, self.shards, self.name, self.shift = folder, present, shards, name, shift
 
     def uri(self, shard: int, name: str = "") -> str:
         return f"{self.folder}/{name or self.name}-{shard}.bin"
 
     def find(self, sorted_keys: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
         """(shard, slice of the keys, place of each in the shard, which are there)."""
-        at = np.concatenate(([0], np.searchsorted(sorted_keys, shard_starts(self.shards)[1:]), [len(sorted_keys)]))
+        at = np.concatenate(([0], np.searchsorted(sorted_keys, shard_starts(self.shards)[1:] >> np.uint64(self.shift)), [len(sorted_keys)]))
         for shard in np.flatnonzero(np.diff(at)):
             if not self.present.get(int(shard)):
                 continue

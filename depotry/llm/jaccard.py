@@ -2,9 +2,10 @@
 
 Two texts link when |A n B| * den >= num * |A u B| for their sets of n-word shingles.
 
-1. Exact frequencies: shingles are counted over all documents into sorted arrays on the shared
-   folder; those of one document alone are not kept. A document with fewer than a share
-   num/den of repeated shingles can link with no other text and leaves here.
+1. Frequencies: shingles are counted over all documents into sorted arrays on the shared folder;
+   those of one document alone are not kept. Counting goes by the upper 48 bits of a hash: where
+   two shingles share them a frequency is too high, which only loosens bounds. A document with
+   fewer than a share num/den of repeated shingles can link with no other text and leaves here.
 2. Equal sets are one class; its smallest id stands for it.
 3. A representative orders its shingles by (frequency, hash). With its first |A| - t + l
    shingles, t = ceil(num/den * |A|), it shares at least l with any partner's prefix of the same
@@ -44,6 +45,8 @@ from depotry.llm.textscan import scan, shingles
 
 #: Bytes of text behind one shard of shingles.
 SHARD = 6 << 20
+#: Bytes of a hash that are counted, and the lower bits that are not.
+COUNTED, LOWER = 6, np.uint64(16)
 MATCHES = (1, 2, 3, 4, 6, 8)
 #: Cost of verifying one candidate, in postings for each shingle of the document.
 VERIFY = 0.05
@@ -52,10 +55,18 @@ LEADERS, TRIED = 7, 3
 BITS = 512
 #: Ids of rows to leave out (8 bytes each) up to this number are broadcast; more are joined by shuffle.
 MOST_BROADCAST = 1_000_000
+#: Sets behind one part of the tables of postings and links.
+SETS_PART = 2_000
 #: Sizes are grouped in steps of a factor 2 ** (1 / 32) for the join.
 STEPS = 32
 
 
+def _upper(tokens: np.ndarray) -> np.ndarray:
+    """Distinct upper bits of sorted tokens."""
+    upper = tokens >> LOWER
+    return upper[np.concatenate(([True], upper[1:] != upper[:-1]))] if len(upper) else upper
+
+
 def count_repeated(docs: DataFrame, work: Workspace, n: int) -> Shards:
     """Sorted arrays of the shingles that at least two documents have, with their frequencies."""
     shards, folder = max(8, text_bytes(docs) // SHARD), work.folder("shingles")
@@ -64,17 +75,17 @@ def count_repeated(docs: DataFrame, work: Workspace, n: int) -> Shards:
         def pieces() -> Iterator[tuple[np.ndarray, None]]:
             for b in batches:
                 for _, w, o in scan(b.column(0)):
-                    yield np.concatenate([shingles(w[i:j], n) for i, j in zip(o[:-1], o[1:], strict=True)]), None
+                    yield np.concatenate([_upper(shingles(w[i:j], n)) for i, j in zip(o[:-1], o[1:], strict=True)]), None
 
-        return parts(pieces(), lambda keys: split_sorted(keys, shards))
+        return parts(pieces(), lambda keys: split_sorted(keys << LOWER, shards), COUNTED)
 
     def finish(shard: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         again = counts > 1
         write_shard(folder, shard, keys=keys[again], times=np.minimum(counts[again], 0xFFFFFFFF).astype(np.uint32))
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": pa.array([int(again.sum())])})
 
-    made = merged(docs.select("text").mapInArrow(count, PARTS_SCHEMA), shards, finish, "shard int, n long")
-    return Shards(folder, {r["shard"]: r["n"] for r in made.collect()}, shards)  # a row for each shard
+    made = merged(docs.select("text").mapInArrow(count, PARTS_SCHEMA), shards, finish, "shard int, n long", COUNTED)
+    return Shards(folder, {r["shard"]: r["n"] for r in made.collect()}, shards, shift=int(LOWER))  # a row for each shard
 
 
 def parity(tokens: np.ndarray) -> list[int]:
@@ -92,7 +103,7 @@ def document_sets(docs: DataFrame, repeated: Shards, n: int, num: int, den: int)
             for _, w, o in scan(b.column(1)):
                 own = [shingles(w[i:j], n) for i, j in zip(o[:-1], o[1:], strict=True)]
                 flat = np.concatenate(own)
-                keys, back = np.unique(flat, return_inverse=True)
+                keys, back = np.unique(flat >> LOWER, return_inverse=True)
                 times = np.zeros(len(keys), np.uint32)
                 for shard, where, place, there in repeated.find(keys):
                     times[where] = np.where(there, get_array(repeated.uri(shard, "times"), "u4")[place], 0)
@@ -167,34 +178,35 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 def links(sets: DataFrame, work: Workspace, num: int, den: int, matches: tuple[int, ...] = MATCHES) -> DataFrame:
     """Verified links between representatives, enough to connect all that link."""
+    parts = work.parts(sets.count(), SETS_PART)
     post = work.table(postings(sets, num, den, matches), "postings")
     # The leaders of a bucket are minima, so they come from partial aggregates: the document with
     # the fewest shingles of its own, and members that hashes pick, alike in every bucket.
     own = F.min(F.struct((F.col("n") - F.col("o")).alias("by"), "cid", "l"))
     picked = [F.min(F.struct(F.xxhash64("cid", F.lit(r)).alias("by"), "cid", "l")) for r in range(1, LEADERS)]
     buckets = post.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.array_distinct(F.array(*(F.struct(m["cid"].alias("cid"), m["l"].alias("l")) for m in (own, *picked)))).alias("leaders")).where("held > 1")
-    post = work.table(post.join(buckets, "token").select("token", "cid", "n", "o", "l", "leaders"), "shared")
+    post = work.table(post.join(buckets, "token").select("token", "cid", "n", "o", "l", "leaders"), "shared", parts)
     led = post.select("cid", "l", F.explode("leaders").alias("lead")).where("lead.cid <> cid")
     tried = led.groupBy("cid", F.col("lead.cid").alias("leader")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("l", "lead.l")).alias("need")).where("shared >= need")
     marks = sets.select("cid", "n", "o", "sig")
     near = tried.select("cid", "leader").join(marks.select("cid", F.struct("n", "o", "sig").alias("x")), "cid").join(marks.select(F.col("cid").alias("leader"), F.struct("n", "o", "sig").alias("y")), "leader")
     ranked = near.where(_possible(num, den, "x", "y")).withColumn("nth", F.row_number().over(Window.partitionBy("cid").orderBy(F.expr(_apart("x", "y")), "leader")))
-    first = work.table(ranked.where(F.col("nth") <= TRIED).select(F.col("cid").alias("a"), F.col("leader").alias("b")), "tried")
-    stars = work.table(verified(first, sets, num, den), "stars")
-    groups = components(stars, work, "stars-groups")
-    post = work.table(post.select("token", "cid", "n", "o", "l").join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("g", F.coalesce("component", "cid")).drop("component"), "grouped")
+    first = work.table(ranked.where(F.col("nth") <= TRIED).select(F.col("cid").alias("a"), F.col("leader").alias("b")), "tried", parts)
+    stars = work.table(verified(first, sets, num, den), "stars", parts)
+    groups = components(stars, work, "stars-groups", parts)
+    post = work.table(post.select("token", "cid", "n", "o", "l").join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("g", F.coalesce("component", "cid")).drop("component"), "grouped", parts)
 
     # Where a bucket holds several groups: all but its largest against everything in it.
     sizes = post.groupBy("token", "g").agg(F.count(F.lit(1)).alias("held"))
     mixed = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("held", "g")).alias("top")).where("groups > 1").select("token", F.col("top.g").alias("top"))
     step = F.floor(F.log2(F.col("n").cast("double")) * STEPS)
-    held = work.table(post.join(mixed, "token").join(marks.select("cid", "sig"), "cid").withColumn("step", step), "mixed")
+    held = work.table(post.join(mixed, "token").join(marks.select("cid", "sig"), "cid").withColumn("step", step), "mixed", parts)
     highest = F.col("o") * F.lit((num + den) / num) - F.col("n")  # no larger partner can share enough
     low, high = F.floor(F.log2(F.col("n") * F.lit(num / den)) * STEPS), F.floor(F.log2(highest) * STEPS)
     outside = held.where("g <> top").withColumn("_low", low - 1).withColumn("_high", F.least(high + 1, F.col("step") + (F.col("step") - low) + 2)).where("_high >= _low").withColumn("step", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
     crossing = outside.alias("x").join(held.alias("y"), ["token", "step"]).where(f"x.g <> y.g AND (y.g = y.top OR x.cid < y.cid) AND {_possible(num, den, 'x', 'y')}")
     rest = crossing.groupBy(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("x.l", "y.l")).alias("need")).where("shared >= need").select("a", "b")
-    more = work.table(verified(work.table(rest, "candidates"), sets, num, den), "crossing")
+    more = work.table(verified(work.table(rest, "candidates", parts), sets, num, den), "crossing", parts)
     return stars.unionByName(more)
 
 
@@ -207,7 +219,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, m
     classes = known.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("cid"))
     own = known.where("tokens IS NOT NULL").join(classes.withColumnRenamed("fp", "_fp"), (F.col("doc_id") == F.col("cid")) & (F.col("fp") == F.col("_fp")))
     sets = work.table(own.select("cid", "fp", "n", F.expr("length(tokens) div 8 AS o"), "tokens", "times", "sig").dropDuplicates(["cid", "fp"]), "representatives")
-    groups = components(links(sets, work, num, den, matches), work)
+    groups = components(links(sets, work, num, den, matches), work, parts=work.parts(sets.count(), SETS_PART))
     named = known.select("doc_id", "n", "fp").join(classes.withColumnRenamed("fp", "_fp"), (F.col("fp") == F.col("_fp")) & (F.col("n") > 0), "left")
     return named.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cid", "doc_id").alias("component_id"))
 
