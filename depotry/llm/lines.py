@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotry.llm.shared import Workspace, get_array, put_array
+from depotry.llm.shared import Workspace, forget, get_array, put_array
 from depotry.llm.textscan import text_buffers
 
+#: Keys in one part of a run.
+RUN_PART = 500_000
 SPACE = b" \t\n\x0b\x0c\r"
 #: Common keys up to this number (16 bytes each) are memory-mapped by every worker; more are joined by shuffle.
 MOST_MAPPED = 4_000_000
@@ -53,14 +55,15 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
 class LineIndex:
     """Levelled sorted runs of (key, documents); ``fanout`` runs of a level are merged into one."""
 
-    def __init__(self, spark: SparkSession, work: Workspace, min_docs: int, fanout: int = 4):
-        self.spark, self.work, self.min_docs, self.fanout = spark, work, min_docs, fanout
+    def __init__(self, spark: SparkSession, work: Workspace, min_docs: int, fanout: int = 4, parts: int | None = None):
+        self.spark, self.work, self.min_docs, self.fanout, self.parts = spark, work, min_docs, fanout, parts
         self.levels: list[list[DataFrame]] = [[]]
         self.made = 0
 
     def _run(self, counts: DataFrame) -> DataFrame:
         self.made += 1
-        return self.work.table(counts.sortWithinPartitions("key"), f"run-{self.made}")
+        some = counts.coalesce(self.parts) if self.parts else counts
+        return self.work.table(some.sortWithinPartitions("key"), f"run-{self.made}")
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
         whole = runs[0]
@@ -98,6 +101,7 @@ def document_keys(docs: DataFrame, batches: int, min_chars: int, text: str = "te
     """(batch, key): one row for each distinct key of each document; a document goes to one batch whole."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for part in parts:
             keys, of = [], []
             for number, body in zip(part.column(0).to_pylist(), _texts(part, 1), strict=True):
@@ -165,10 +169,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     """
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "lines")
     work_keys = work.table(document_keys(docs, batches, min_chars, text), "keys")
-    index = LineIndex(spark, work, min_docs, fanout)
+    index = LineIndex(spark, work, min_docs, fanout, work.parts(work_keys.count(), RUN_PART))
     for number in range(batches):
         index.add(work_keys.where(F.col("batch") == number).select("key"))
-    common, uri = work.table(index.common(), "common"), None
+    common, uri = work.table(index.common(), "common", index.parts), None
     out = kept_digest if digest else kept_text
     rest = [c for c in docs.columns if c != text]
     body = F.col(text).cast("string").alias(text)

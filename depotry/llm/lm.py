@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotry.llm.hashcount import PARTS_SCHEMA, Shards, merged, parts, write_shard
+from depotry.llm.hashcount import PARTS_SCHEMA, SHARDS_A_TASK, Shards, merged, parts, write_shard
 from depotry.llm.shared import Workspace, get_array, split_sorted, text_bytes
 from depotry.llm.textscan import scan
 
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
                 dense[np.frombuffer(batch.column(1)[row].as_py(), np.uint32).astype(np.int64) - starts[number]] += np.frombuffer(batch.column(2)[row].as_py(), np.uint32)
         yield from close()
 
-    cont = made.where("shard >= 0").select("shard", "ids", "times").repartition(model.pair_shards, "shard").sortWithinPartitions("shard").mapInArrow(finish_before, "n array<long>")
+    cont = made.where("shard >= 0").select("shard", "ids", "times").repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-model.pair_shards // SHARDS_A_TASK)), "shard").sortWithinPartitions("shard").mapInArrow(finish_before, "n array<long>")
     times = np.zeros(6, np.int64)
     for r in cont.collect():  # a row for each shard
         times += r["n"]

@@ -19,6 +19,7 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -31,9 +32,9 @@ from depotry.llm.shared import Workspace, once
 from depotry.llm.textscan import text_buffers
 
 #: Words of a generation that a worker remembers, and the bytes of the longest one.
-WORDS_KEPT, LONGEST_KEPT = 250_000, 48
+WORDS_KEPT, LONGEST_KEPT = 150_000, 48
 #: Words coded in one call, bytes of text coded together.
-JOINED, BLOCK = 500, 1 << 20
+JOINED, BLOCK = 500, 1 << 19
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -48,6 +49,8 @@ class WordCoder:
     """
 
     def __init__(self, path: str):
+        # A task has one core; threads of the tokenizer's own cost memory and switch for nothing.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depotry.llm.docstats import COUNTS, text_counts
+from depotry.llm.shared import forget
 
 MOST_LABELLED = 20_000
 BINS, COARSE, PAIRS = 64, 16, 6
@@ -173,6 +174,7 @@ def score(docs: DataFrame, model: Additive, threshold: float = 0.7, keep_text: b
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             p = model.score(features(b.column(0))) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*b.schema.names[1:], *RESULTS])

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotry.llm.docstats import COUNTS, text_counts
-from depotry.llm.shared import Workspace
+from depotry.llm.shared import Workspace, forget
 
 LEAST_WORDS, MOST_REPEATED = 20, 30
 KEEP = 0.75
@@ -59,6 +59,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, x0..)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             c = text_counts(b.column(3))
             n, chars, symbols, dups, repeats, lines, distinct = (c[:, i].astype(float) for i in range(7))
@@ -112,23 +113,24 @@ def _cut(counts: DataFrame, by: list[str], share: Column) -> DataFrame:
 
 def concentrate(rows: DataFrame, work: Workspace, steps: int) -> DataFrame:
     """(group, rows, m, a) of the minimum-covariance-determinant estimate of every group of ``rows(group, x0..)``."""
+    few = work.parts(0, 1)  # a row or some bins for each group
     long = rows.select("group", F.posexplode(F.array(*(F.col(f"x{i}") for i in range(DIM)))).alias("i", "x")).withColumn("bin", F.floor(F.col("x") * BINS))
-    bins = work.table(long.groupBy("group", "i", "bin").agg(F.count(F.lit(1)).alias("n")), "bins")
+    bins = work.table(long.groupBy("group", "i", "bin").agg(F.count(F.lit(1)).alias("n")), "bins", few)
     quarters = [_cut(bins, ["group", "i"], F.lit(q)).select("group", "i", ((F.col("bin") + 0.5) / BINS).alias(f"q{int(100 * q)}"), *(["rows"] if q == 0.5 else [])) for q in (0.25, 0.5, 0.75)]
     spread = quarters[0].join(quarters[1], ["group", "i"]).join(quarters[2], ["group", "i"])
     floor = F.element_at(F.array(*map(F.lit, FLOORS)), F.col("i") + 1)
     start = spread.select("group", "i", "rows", F.col("q50").alias("m"), (1 / (F.pow((F.col("q75") - F.col("q25")) / 1.349, 2) + F.pow(floor, 2))).alias("d"))
     ordered = start.groupBy("group").agg(F.max("rows").alias("rows"), F.array_sort(F.collect_list(F.struct("i", "m", "d"))).alias("all"))  # DIM entries a group
     diagonal = F.flatten(F.transform("all", lambda s: F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda j: F.when(j == s["i"], s["d"]).otherwise(F.lit(0.0)))))
-    state = work.table(ordered.select("group", "rows", F.col("all.m").alias("m"), diagonal.alias("a")), "state-0")
+    state = work.table(ordered.select("group", "rows", F.col("all.m").alias("m"), diagonal.alias("a")), "state-0", few)
     for step in range(1, steps + 1):
         near = rows.join(state.select("group", "m", "a"), "group").withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * RINGS)).drop("m", "a")
         cut = _cut(near.groupBy("group", "bin").agg(F.count(F.lit(1)).alias("n")), ["group"], F.lit(KEEP)).withColumnRenamed("bin", "limit")
-        kept = near.join(work.table(cut, f"cut-{step}"), "group").where("bin <= limit")
+        kept = near.join(work.table(cut, f"cut-{step}", few), "group").where("bin <= limit")
         pairs = [(i, j) for i in range(DIM) for j in range(i, DIM)]
         sums = kept.groupBy("group").agg(F.max("rows").alias("rows"), F.count(F.lit(1)).alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in pairs))
         moments = sums.select("group", "rows", "n", F.array(*(f"s{i}" for i in range(DIM))).alias("s"), F.array(*(f"q{i}_{j}" for i, j in pairs)).alias("q"))
-        state = work.table(_inverted(moments, consistency(KEEP, DIM)), f"state-{step}")
+        state = work.table(_inverted(moments, consistency(KEEP, DIM)), f"state-{step}", few)
     return state
 
 

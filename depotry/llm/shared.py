@@ -59,11 +59,19 @@ class Workspace:
         if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
             spark.conf.set(_BATCH, str(BATCH_ROWS))
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written as Parquet and read again: cuts the lineage, survives lost executors."""
-        df.write.mode("overwrite").parquet(f"{self.uri}/{name}")
+    def table(self, df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+        """``df`` written as Parquet and read again: cuts the lineage, survives lost executors.
+
+        ``parts`` joins the many small parts that a shuffle leaves of little data, so that files
+        follow the rows (see ``parts``) and not the number of shuffle partitions.
+        """
+        (df.coalesce(parts) if parts else df).write.mode("overwrite").parquet(f"{self.uri}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.uri}/{name}")
 
+    def parts(self, rows: int, each: int) -> int:
+        """Parts for a table of so many rows: at least one for each core, else ``each`` rows in one."""
+        return max(self.spark.sparkContext.defaultParallelism, rows // each)
+
     def folder(self, name: str) -> str:
         fs, path = _fs(f"{self.uri}/{name}")
         fs.create_dir(path, recursive=True)
@@ -87,9 +95,15 @@ def put_array(uri: str, values: np.ndarray) -> None:
 
 
 def get_array(uri: str, dtype: str) -> np.ndarray:
-    """The array, memory-mapped. From a store without local files a worker maps its own copy."""
+    """The array, memory-mapped. From a store without local files a worker maps its own copy.
+
+    A worker keeps the maps of one folder; those of another operator's go, for a file that is
+    deleted but mapped still takes its place on the disk.
+    """
     if (got := _CACHE.get((uri, dtype))) is not None:
         return got
+    if _CACHE and next(iter(_CACHE))[0].rpartition("/")[0] != uri.rpartition("/")[0]:
+        _CACHE.clear()
     fs, path = _fs(uri)
     size = fs.get_file_info(path).size
     if not size:
@@ -134,3 +148,9 @@ def once(key: str, make):  # noqa: ANN001, ANN201
         if key not in _ONCE:
             _ONCE[key] = make()
         return _ONCE[key]
+
+
+def forget() -> None:
+    """Drop a worker's own objects: workers live on between operators, and memory is theirs all the while."""
+    with _LOCK:
+        _ONCE.clear()
