@@ -19,7 +19,7 @@ from depotry.llm.shared import forget, get_array, put_array, shard_starts
 #: Keys that a task holds before it sends what it has.
 HELD = 250_000
 #: Shards that a merging task takes in turn, one in memory at a time.
-SHARDS_A_TASK = 4
+SHARDS_A_TASK = 16
 PARTS_SCHEMA = "shard int, once binary, more binary, times binary"
 _PARTS = pa.schema([("shard", pa.int32()), ("once", pa.binary()), ("more", pa.binary()), ("times", pa.binary())])
 
