@@ -32,7 +32,7 @@ from depotry.llm.shared import Workspace, once
 from depotry.llm.textscan import text_buffers
 
 #: Words of a generation that a worker remembers, and the bytes of the longest one.
-WORDS_KEPT, LONGEST_KEPT = 150_000, 48
+WORDS_KEPT, LONGEST_KEPT = 220_000, 48
 #: Words coded in one call, bytes of text coded together.
 JOINED, BLOCK = 500, 1 << 19
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
