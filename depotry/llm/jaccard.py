@@ -20,6 +20,11 @@ Two texts link when |A n B| * den >= num * |A u B| for their sets of n-word shin
    differ in no more bits than the sets differ in shingles.
 5. Connected components of the verified links.
 
+``jaccard_groups`` needs no more links than connect each group, and step 4 leaves out the rest.
+``jaccard_join`` gives every link: step 4 joins the buckets in full, whatever group a document is
+in, and verifies each pair. Its rows grow with the square of a group of differing texts, as the
+links do; equal texts are one class and add none. ``link_counts`` is a document's number of links.
+
 Nothing is capped: buckets, partners and candidates are joined in full.
 
 Defined cases: null, empty or blank texts have no shingles and link with nothing; texts shorter
@@ -31,6 +36,7 @@ all its copies have none; an empty table gives no rows; extra columns are ignore
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +46,7 @@ from pyspark.sql import functions as F
 
 from depotry.llm.components import components
 from depotry.llm.hashcount import PARTS_SCHEMA, Shards, merged, parts, write_shard
-from depotry.llm.shared import Workspace, get_array, split_sorted, text_bytes
+from depotry.llm.shared import Workspace, get_array, put_array, split_sorted, text_bytes
 from depotry.llm.textscan import scan, shingles
 
 #: Bytes of text behind one shard of shingles.
@@ -55,6 +61,8 @@ LEADERS, TRIED = 7, 3
 BITS = 512
 #: Ids of rows to leave out (8 bytes each) up to this number are broadcast; more are joined by shuffle.
 MOST_BROADCAST = 1_000_000
+#: Tokens in one of the arrays from which all links are verified.
+TOKENS_FILE = 4 << 20
 #: Sets behind one part of the tables of postings and links.
 SETS_PART = 2_000
 #: Sizes are grouped in steps of a factor 2 ** (1 / 32) for the join.
@@ -176,6 +184,19 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ta", "nb", "tb").mapInArrow(run, "a long, b long")
 
 
+def _stepped(held: DataFrame) -> DataFrame:
+    return held.withColumn("step", F.floor(F.log2(F.col("n").cast("double")) * STEPS))
+
+
+def _meeting(some: DataFrame, held: DataFrame, where: str, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of ``some`` x and ``held`` y, both of ``_stepped``, that share enough of their prefixes."""
+    highest = F.col("o") * F.lit((num + den) / num) - F.col("n")  # no larger partner can share enough
+    low, high = F.floor(F.log2(F.col("n") * F.lit(num / den)) * STEPS), F.floor(F.log2(highest) * STEPS)
+    reach = some.withColumn("_low", low - 1).withColumn("_high", F.least(high + 1, F.col("step") + (F.col("step") - low) + 2)).where("_high >= _low").withColumn("step", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
+    crossing = reach.alias("x").join(held.alias("y"), ["token", "step"]).where(f"{where} AND {_possible(num, den, 'x', 'y')}")
+    return crossing.groupBy(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("x.l", "y.l")).alias("need")).where("shared >= need").select("a", "b")
+
+
 def links(sets: DataFrame, work: Workspace, num: int, den: int, matches: tuple[int, ...] = MATCHES) -> DataFrame:
     """Verified links between representatives, enough to connect all that link."""
     parts = work.parts(sets.count(), SETS_PART)
@@ -199,17 +220,91 @@ def links(sets: DataFrame, work: Workspace, num: int, den: int, matches: tuple[i
     # Where a bucket holds several groups: all but its largest against everything in it.
     sizes = post.groupBy("token", "g").agg(F.count(F.lit(1)).alias("held"))
     mixed = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("held", "g")).alias("top")).where("groups > 1").select("token", F.col("top.g").alias("top"))
-    step = F.floor(F.log2(F.col("n").cast("double")) * STEPS)
-    held = work.table(post.join(mixed, "token").join(marks.select("cid", "sig"), "cid").withColumn("step", step), "mixed", parts)
-    highest = F.col("o") * F.lit((num + den) / num) - F.col("n")  # no larger partner can share enough
-    low, high = F.floor(F.log2(F.col("n") * F.lit(num / den)) * STEPS), F.floor(F.log2(highest) * STEPS)
-    outside = held.where("g <> top").withColumn("_low", low - 1).withColumn("_high", F.least(high + 1, F.col("step") + (F.col("step") - low) + 2)).where("_high >= _low").withColumn("step", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
-    crossing = outside.alias("x").join(held.alias("y"), ["token", "step"]).where(f"x.g <> y.g AND (y.g = y.top OR x.cid < y.cid) AND {_possible(num, den, 'x', 'y')}")
-    rest = crossing.groupBy(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("x.l", "y.l")).alias("need")).where("shared >= need").select("a", "b")
+    held = work.table(_stepped(post.join(mixed, "token").join(marks.select("cid", "sig"), "cid")), "mixed", parts)
+    rest = _meeting(held.where("g <> top"), held, "x.g <> y.g AND (y.g = y.top OR x.cid < y.cid)", num, den)
     more = work.table(verified(work.table(rest, "candidates", parts), sets, num, den), "crossing", parts)
     return stars.unionByName(more)
 
 
+def all_links(sets: DataFrame, work: Workspace, num: int, den: int, matches: tuple[int, ...] = MATCHES) -> DataFrame:
+    """Every link (a, b), a < b, between representatives.
+
+    Pairs are many where groups are large, so they carry no sets: workers read those from arrays
+    on the shared folder.
+    """
+    parts, folder = work.parts(sets.count(), SETS_PART), work.folder("arrays")
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, kept, at = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            name = uuid.uuid4().hex  # a task that runs twice leaves two files; the rows name one of them
+            put_array(f"{folder}/{name}", np.concatenate(kept))
+            return pa.RecordBatch.from_pydict({"cid": pa.array([r[0] for r in rows], pa.int64()), "place": pa.array([{"file": name, "at": a, "o": o, "n": n} for _, n, a, o in rows], pa.struct({"file": pa.string(), "at": pa.int64(), "o": pa.int64(), "n": pa.int64()}))})
+
+        for b in batches:
+            for cid, n, tokens in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                kept.append(np.frombuffer(tokens, np.uint64))
+                rows.append((cid, n, at, len(kept[-1])))
+                at += len(kept[-1])
+                if at >= TOKENS_FILE:
+                    yield flush()
+                    rows, kept, at = [], [], 0
+        if rows:
+            yield flush()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def own(p: dict) -> np.ndarray:
+            return get_array(f"{folder}/{p['file']}", "u8")[p["at"] : p["at"] + p["o"]]
+
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                few, many = sorted((own(x), own(y)), key=len)
+                both = np.count_nonzero(many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few) if len(few) else 0
+                keep.append(den * both >= num * (x["n"] + y["n"] - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    places = work.table(sets.select("cid", "n", "tokens").mapInArrow(store, "cid long, place struct<file:string,at:long,o:long,n:long>"), "places", parts)
+    post = work.table(postings(sets, num, den, matches), "postings")
+    shared = post.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("token")
+    held = work.table(_stepped(post.join(shared, "token").join(sets.select("cid", "sig"), "cid")), "held", parts)
+    work.remove("postings")
+    pairs = work.table(_meeting(held, held, "x.cid < y.cid", num, den), "candidates", parts)
+    work.remove("held")
+    known = pairs.join(places.select(F.col("cid").alias("a"), F.col("place").alias("x")), "a").join(places.select(F.col("cid").alias("b"), F.col("place").alias("y")), "b")
+    return work.table(known.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links", parts)
+
+
+def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, matches: tuple[int, ...] = MATCHES) -> tuple[DataFrame, DataFrame]:
+    """The whole join: (doc_id, n_shingles, class_id) for every row, and each link (a, b), a < b, between classes.
+
+    Rows of equal sets are a class and link with one another; rows without shingles have none.
+    Classes are numbered by rows and not by ids, which may be null or repeated.
+    """
+    work = Workspace(docs.sparkSession, "jaccard-join")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = work.table(document_sets(docs, count_repeated(docs, work, n), n, num, den).withColumn("row", F.monotonically_increasing_id()), "sets")
+    work.remove("shingles")
+    classes = known.where("n > 0").groupBy("fp").agg(F.min("row").alias("cid"))
+    own = known.where("tokens IS NOT NULL").join(classes.select("cid"), F.col("row") == F.col("cid"))
+    sets = work.table(own.select("cid", "n", F.expr("length(tokens) div 8 AS o"), "tokens", "times", "sig"), "representatives")
+    named = known.select("doc_id", "n", "fp").join(classes.withColumnRenamed("fp", "_fp"), (F.col("fp") == F.col("_fp")) & (F.col("n") > 0), "left")
+    members = work.table(named.select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id")), "members")
+    work.remove("sets")
+    return members, all_links(sets, work, num, den, matches)
+
+
+def link_counts(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, matches: tuple[int, ...] = MATCHES) -> DataFrame:
+    """(doc_id, n_shingles, n_links) for every row: the number of other rows that it links with, copies among them."""
+    members, pairs = jaccard_join(docs, n, num, den, matches)
+    classes = members.where("class_id IS NOT NULL").groupBy("class_id").agg(F.count(F.lit(1)).alias("copies"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(classes, F.col("b") == F.col("class_id")).groupBy("a").agg(F.sum("copies").alias("others"))
+    known = classes.join(others, F.col("class_id") == F.col("a"), "left").select("class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return members.join(known, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, matches: tuple[int, ...] = MATCHES) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``; ``matches`` are the l to choose from."""
     work = Workspace(docs.sparkSession, "jaccard")

@@ -33,6 +33,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_counts(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(crc_of_id("doc_id") % 4 != 2))
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_packing": op2_packing,
     "op3_jaccard": op3_jaccard,
+    "op3_links": op3_links,
     "op5_secrets": op5_secrets,
     "op4_quality": op4_quality,
     "op6_rules": op6_rules,

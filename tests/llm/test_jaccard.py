@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from depotry.llm.jaccard import jaccard_groups
+from depotry.llm.jaccard import jaccard_groups, jaccard_join, link_counts
 
 
 def sets_of(text, n):
@@ -80,3 +80,23 @@ def test_odd_tables(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     got = sorted(((r["doc_id"] or 0, r["component_id"]) for r in jaccard_groups(docs).collect()), key=str)
     assert got == [(0, 1), (0, None), (1, 1), (1, 1), (4, 4)]
+
+
+@pytest.mark.parametrize(("seed", "n", "num"), [(1, 3, 90), (3, 5, 80), (4, 2, 50)])
+def test_every_link_is_found(spark, seed, n, num):
+    rng, rows = random.Random(seed), corpus(seed)
+    base = [f"v{i}" for i in range(200)]
+    for i in range(30):  # one group of differing near copies: far more links than connect it
+        copy = list(base)
+        copy[rng.randrange(200)] = f"x{i}"
+        rows.append((20_000 + i, " ".join(copy)))
+    rows += [(20_000, " ".join(base)), (None, " ".join(base)), (None, " ".join(base[1:]))]  # ids repeated and null
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = [sets_of(t, n) for _, t in rows]
+    linked = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and a and b and 100 * len(a & b) >= num * len(a | b)]
+    want = sorted((str(d), len(s), sum(i == k for i, _ in linked)) for k, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
+    assert sorted((str(r["doc_id"]), r["n_shingles"], r["n_links"]) for r in link_counts(docs, n, num, 100).collect()) == want
+    members, links = jaccard_join(docs, n, num, 100)
+    different = {frozenset((frozenset(sets[i]), frozenset(sets[j]))) for i, j in linked if sets[i] != sets[j]}
+    assert links.count() == links.distinct().count() == len(different)
+    assert members.count() == len(rows)
