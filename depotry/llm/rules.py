@@ -9,8 +9,8 @@ and quartiles of each statistic and takes ``steps`` concentration steps; each ke
 come from histograms of narrow bins and the moments from sums, so each step is a few partial
 aggregates by group: no group is gathered, a group with a third of all rows costs no more than
 many small ones. A group with fewer than ``least_rows`` rows uses its language's estimate, then
-that of all rows; with fewer than that in all, nothing is rejected. Statistics that hardly vary
-get a floor under their variance.
+that of all rows; with fewer than that in all, nothing is rejected. A statistic that
+hardly varies gets a floor under its variance; other variances stay as they are.
 
 Defined cases: null text is empty text; a null language or source is a value of its own; repeated
 rows count as often as they stand there; an empty table gives no rows; texts of any length are
@@ -32,13 +32,15 @@ from depotry.llm.shared import Workspace, forget
 
 LEAST_WORDS, MOST_REPEATED = 20, 30
 KEEP = 0.75
-#: Transformed statistics, in order, and the floor under the standard deviation of each.
+#: Transformed statistics, in order; the least standard deviation of each, which only replaces a
+#: smaller one; and a ridge that is added to all of them, so that any covariance has an inverse.
 VECTOR = ("size", "word_length", "symbols", "dup_lines", "repeats", "variety", "capitals", "marks")
-FLOORS = (0.7, 0.1, 0.4, 1.0, 1.0, 0.15, 0.5, 0.5)
+LEAST = (0.7, 0.1, 0.25, 0.8, 1.0, 0.15, 0.5, 0.5)
 DIM = len(VECTOR)
+FLOORS = (1e-3,) * DIM
 BINS, RINGS = 64, 16  # bins for a unit of a statistic; for a factor 2 of a distance
-#: A row of a Gaussian group has a greater distance once in about a million rows.
-CUTOFF = 43.0
+#: The quantile of chi-square beyond which a distance is an outlier's: one of 10,000 rows of a Gaussian group.
+QUANTILE = 0.9999
 
 
 def chi2_cdf(x: float, dim: int) -> float:
@@ -46,13 +48,21 @@ def chi2_cdf(x: float, dim: int) -> float:
     return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(dim // 2))
 
 
-def consistency(share: float, dim: int) -> float:
-    """What the covariance of the nearest ``share`` of Gaussian rows must be multiplied by."""
+def chi2_quantile(share: float, dim: int) -> float:
+    """The value that ``share`` of a chi-square distribution lies below."""
     low, high = 0.0, 200.0
     for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if chi2_cdf(mid, dim) < share else (low, mid)
-    return share / chi2_cdf(low, dim + 2)
+    return low
+
+
+def consistency(share: float, dim: int) -> float:
+    """What the covariance of the nearest ``share`` of Gaussian rows must be multiplied by."""
+    return share / chi2_cdf(chi2_quantile(share, dim), dim + 2)
+
+
+CUTOFF = chi2_quantile(QUANTILE, DIM)
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -96,6 +106,7 @@ def _inverted(moments: DataFrame, grown: float) -> DataFrame:
                 full[np.triu_indices(DIM)] = np.array(q) / n
                 full = full + np.triu(full, 1).T - np.outer(mean, mean)
                 full = grown * full + np.diag(np.array(FLOORS) ** 2)
+                full += np.diag(np.maximum(0, np.array(LEAST) ** 2 - np.diag(full)))
                 means.append(mean.tolist())
                 inverses.append(np.linalg.inv(full).ravel().tolist())
             kind = pa.list_(pa.float64())
@@ -118,8 +129,8 @@ def concentrate(rows: DataFrame, work: Workspace, steps: int) -> DataFrame:
     bins = work.table(long.groupBy("group", "i", "bin").agg(F.count(F.lit(1)).alias("n")), "bins", few)
     quarters = [_cut(bins, ["group", "i"], F.lit(q)).select("group", "i", ((F.col("bin") + 0.5) / BINS).alias(f"q{int(100 * q)}"), *(["rows"] if q == 0.5 else [])) for q in (0.25, 0.5, 0.75)]
     spread = quarters[0].join(quarters[1], ["group", "i"]).join(quarters[2], ["group", "i"])
-    floor = F.element_at(F.array(*map(F.lit, FLOORS)), F.col("i") + 1)
-    start = spread.select("group", "i", "rows", F.col("q50").alias("m"), (1 / (F.pow((F.col("q75") - F.col("q25")) / 1.349, 2) + F.pow(floor, 2))).alias("d"))
+    floor, least = (F.element_at(F.array(*map(F.lit, v)), F.col("i") + 1) for v in (FLOORS, LEAST))
+    start = spread.select("group", "i", "rows", F.col("q50").alias("m"), (1 / F.greatest(F.pow((F.col("q75") - F.col("q25")) / 1.349, 2) + F.pow(floor, 2), F.pow(least, 2))).alias("d"))
     ordered = start.groupBy("group").agg(F.max("rows").alias("rows"), F.array_sort(F.collect_list(F.struct("i", "m", "d"))).alias("all"))  # DIM entries a group
     diagonal = F.flatten(F.transform("all", lambda s: F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda j: F.when(j == s["i"], s["d"]).otherwise(F.lit(0.0)))))
     state = work.table(ordered.select("group", "rows", F.col("all.m").alias("m"), diagonal.alias("a")), "state-0", few)

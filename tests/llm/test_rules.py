@@ -63,3 +63,30 @@ def test_small_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "en", "s", "word " * 30 + "end"), (1, "en", "s", "a b c d e f g h i j k l m n o p q r s t u v")], "doc_id long, lang string, source string, text string")
     assert sorted(r["kept"] for r in rules.apply_rules(docs).collect()) == [False, True]
     assert rules.apply_rules(docs.limit(0)).count() == 0
+
+
+def prose_and_junk(clean, junk, every):
+    """Rows of one source; in junk rows each ``every``-th word ends with a symbol."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    texts = [[rng.choice(words) for _ in range(rng.randint(40, 300))] for _ in range(clean + junk)]
+    marked = [[w + "#" * (i >= clean and j % every == 0) for j, w in enumerate(t)] for i, t in enumerate(texts)]
+    return [(i, "en", "s0", " ".join(t).capitalize() + ".") for i, t in enumerate(marked)]
+
+
+def test_a_floor_replaces_only_smaller_variances(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, rules.DIM)) * 3
+    x[:, 2] = 0.5
+    frame = spark.createDataFrame([("g", *map(float, v)) for v in x], "group string, " + ", ".join(f"x{i} double" for i in range(rules.DIM)))
+    a = np.reshape(rules.concentrate(frame, Workspace(spark, "test"), 3).first()["a"], (rules.DIM, rules.DIM))
+    spread = np.sqrt(np.diag(np.linalg.inv(a)))
+    assert abs(spread[2] - rules.LEAST[2]) < 1e-6
+    assert abs(np.delete(spread, 2) - 3).max() < 0.6
+
+
+def test_a_tenth_of_symbols_is_an_outlier(spark):
+    rows = prose_and_junk(200, 12, 2)
+    got = {r["doc_id"]: r for r in rules.apply_rules(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()}
+    assert all(0.05 < got[i]["n_symbols"] / got[i]["word_chars"] < 0.12 for i in range(200, 212))
+    assert [i for i in range(212) if got[i]["kept"]] == list(range(200))
