@@ -31,7 +31,8 @@ from depotry.llm.docstats import COUNTS, text_counts
 from depotry.llm.shared import Workspace, forget
 
 LEAST_WORDS, MOST_REPEATED = 20, 30
-KEEP = 0.75
+#: About half of a group's rows shape its estimate, so up to half of them can be junk.
+KEEP = 0.5
 #: Transformed statistics, in order; the least standard deviation of each, which only replaces a
 #: smaller one; and a ridge that is added to all of them, so that any covariance has an inverse.
 VECTOR = ("size", "word_length", "symbols", "dup_lines", "repeats", "variety", "capitals", "marks")

@@ -90,3 +90,10 @@ def test_a_tenth_of_symbols_is_an_outlier(spark):
     got = {r["doc_id"]: r for r in rules.apply_rules(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()}
     assert all(0.05 < got[i]["n_symbols"] / got[i]["word_chars"] < 0.12 for i in range(200, 212))
     assert [i for i in range(212) if got[i]["kept"]] == list(range(200))
+
+
+def test_a_source_with_much_junk(spark):
+    rows = prose_and_junk(120, 80, 1)
+    got = {r["doc_id"]: r for r in rules.apply_rules(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()}
+    assert not any(got[i]["kept"] or got[i]["base_failed"] for i in range(120, 200))
+    assert sum(got[i]["kept"] for i in range(120)) >= 118
