@@ -197,30 +197,54 @@ def solve_grouped(points: DataFrame, ks: tuple[int, ...], weight: str = "orders"
     return rows.groupBy("dataset", "variant", "k").applyInPandas(run, PLACED)
 
 
+def _by_run(points: DataFrame, centres: dict[int, np.ndarray], profile: Profile) -> DataFrame:
+    """Every point once for each run, with ``near``: (distance, number) of the run's nearest centre."""
+    runs = points.sparkSession.createDataFrame([(r, [(float(a), float(b)) for a, b in at]) for r, at in centres.items()], "run int, spots array<struct<a:double,b:double>>")
+    spots = F.transform("spots", lambda s, i: F.struct(haversine(F.col("lat"), F.col("lon"), s["a"], s["b"], profile).alias("d"), i.alias("c")))
+    return points.crossJoin(F.broadcast(runs)).withColumn("near", F.array_min(spots)).drop("spots")
+
+
+def _seeds_large(points: DataFrame, k: int, search: Search, profile: Profile) -> dict[int, np.ndarray]:
+    """k centres for each restart, drawn over all points as ``_seeds`` does: k passes, one row a restart each.
+
+    A draw in proportion to odds is the point with the least -log(u) / odds, u by a hash of the point.
+    """
+    first = points.agg(F.max_by(F.struct("lat", "lon"), F.struct("w", "h")).alias("p")).first()["p"]
+    centres = {r: np.array([[first["lat"], first["lon"]]]) for r in range(search.restarts)}
+    for turn in range(1, k):
+        odds = F.greatest("w", F.lit(1.0)) * F.pow("near.d", F.lit(2))
+        u = (F.pmod(F.xxhash64("h", "run", F.lit(turn), F.lit(search.seed)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+        drawn = _by_run(points, centres, profile).where(odds > 0).groupBy("run").agg(F.min_by(F.struct("lat", "lon"), F.struct(-F.log(u) / odds, F.col("h"))).alias("p")).collect()
+        new = {r["run"]: r["p"] for r in drawn}  # none where every point is a centre already
+        centres = {r: np.vstack([at, new[r] if r in new else at[0]]) for r, at in centres.items()}
+    return centres
+
+
 def solve_large(points: DataFrame, k: int, weight: str = "orders", profile: Profile = RUPEE, rounds: int = 60, tol_km: float = 1e-3, means: bool = False) -> list[tuple[float, float]]:
-    """Centres for one instance of any size, as a driver loop over aggregates of k rows.
+    """Centres for one instance of any size, as a driver loop over aggregates of k rows a restart.
 
-    Starts from the best of several draws on a bounded random sample of 2000 points; then every
-    pass assigns all points and takes one reweighted step for all centres. The sample only gives
-    the start: each pass reads every point.
+    All restarts are drawn over all points and advance together: every pass assigns all points
+    and takes one reweighted step for all centres of the restarts that still move. The last pass
+    scores every restart on all points.
     """
-    some = points.select("lat", "lon", F.col(weight).cast("double").alias("w"), F.xxhash64("dataset", "ord").alias("h")).orderBy("h").limit(2000).toPandas()
-    centres, _, _ = place(Metric(some["lat"].to_numpy(), some["lon"].to_numpy(), profile), some["w"].to_numpy(), k, Search(restarts=6, rounds=30, exact_start=False, means=means))
-    w = F.col(weight).cast("double")
+    rows = points.select("lat", "lon", F.col(weight).cast("double").alias("w"), F.xxhash64("dataset", "ord").alias("h"))
+    centres = _seeds_large(rows, k, Search(), profile)
+    live = set(centres)
     for _ in range(rounds):
-        spots = F.array(*(F.struct(haversine(F.col("lat"), F.col("lon"), F.lit(float(a)), F.lit(float(b)), profile).alias("d"), F.lit(i).alias("c")) for i, (a, b) in enumerate(centres)))
-        near = points.withColumn("_n", F.array_min(spots))
-        pull = w if means else w / F.greatest(F.col("_n.d"), F.lit(1e-9))
-        sums = near.groupBy(F.col("_n.c").alias("c")).agg(F.sum(pull).alias("s"), F.sum(pull * F.col("lat")).alias("a"), F.sum(pull * F.col("lon")).alias("b")).collect()  # k rows
-        new = np.array(centres, float)
+        pull = F.col("w") if means else F.col("w") / F.greatest(F.col("near.d"), F.lit(1e-9))
+        near = _by_run(rows, {r: centres[r] for r in sorted(live)}, profile)
+        sums = near.groupBy("run", F.col("near.c").alias("c")).agg(F.sum(pull).alias("s"), F.sum(pull * F.col("lat")).alias("a"), F.sum(pull * F.col("lon")).alias("b")).collect()  # k rows a restart
+        new = {r: centres[r].copy() for r in live}
         for r in sums:
             if r["s"] > 0:
-                new[r["c"]] = r["a"] / r["s"], r["b"] / r["s"]
-        moved = np.abs(new - centres).max() * 111.2
-        centres = new
-        if moved < tol_km:
+                new[r["run"]][r["c"]] = r["a"] / r["s"], r["b"] / r["s"]
+        live = {r for r in live if np.abs(new[r] - centres[r]).max() * 111.2 >= tol_km}
+        centres |= new
+        if not live:
             break
-    return [(float(a), float(b)) for a, b in centres]
+    costs = _by_run(rows, centres, profile).groupBy("run").agg(F.sum(F.col("w") * F.col("near.d")).alias("cost")).collect()  # a row a restart
+    best = min(costs, key=lambda r: (r["cost"], r["run"]))["run"]
+    return [(float(a), float(b)) for a, b in centres[best]]
 
 
 def geometric_medians(points: DataFrame, plan: tuple[str, ...] = ("dataset",), weight: str = "orders", profile: Profile = RUPEE) -> DataFrame:

@@ -137,6 +137,14 @@ def test_large_instance_close_to_small_solver(spark):
     assert got < 30378.17 * 1.01
 
 
+def test_large_instance_sees_a_small_far_cluster(spark):
+    near = spark.range(3000).select(F.lit("far").alias("dataset"), F.col("id").alias("ord"), (12.9 + F.col("id") % 50 / 1000).alias("lat"), (77.6 + F.col("id") % 60 / 1000).alias("lon"), F.lit(1).alias("orders"))
+    last = [r["ord"] for r in near.orderBy(F.xxhash64("dataset", "ord").desc()).limit(3).collect()]
+    pts = near.withColumn("lat", F.when(F.col("ord").isin(last), 16.0).otherwise(F.col("lat"))).cache()
+    centres = solve.solve_large(pts, 2, rounds=5)
+    assert min(abs(a - 16.0) for a, _ in centres) < 0.1
+
+
 def test_verification_and_agreement(spark):
     pts = sample(spark, "exact_6").cache()
     assert {r["verdict"] for r in whatif.spot_check(sample(spark, "cross_13"), 2, samples=3).collect()} == {"PASS"}
