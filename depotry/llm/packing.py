@@ -208,8 +208,9 @@ def _configured(counts: np.ndarray, room: int, large: float, groups: int, full:
     lengths = np.flatnonzero(counts)[::-1]
     lengths = lengths[lengths * large > room]
     total = int(counts[lengths].sum())
-    if total < 2 * groups:
+    if not total:
         return []
+    groups = max(1, min(groups, total // 2))  # small tables have fewer groups, of two pieces at least
     sizes, members, demand, left = [], [], [], -(-total // groups)
     for length in map(int, lengths):
         n = int(counts[length])

@@ -96,3 +96,11 @@ def test_empty_and_repeated(spark):
     rows = packing.pack(docs, PATH, 64).collect()
     assert len(rows) == 41
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 41
+
+
+def test_small_tables_are_dealt_too():
+    counts = np.zeros(257, int)
+    counts[100], counts[78] = 30, 60
+    bins = packing._configured(counts, 256, 4, 100, 0.99)
+    assert sum(m for m, _ in bins) > 0
+    assert all(sum(content) >= 0.99 * 256 for _, content in bins)
