@@ -48,8 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents placed in sequences."""
-    return packing.pack(docs, TOKENIZER, max_tokens=2048, end_id=0)
+    """Pieces of the documents placed in sequences, with their tokens."""
+    return packing.pack(docs, TOKENIZER, max_tokens=2048, end_id=0, with_ids=True)
 
 
 STAGES = [
@@ -61,10 +61,21 @@ STAGES = [
 ]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``."""
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of ``sf_dir``: each piece with its place and its tokens."""
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         docs = work.table(stage(spark, docs, sf_dir), f"stage-{number}")
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``packed`` without the tokens: places and digests."""
+    return packed(spark, sf_dir).drop("ids")
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sequence_id, ids): the tokens of each sequence; at most ``max_tokens`` of them in a row."""
+    pieces = packed(spark, sf_dir).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("pieces"))
+    return pieces.select("sequence_id", F.flatten("pieces.ids").alias("ids"))

@@ -82,3 +82,9 @@ def test_one_row_of_each_group_stays(spark):
     text = "one two three four five six seven"
     docs = spark.createDataFrame([(5, text, 1), (3, text, 2), (3, text, 3), (None, text, 4), (None, "other", 5), (9, None, 6)], "doc_id long, text string, n int")
     assert sorted(r["text"] or "" for r in representatives(docs).collect()) == ["", text, "other"]
+
+
+def test_sequences_hold_the_tokens(spark, folder):
+    rows = corpus_pipeline.sequences(spark, folder[0]).collect()
+    assert 0 < max(len(r["ids"]) for r in rows) <= 2048
+    assert sum(i == 0 for r in rows for i in r["ids"]) > 50
