@@ -10,14 +10,16 @@ import html
 import re
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math select".split())
+RAW = frozenset("script style title textarea".split())
+#: Left out if they are closed; one that is not ends with its parent, and what it holds stays.
+ASIDE = frozenset("noscript template iframe svg select".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul button label legend caption".split()
 )
 #: A start tag closes these if they are open above it and inside nothing of the second set.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "thead": ({"tr", "td", "th"}, {"table"}), "tbody": ({"thead", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "tr", "td", "th"}, {"table"})}
 _NO_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-_SCOPE = frozenset("td th table button caption html".split())
+_SCOPE = frozenset("td th table button caption html".split()) | ASIDE
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRS = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])")
@@ -68,6 +70,14 @@ def parse(page: str) -> Node:
                 in_head = False
             elif name == "a":
                 link = 0
+            elif name in ASIDE:
+                up = node
+                while up is not root and up.tag != name:
+                    up = up.parent
+                if up is not root:
+                    node = up.parent
+                    node.pieces.pop()  # the element, which is the last there while it is open
+                    node.children.pop()
             elif name in BLOCK and name not in ("html", "body"):
                 up = node
                 while up is not root and up.tag != name:
@@ -81,8 +91,16 @@ def parse(page: str) -> Node:
             if not match[3].endswith("/") or name in ("script", "style"):
                 end = _RAW_END[name].search(page, pos)
                 pos = end.end() if end else len(page)
-            node.inputs += name in ("textarea", "select")
+            node.inputs += name == "textarea"
+            node.pieces.append(" ")
+        elif name in ASIDE:
+            node.inputs += name == "select"
             node.pieces.append(" ")
+            if not match[3].endswith("/"):
+                child = Node(name, frozenset(), node)
+                node.pieces.append(child)
+                node.children.append(child)
+                node = child
         elif name == "head":
             in_head = True
         elif name in ("html", "body"):
@@ -102,7 +120,7 @@ def parse(page: str) -> Node:
             if name in _CLOSES:
                 shut, stop = _CLOSES[name]
                 up = node
-                while up is not root and up.tag not in stop:
+                while up is not root and up.tag not in stop and up.tag not in ASIDE:
                     if up.tag in shut:
                         node = up.parent
                     up = up.parent

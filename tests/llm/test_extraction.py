@@ -84,3 +84,15 @@ def test_nodes_nest_as_browsers_nest_them():
     root = parse("<body><p>a<div>b</div><ul><li>c<li>d<ul><li>e</ul></ul>f")
     assert [c.tag for c in root.children] == ["p", "div", "ul"]
     assert [c.tag for c in root.children[2].children] == ["li", "li"]
+
+
+def test_unclosed_elements_end_with_their_parent():
+    from depotry.llm.htmltree import parse
+
+    def text(node):
+        return "".join(p if isinstance(p, str) else text(p) for p in node.pieces)
+
+    for tag in ("svg", "math", "select", "noscript", "template", "iframe"):
+        assert text(parse(f"<div><{tag}></div><article><p>one</p><{tag}><p>two</p></article><p>three</p>")).replace(" ", "") == "onetwothree", tag
+    assert "gone" not in text(parse("<p>a<svg><p>gone</p></svg><select><option>gone</select><noscript><div>gone</div></noscript>b</p>"))
+    assert text(parse("<p>a <math><mi>x</mi></math> b</p>")) == "a x b"
