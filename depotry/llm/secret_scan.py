@@ -16,6 +16,7 @@ are kept, but for ones named as the results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -55,65 +56,91 @@ ALLOWED = (
 )
 
 
+#: Hits that one inner fold places; the outer fold carries their lists, so that placing takes time in line with the hits.
+HITS_BLOCK = 256
+#: Windows of a run that are looked at together; blocks overlap by a window less one character.
+RUN_BLOCK = 1024
+
+
 def located(text: Column, pattern: str, kind: int) -> Column:
     """array<struct<start, kind, end, hit>> of the pattern's matches."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.struct(F.split(text, pattern, -1).alias("between"), hits.alias("hits"))
-    none = F.expr("CAST(array() AS array<struct<start:bigint,kind:int,end:bigint,hit:string>>)")
+    spans = "array<struct<start:bigint,kind:int,end:bigint,hit:string>>"
+    none, nothing = (F.expr(f"CAST(array() AS {t})") for t in (spans, f"array<{spans}>"))
 
     def walk(found: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
+        def place(state: Column, i: Column) -> Column:
             hit = F.element_at(found["hits"], i)
             start = state["at"] + F.length(F.element_at(found["between"], i))
-            end = start + F.length(hit)
-            span = F.struct(start.cast("long").alias("start"), F.lit(kind).alias("kind"), end.cast("long").alias("end"), hit.alias("hit"))
-            return F.struct(end.cast("long").alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+            span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(hit)).alias("end"), hit.alias("hit"))
+            return F.struct((start + F.length(hit)).alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(found["hits"])), F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda state: state["out"])
+        def block(state: Column, first: Column) -> Column:
+            last = F.least(F.size(found["hits"]), first + (HITS_BLOCK - 1))
+            some = F.aggregate(F.sequence(first, last), F.struct(state["at"].alias("at"), none.alias("out")), place)
+            return F.transform(F.array(some), lambda s: F.struct(s["at"].alias("at"), F.concat(state["out"], F.array(s["out"])).alias("out")))[0]
+
+        zero = F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(found["hits"]), F.lit(HITS_BLOCK)), zero, block, lambda state: F.flatten(state["out"]))
 
     # A one-element array carries the two lists into one lambda, so that each is made once.
     return F.when(text.rlike(pattern), F.flatten(F.transform(F.array(parts), walk))).otherwise(none)
 
 
-def window_entropy(text: Column, alphabet: str, window: int) -> Column:
-    """The largest Shannon entropy, in bits a character, of any ``window`` characters of ``text``."""
+def window_entropy(places: Column, size: int, window: int) -> Column:
+    """The largest Shannon entropy, in bits a character, of any ``window`` neighbours of an array of places 1..``size``.
+
+    A step counts one character in and, once the window is full, one out: two entries of the
+    counts change and the sum of c * log2(c) with them.
+    """
 
     def weight(c: Column) -> Column:
         return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
-    def counted(state: Column, at: Column, by: int) -> tuple[Column, Column]:
-        place = F.instr(F.lit(alphabet), F.substring(text, at, 1))
-        old = F.element_at(state["counts"], place)
-        counts = F.transform(state["counts"], lambda c, i: F.when(i == place - 1, c + by).otherwise(c))
-        return counts, state["sum"] + weight(old + by) - weight(old)
+    def moved(state: Column, at: Column, by: int) -> Column:
+        """``state`` with one more or one less of the character at ``at``."""
 
-    def enter(state: Column, i: Column) -> Column:
-        counts, total = counted(state, i, 1)
-        return F.struct(counts.alias("counts"), total.alias("sum"), state["low"].alias("low"))
+        def entry(s: Column) -> Column:  # place and count of the character, both needed more than once
+            counts = F.concat(F.slice(state["counts"], F.lit(1), s["place"] - 1), F.array(s["old"] + by), F.slice(state["counts"], s["place"] + 1, F.lit(size) - s["place"]))
+            return F.struct(counts.alias("counts"), (state["sum"] + weight(s["old"] + by) - weight(s["old"])).alias("sum"), state["low"].alias("low"))
 
-    def leave(state: Column, i: Column) -> Column:
-        counts, total = counted(state, i, -1)
-        return F.struct(counts.alias("counts"), total.alias("sum"), state["low"].alias("low"))
+        place = F.element_at(places, at)
+        return F.transform(F.array(F.struct(place.alias("place"), F.element_at(state["counts"], place).alias("old"))), entry)[0]
 
     def step(state: Column, i: Column) -> Column:
-        inside = F.flatten(F.transform(F.array(enter(state, i)), lambda s: F.array(F.when(i > window, leave(s, i - window)).otherwise(s))))[0]
-        return F.transform(F.array(inside), lambda s: F.struct(s["counts"].alias("counts"), s["sum"].alias("sum"), F.when(i >= window, F.least(s["low"], s["sum"])).otherwise(s["low"]).alias("low")))[0]
+        inside = F.transform(F.array(moved(state, i, 1)), lambda s: F.when(i > window, moved(s, i - window, -1)).otherwise(s))
+        return F.transform(inside, lambda s: F.struct(s["counts"].alias("counts"), s["sum"].alias("sum"), F.when(i >= window, F.least(s["low"], s["sum"])).otherwise(s["low"]).alias("low")))[0]
 
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("low"))
-    least = F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda s: s["low"])
+    start = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("low"))
+    least = F.aggregate(F.sequence(F.lit(1), F.size(places)), start, step, lambda s: s["low"])
     return F.log2(F.lit(float(window))) - least / F.lit(float(window))
 
 
+def reaches(run: Column, c: CharacterClass) -> Column:
+    """Whether any window of a run of the class has at least its bits; the run is read in blocks, up to the first that has."""
+    raw = run.cast("binary")  # the classes are ASCII: a byte is a character, and a part of it is cut without a scan
+
+    def block(first: Column) -> Column:
+        chars = F.split(F.substring(raw, first, F.lit(RUN_BLOCK + c.window - 1)).cast("string"), "", -1)
+        places = F.filter(F.transform(chars, lambda x: F.when(x != "", F.instr(F.lit(c.alphabet), x)).otherwise(0)), lambda n: n > 0)
+        # A window of d different characters has log2(d) bits at most, so most blocks of dull runs need no counting.
+        varied = F.filter(F.array(places), lambda p: F.size(F.array_distinct(p)) >= math.ceil(2**c.bits - 1e-9))
+        return F.exists(varied, lambda p: window_entropy(p, len(c.alphabet), c.window) >= c.bits)
+
+    return F.exists(F.sequence(F.lit(1), F.octet_length(run) - (c.window - 1), F.lit(RUN_BLOCK)), block)
+
+
 def _suspicious(c: CharacterClass) -> Callable[[Column], Column]:
     known = "(?i)" + "|".join(ALLOWED)
-    return lambda s: ~s["hit"].rlike(known) & (window_entropy(s["hit"], c.alphabet, c.window) >= c.bits)
+    return lambda s: ~s["hit"].rlike(known) & reaches(s["hit"], c)
 
 
 def of_kind(spans: str, kind: int) -> Column:
     return F.filter(spans, lambda s: s["kind"] == kind)
 
 
-def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str = "text", classes: tuple[CharacterClass, ...] = CLASSES) -> DataFrame:
     """``docs`` without its text and with ``found``: array<struct<start, kind, end, hit>> by start, then kind."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     kinds = [
@@ -121,9 +148,10 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
         F.filter(located(body, ACCESS, 1), lambda s: F.length(s["hit"]) >= ACCESS_LEAST),
         located(body, HEX.replace("+", f"{{{HEX_LEAST},}}"), 2),  # a run of fewer is no match of any kind
     ]
-    for number, c in enumerate(CLASSES, 3):
+    for number, c in enumerate(classes, 3):
         kinds.append(F.filter(located(body, c.pattern, number), _suspicious(c)))
-    return docs.withColumn("found", F.array_sort(F.concat(*kinds))).drop(text)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (text.lower(), "found")]
+    return docs.select(*rest, F.array_sort(F.concat(*kinds)).alias("found"))
 
 
 def span_text(spans: Column) -> Column:
