@@ -11,7 +11,7 @@ The model is trained on ``TRAIN_PAGES`` generated pages, on the driver, the same
 
 Defined cases: null or empty html gives empty text, as do pages without text; repeated rows give
 the same text; an empty table gives no rows; pages of any length are read whole; broken markup is
-read as it stands; extra columns are kept, but for the html and for ones named as results.
+read as it stands; extra columns are kept, but for the html and for ones named as results (in any case).
 """
 
 from __future__ import annotations
@@ -187,7 +187,7 @@ def main_texts(pages: list[str | None], model: Forest) -> list[str]:
 def extract(pages: DataFrame, html: str = "html", model: Forest | None = None) -> DataFrame:
     """The columns of ``pages`` but for the html, with ``text`` and ``n_chars`` (code points)."""
     model = model or trained()
-    rest = [c for c in pages.columns if c != html and c not in RESULTS]
+    rest = [c for c in pages.columns if c.lower() not in (html.lower(), *RESULTS)]
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,4 +198,4 @@ def extract(pages: DataFrame, html: str = "html", model: Forest | None = None) -
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*b.schema.names[1:], *RESULTS])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "text string, n_chars long"])
-    return pages.select(F.col(html).cast("string").alias("__html"), *rest).mapInArrow(run, schema)
+    return pages.select(F.col(f"`{html}`").cast("string").alias("__html"), *(F.col(f"`{c}`") for c in rest)).mapInArrow(run, schema)

@@ -22,6 +22,7 @@ NAMES = {
     "content": ("content", "main", "article", "post", "entry", "entry-content", "article-body", "story", "text", "post-body", "main-content"),
     "neutral": ("box", "row", "col", "wrap", "container", "inner", "block", "module", "x1", "grid", "panel", "s3"),
 }
+PUNCTUATION = "!#$%*+-./:;=?@^_|~"
 SEMANTIC = {"nav": "nav", "header": "header", "footer": "footer", "side": "aside", "form": "form", "comments": "section", "content": "article"}
 WORDS = tuple(a + b for a in ("ta", "re", "mo", "li", "sun", "ver", "o", "ka", "pel", "in", "th", "an") for b in ("", "n", "ra", "to", "ling", "s", "der", "e", "mis", "ous"))
 
@@ -32,6 +33,7 @@ class Pages:
     def __init__(self, seed: int):
         self.rng = random.Random(seed)
         self.mark = lambda text: text  # what a page's article does to its sentences
+        self.cells = False  # whether parts are cells of a table that lays out the page
 
     def words(self, low: int, high: int) -> str:
         return " ".join(self.rng.choice(WORDS) for _ in range(self.rng.randint(low, high)))
@@ -43,13 +45,15 @@ class Pages:
         return text[0].upper() + text[1:] + self.rng.choice(".....!?")
 
     def styles(self) -> list:
-        r, marks = self.rng, ("%%%", "###", "***", "$$$")
+        """Ways in which a text may look unlike prose: its words with marks, parted by marks, in one case, or one word over and over."""
+        r = self.rng
+        mark, between = ("".join(r.choice(PUNCTUATION) for _ in range(r.randint(1, 3))) for _ in range(2))
         return [
-            lambda t: " ".join(w + r.choice(marks) for w in t.split()),
-            lambda t: t.replace(" ", " | ").strip("."),
-            lambda t: t.upper().replace(" ", "!! "),
-            lambda t: t.strip(".!?").lower(),
-            lambda t: " ".join([t.split()[0]] * len(t.split())),
+            lambda t: " ".join(w + mark for w in t.split()),
+            lambda t: f" {between} ".join(t.split()),
+            lambda t: r.choice((str.upper, str.lower, str.title))(t) + mark,
+            lambda t: " ".join("".join(c for c in w if c.isalpha()) for w in t.split()),
+            lambda t: " ".join([r.choice(t.split())] * len(t.split())),
         ]
 
     def prose(self, most: int = 6) -> str:
@@ -64,6 +68,8 @@ class Pages:
 
     def wrap(self, kind: str, inside: str, semantic: float) -> str:
         tag = SEMANTIC.get(kind, "div") if self.rng.random() < semantic else self.rng.choice(("div", "div", "section"))
+        if self.cells:
+            tag = "td"
         telling = 0.45 if tag == SEMANTIC.get(kind) else 0.93
         return f"<{tag}{self.attrs(kind, telling)}>{inside}</{tag}>"
 
@@ -74,7 +80,7 @@ class Pages:
         return self.rng.choice((" | ", " ", "<br>")).join(items)
 
     def part(self, kind: str, semantic: float) -> str:
-        r = self.rng
+        r, cells, self.cells = self.rng, self.cells, False
         heading = f"<h{r.randint(2, 4)}>{self.words(1, 4)}</h3>" if r.random() < 0.5 else ""
         short = f"<p>{self.prose(2)}</p>" if r.random() < 0.6 else self.sentence()
         if kind == "nav":
@@ -82,7 +88,7 @@ class Pages:
         elif kind == "header":
             inside = r.choice((heading, f"<a href='/'>{self.words(1, 2)}</a>", self.words(1, 5))) + (self.links(2, 6) if r.random() < 0.5 else "")
         elif kind == "footer":
-            inside = "&copy; " * (r.random() < 0.6) + r.choice((self.words(2, 8), short, self.prose(2), f"{self.words(1, 1)}.{self.words(1, 1)}.test &middot; {self.prose(2)}")) + (self.links(2, 8) if r.random() < 0.5 else "")
+            inside = "&copy; " * (r.random() < 0.6) + r.choice((self.words(2, 8), short, self.prose(2), f"{self.words(1, 3)} {self.rng.choice(('&copy;', '&middot;', '-', '/', '2019', '&reg;'))} {self.prose(2)}")) + (self.links(2, 8) if r.random() < 0.5 else "")
         elif kind == "side":
             inside = heading + r.choice((self.links(3, 8), short, self.links(2, 5) + short, f"<p>{self.prose(3)}</p>"))
         elif kind == "notice":
@@ -98,6 +104,7 @@ class Pages:
             own = ' class="comment"' if r.random() < 0.6 else ""
             body = [f"<{one}{own}><{r.choice(('b', 'span', 'h4'))}>{self.words(1, 2)}</b><p>{self.prose(4)}</p></{one}>" for _ in range(r.randint(1, 6))]
             inside = heading + ("<ul>" + "".join(body) + "</ul>" if one == "li" else "".join(body)) + (self.part("form", semantic) if r.random() < 0.3 else "")
+        self.cells = cells
         return self.wrap(kind, inside, semantic)
 
     def article(self) -> tuple[str, list[str]]:
@@ -114,7 +121,8 @@ class Pages:
             if kind < 0.78 or simple:
                 inner = text
                 if r.random() < 0.2:
-                    inner = f"<{r.choice(('b', 'em', 'span'))}>{text}" + r.choice(("</b>", "<br>", ""))
+                    tag = r.choice(("b", "em", "span", "i", "strong", "small", "code"))
+                    inner = f"<{tag}>{text}" + r.choice((f"</{tag}>", f"</{tag}>", "<br>", "<wbr>", "", "</u>"))
                 if r.random() < 0.15:
                     link = self.words(1, 2)
                     inner, text = f"{inner} <a href=/y>{link}</a>", f"{text} {link}"
@@ -151,12 +159,21 @@ class Pages:
         for kind in ("comments", "social", "side", "footer"):
             if r.random() < 0.07:
                 mixed.append(self.part(kind, semantic))
-        main = self.wrap("content", "".join(mixed), semantic) if r.random() < 0.95 else "".join(mixed)
-        for _ in range(r.choice((0, 0, 1, 2))):
+        self.cells = r.random() < 0.1
+        main = self.wrap("content", "".join(mixed), semantic) if self.cells or r.random() < 0.95 else "".join(mixed)
+        for _ in range(0 if self.cells else r.choice((0, 0, 1, 2))):
             main = f"<div{self.attrs(r.choice(('neutral', 'content')), 0.7)}>{main}</div>"
         before = [self.part(k, semantic) for k in ("header", "nav", "notice", "ad", "form", "social") if r.random() < (0.75 if k == "nav" else 0.35)]
         after = [self.part(k, semantic) for k in ("comments", "side", "ad", "social", "form", "notice", "nav", "footer") if r.random() < (0.75 if k == "footer" else 0.3)]
         r.shuffle(before)
         aside = [self.part("side", semantic)] if r.random() < 0.3 else []
         head = f"<head><title>{self.words(2, 5)}</title><style>p{{margin:0}}</style></head>" if r.random() < 0.8 else ""
-        return f"<!DOCTYPE html><html>{head}<body>{''.join(before + aside)}{main}{''.join(after)}</body></html>", blocks
+        body = "".join(before + aside) + main + "".join(after)
+        if self.cells:
+            self.cells, rows = False, [""]
+            for cell in [*before, *aside, main, *after]:
+                rows[-1] += cell
+                if r.random() < 0.6:
+                    rows.append("")
+            body = "<table>" + "".join(f"<tr>{x}</tr>" for x in rows if x) + "</table>"
+        return f"<!DOCTYPE html><html>{head}<body>{body}</body></html>", blocks

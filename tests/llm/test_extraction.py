@@ -1,7 +1,10 @@
 """Main text: held-out generated pages, handwritten pages, broken markup, and the decoding."""
 
 import itertools
+import random
+import time
 from collections import Counter
+from html import unescape
 
 import numpy as np
 import pytest
@@ -96,3 +99,81 @@ def test_unclosed_elements_end_with_their_parent():
         assert text(parse(f"<div><{tag}></div><article><p>one</p><{tag}><p>two</p></article><p>three</p>")).replace(" ", "") == "onetwothree", tag
     assert "gone" not in text(parse("<p>a<svg><p>gone</p></svg><select><option>gone</select><noscript><div>gone</div></noscript>b</p>"))
     assert text(parse("<p>a <math><mi>x</mi></math> b</p>")) == "a x b"
+
+
+@pytest.mark.parametrize(("html", "want"), [("<div title=don't><p>Hello world.</p><p>It's fine.</p></div>", "Hello world.\n\nIt's fine."), ('<div class="a"b"><p>x y</p></div>', "x y"), ("<head><title>t</title><b>inline only text</b>", "inline only text"), ("a < b & c <3 d", "a < b & c <3 d"), ('<p class="x>one</p><p>two</p>', "one\n\ntwo"), ("<!-- c --!>q<!-->r<!--->s</ x>t</>u<?y?>v", "qrstuv"), ("<p data-class='nav' CLASS = body>x", "x"), ("x <a '", "x")])
+def test_odd_tags(html, want):
+    assert "\n\n".join(text for _, text in ex.blocks(parse(html))) == want
+
+
+def test_attribute_words():
+    assert parse("<p data-class='nav' CLASS = body id=\"a\"class='SideBar x-y'>").children[0].words == {"body", "side", "bar"}
+
+
+@pytest.mark.parametrize("html", ["<a '" * 100_000, "<a ='" * 100_000, '<a x="' * 100_000, "<div>" * 200_000 + "x", "<div>" * 50_000 + "</section>" * 50_000, "<div>" * 50_000 + "<li>" * 50_000, "<p>" * 100_000, "<p title=don't>It's " + "x " * 5_000_000, "<" * 500_000, "<table>" + "<tbody><tr><td>" * 30_000, "<ul><li><div>" * 50_000])
+def test_reading_takes_linear_time(html):
+    begin = time.perf_counter()
+    parse(html)
+    assert time.perf_counter() - begin < 8
+
+
+def random_page(rng, depth=0):
+    """(html, pieces) of a well-formed page: the texts between the edges of block elements, None at each edge."""
+    html, pieces = "", []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.random()
+        if kind < 0.4 or depth > 4:
+            word = rng.choice(["alpha", " beta ", "gamma\n\t", "x &amp; y", "&eacute;t&#233;", "1 &lt; 2", "\u00a0wide\u2003", " "])
+            html += word
+            pieces.append(word)
+        elif kind < 0.6:
+            tag = rng.choice(["b", "a", "span", "i"])
+            inner, own = random_page(rng, 5)
+            html += f"<{tag} href='/x>y' title=\"it's\">{inner}</{tag}>"
+            pieces += own
+        elif kind < 0.7:
+            html += rng.choice(["<!-- <p>no</p> -->", "<script>'</p>' + \"<div>\"</script>", "<style>p > a {}</style>"])
+            pieces += [" "] if html.endswith(("</script>", "</style>")) else []
+        else:
+            tag = rng.choice(["div", "section", "article", "blockquote", "form"])
+            inner, own = random_page(rng, depth + 1)
+            html += f"<{tag} class='c{depth}'>{inner}</{tag}>"
+            pieces += [None, *own, None]
+    return html, pieces
+
+
+def test_blocks_equal_brute_force():
+    rng = random.Random(17)
+    for _ in range(400):
+        html, pieces = random_page(rng)
+        want, run = [], ""
+        for p in [*pieces, None]:
+            if p is None:
+                want.append(" ".join(unescape(run).split()))
+                run = ""
+            else:
+                run += p
+        assert [text for _, text in ex.blocks(parse(html))] == [w for w in want if w], html
+
+
+LAYOUTS = {
+    "tables for columns": f"""<html><body bgcolor=white><table width=100%><tr><td colspan=2 class=masthead><b>The Daily Site</b></td></tr>
+<tr><td width=120 class=navbar><a href=a>News</a><br><a href=b>Sport</a><br><a href=c>Weather</a></td><td class=content><h1>Mill closes</h1><p>{PROSE}<p>{PROSE} Again.</td></tr>
+<tr><td colspan=2 class=footer>Copyright 1999 The Daily Site</td></tr></table></body></html>""",
+    "main without article": f"""<!doctype html><html lang=en><head><meta charset=utf-8><title>x</title></head><body><header><a href=/>Home</a></header><nav aria-label=primary><a href=/1>One</a> <a href=/2>Two</a></nav>
+<main><h1>Mill closes</h1><p>{PROSE}</p><p>{PROSE} Again.</p></main><footer><p>All rights reserved.</p><a href=/t>Terms</a></footer></body></html>""",
+    "utility class names": f"""<body><div class="topbar flex"><a href=/>Logo</a><div class="menu"><a href=/1>One</a><a href=/2>Two</a><a href=/3>Three</a></div></div><div class="wrap"><div class="post-body prose"><h1>Mill closes</h1><p>{PROSE}</p>
+<p>{PROSE} Again.</p></div><div class="sidebar"><h3>Popular</h3><ul><li><a href=/p>p q</a></li><li><a href=/r>r s</a></li></ul></div></div><div class="site-footer">Copyright. <a href=/t>Terms</a></div>""",
+}
+
+
+@pytest.mark.parametrize("name", sorted(LAYOUTS))
+def test_hand_made_layouts(model, name):
+    assert ex.main_texts([LAYOUTS[name]], model)[0].split("\n\n") == ["Mill closes", PROSE, f"{PROSE} Again."]
+
+
+def test_clashing_and_repeated_rows(spark, model):
+    pages = spark.createDataFrame([(1, f"<p>{PROSE}</p>", 7, "a")] * 2, "page_id long, html string, N_CHARS int, TEXT string")
+    got = ex.extract(pages, model=model)
+    assert got.columns == ["page_id", "text", "n_chars"]
+    assert [tuple(r) for r in got.collect()] == [(1, PROSE, len(PROSE))] * 2
