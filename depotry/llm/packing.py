@@ -3,11 +3,12 @@
 The plan needs the histogram of piece lengths alone, at most ``max_tokens`` numbers whatever
 the size of the corpus, so it is made on the driver:
 
-1. pieces longer than a third (or a smaller share) of a sequence are sorted and cut into groups of equal
+1. pieces longer than a share of a sequence (``GROUPINGS``) are sorted and cut into groups of equal
    cardinality; each is rounded up to its group's largest length;
 2. the few rounded sizes make a configuration program (column generation over patterns);
 3. whole multiples of the patterns are kept and actual pieces take the slots of their group;
-4. what is left over and all small pieces go in by best fit, longest first.
+4. the parts of patterns that rounding down leaves over and all small pieces go in by best fit,
+   longest first, beside what the patterns hold.
 
 Bins stay run-length coded (a content and how many bins have it), so the work of the plan is
 bounded too. Spark then ranks the pieces of each length and every rank has its slot.
@@ -35,6 +36,9 @@ from depotry.llm.textscan import text_buffers
 WORDS_KEPT, LONGEST_KEPT = 220_000, 48
 #: Words coded in one call, bytes of text coded together.
 JOINED, BLOCK = 500, 1 << 19
+#: A piece is large if its length times the first number is more than a sequence; the second is the number of groups.
+#: Rounding up costs about half a group's span for each piece, so groups are many.
+GROUPINGS = ((3, 400), (2.5, 400))
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -150,33 +154,62 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int,
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def _best_pattern(sizes: np.ndarray, worth: np.ndarray, room: int) -> tuple[float, np.ndarray]:
+    """(worth, pieces of each size) of the pattern worth most; sizes rise.
+
+    ``upto[d]`` is the most that d pieces are worth by the room that they may take. The last two
+    pieces of a pattern are only asked for at the rooms that are left for them.
+    """
+    depth, k = room // int(sizes[0]), len(sizes)
+    upto, picks = [np.zeros(room + 1)], []
+    fits = np.searchsorted(sizes, np.arange(room + 1), "right")  # sizes that a room holds
+    for _ in range(max(1, depth - 2)):
+        value = np.zeros(room + 1)
+        pick = np.full(room + 1, -1)
+        if not picks:  # one piece: the best of those that fit
+            best = np.maximum.accumulate(worth)
+            first = np.maximum.accumulate(np.where(worth >= best, np.arange(k), 0))
+            some = fits > 0
+            value[some], pick[some] = best[fits[some] - 1], first[fits[some] - 1]
+        else:
+            for i, s in enumerate(sizes.tolist()):
+                got = worth[i] + upto[-1][: room + 1 - s]
+                better = got > value[s:] + 1e-12
+                value[s:][better], pick[s:][better] = got[better], i
+        pick[value <= 1e-12] = -1
+        upto.append(np.maximum(value, 0))
+        picks.append(pick)
+    column, left = np.zeros(k), room
+    for layer in range(depth, len(picks), -1):
+        rest = left - sizes
+        if layer == len(picks) + 2:  # what two more pieces are worth at each room that one leaves
+            after = rest[:, None] - sizes[None, :]
+            two = np.where(after >= 0, worth[None, :] + upto[-1][np.maximum(after, 0)], 0.0).max(1)
+            value = np.where(rest >= 0, worth + np.maximum(two, 0), -1.0)
+        else:
+            value = np.where(rest >= 0, worth + upto[-1][np.maximum(rest, 0)], -1.0)
+        i = int(value.argmax())
+        if value[i] <= upto[-1][left] + 1e-12:
+            continue
+        column[i] += 1
+        left -= int(sizes[i])
+    for pick in reversed(picks):
+        if (i := pick[left]) >= 0:
+            column[i] += 1
+            left -= int(sizes[i])
+    return float(column @ worth), column
+
+
 def _patterns(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns) and how often each is used in the configuration program's relaxation."""
-    k, most = len(sizes), room // int(sizes.min())
+    k = len(sizes)
     basis, cost = np.diag((room // sizes).astype(float)), np.ones(k)
     inverse = np.diag(1.0 / np.diag(basis))
     for _ in range(60 * k):
-        worth = cost @ inverse
-        best, taken = np.zeros(room + 1), np.zeros((most, room + 1), np.int64)
-        last = -1
-        for layer in range(most):
-            options = np.full((k, room + 1), -1.0)
-            for i, s in enumerate(sizes):
-                options[i, s:] = best[: room + 1 - s] + worth[i]
-            pick = options.argmax(0)
-            value = options[pick, np.arange(room + 1)]
-            taken[layer] = np.where(value > best + 1e-12, pick, -1)
-            grown = np.maximum(best, value)
-            if grown[room] <= best[room] + 1e-12:
-                break
-            best, last = grown, layer
-        if best[room] <= 1 + 1e-7:
+        worth = np.maximum(cost @ inverse, 0)
+        value, column = _best_pattern(sizes, worth, room)
+        if value <= 1 + 1e-7:
             break
-        column, at = np.zeros(k), room
-        for layer in range(last, -1, -1):
-            if (i := taken[layer][at]) >= 0:
-                column[i] += 1
-                at -= int(sizes[i])
         direction, x = inverse @ column, inverse @ demand
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(direction > 1e-9, x / direction, np.inf)
@@ -203,8 +236,8 @@ def _take(runs: list[list[int]], n: int) -> list[tuple[int, int]]:
     return got
 
 
-def _configured(counts: np.ndarray, room: int, large: float, groups: int, full: float) -> list[tuple[int, tuple[int, ...]]]:
-    """Steps 1 to 3 with patterns at least ``full`` full; takes the pieces that it places out of ``counts``."""
+def _configured(counts: np.ndarray, room: int, large: float, groups: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Steps 1 to 3; takes the pieces that it places out of ``counts``."""
     lengths = np.flatnonzero(counts)[::-1]
     lengths = lengths[lengths * large > room]
     total = int(counts[lengths].sum())
@@ -235,7 +268,7 @@ def _configured(counts: np.ndarray, room: int, large: float, groups: int, full:
     for column, times in zip(basis.T, np.floor(used + 1e-9).astype(int), strict=True):
         slots = [i for i in range(len(sizes)) for _ in range(int(round(column[i])))]
         whole = [min(times, sum(n for _, n in runs[i]) // max(1, slots.count(i))) for i in set(slots)]
-        if not (times := min(whole, default=0)) or column @ sizes < full * room:
+        if not (times := min(whole, default=0)):
             continue
         filled = [_take(runs[i], times) for i in slots]
         while filled[0]:
@@ -280,22 +313,27 @@ def _best_fit(counts: np.ndarray, bins: list[tuple[int, tuple[int, ...]]], room:
     return [b for bins in by_room for b in bins]
 
 
-def plan_bins(counts: np.ndarray, room: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(bins, lengths in each) for ``counts[length]`` pieces; the best of a few groupings.
+def plan(counts: np.ndarray, room: int) -> tuple[list[tuple[int, tuple[int, ...]]], list[tuple[int, tuple[int, ...]]]]:
+    """Bins (how many, lengths in each) for ``counts[length]`` pieces, and those of them that patterns made, before step 4.
 
-    Only patterns that stay nearly full after rounding are kept: a loose one wastes what the
-    best fit of actual lengths would use.
+    The better of GROUPINGS; all of them place their large pieces by patterns.
     """
-    best: list[tuple[int, tuple[int, ...]]] | None = None
+    best = made = None
     least = -(-int((counts * np.arange(len(counts))).sum()) // room)
-    for large, groups, full in ((3, 100, 0.99), (4, 100, 0.995), (6, 100, 1.0)):
+    for large, groups in GROUPINGS:
         left = counts.copy()
-        bins = _best_fit(left, _configured(left, room, large, groups, full), room)
+        patterns = _configured(left, room, large, groups)
+        bins = _best_fit(left, patterns, room)
         if best is None or sum(m for m, _ in bins) < sum(m for m, _ in best):
-            best = bins
+            best, made = bins, patterns
         if sum(m for m, _ in best) == least:
             break
-    return best or []
+    return best, made
+
+
+def plan_bins(counts: np.ndarray, room: int) -> list[tuple[int, tuple[int, ...]]]:
+    """The bins of ``plan``."""
+    return plan(counts, room)[0]
 
 
 def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

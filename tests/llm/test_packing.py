@@ -100,7 +100,42 @@ def test_empty_and_repeated(spark):
 
 def test_small_tables_are_dealt_too():
     counts = np.zeros(257, int)
-    counts[100], counts[78] = 30, 60
-    bins = packing._configured(counts, 256, 4, 100, 0.99)
-    assert sum(m for m, _ in bins) > 0
-    assert all(sum(content) >= 0.99 * 256 for _, content in bins)
+    counts[130], counts[120] = 30, 30
+    bins, made = packing.plan(counts, 256)
+    assert sum(m for m, _ in made) == 30
+    assert all(sorted(content) == [120, 130] for _, content in made)
+    assert sum(m for m, _ in bins) == 30
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_patterns_make_most_sequences_of_large_pieces(seed):
+    rng, room = np.random.default_rng(seed), 2048
+    lengths = np.concatenate([np.full(600, room), np.clip(rng.gamma(2, 500, 6000).astype(int) + 1, 1, room)])
+    counts = np.bincount(lengths, minlength=room + 1)
+    bins, made = packing.plan(counts, room)
+    several = sum(m for m, content in bins if len(content) > 1 and 2.5 * content[0] > room)
+    combined = sum(m for m, content in made if len(content) > 1)
+    shorter = sum(m for m, content in made if content != (room,))
+    assert shorter > 0.8 * several
+    assert combined > 0.25 * several
+    assert sum(m for m, _ in bins) <= 1.005 * -(-lengths.sum() // room)
+
+
+@pytest.mark.parametrize(("room", "k", "low"), [(256, 12, 86), (256, 9, 65), (200, 8, 34), (100, 6, 12), (64, 1, 64)])
+def test_best_pattern_is_worth_most(room, k, low):
+    rng = random.Random(room + k)
+    for _ in range(40):
+        sizes = np.array(sorted(rng.sample(range(low, room + 1), k)))
+        worth = np.array([rng.choice([0.0, rng.random(), 0.5]) for _ in sizes])
+        most = [0.0] * (room + 1)
+        for c in range(room + 1):
+            most[c] = max([0.0, *(most[c - s] + w for s, w in zip(sizes.tolist(), worth.tolist()) if s <= c)])
+        value, column = packing._best_pattern(sizes, worth, room)
+        assert column @ sizes <= room
+        assert abs(value - most[room]) < 1e-9
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "some words here", "x", 1)], "doc_id long, text string, SEQUENCE_ID string, bucket int")
+    rows = packing.pack(docs, PATH).collect()
+    assert [(r["doc_id"], r["piece"], r["offset"]) for r in rows] == [(1, 0, 0)]
