@@ -59,6 +59,38 @@ def test_index_keeps_few_runs_and_drops_common_keys_early(spark):
     assert held == {b"often": 3}
 
 
+def test_batches_are_merged_with_the_runs_as_they_lie(spark):
+    index = lines.LineIndex(spark, Workspace(spark, "index"), min_docs=2, fanout=3, buckets=6)
+    for batch in range(2):
+        index.add(spark.createDataFrame([(b"%d" % (i % 50 + batch),) for i in range(100)], "key binary"))
+    plan = index.unseen(spark.createDataFrame([(b"1", 1)], "key binary, documents long"))._jdf.queryExecution().sparkPlan().toString()
+    final = index.unseen(spark.createDataFrame([(b"1", 1)], "key binary, documents long"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2
+    assert final.count("Exchange") == 1  # the batch itself, to the buckets
+    assert final.count("Sort [key") == 1
+    assert index.common()._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+    names = [name for level in index.levels for name in level]
+    index.close()
+    assert not any(spark.catalog.tableExists(name) for name in names)
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(None, "a\nb", "x", 1, 2, 3)] * 12, "`KEPT` int, text string, N_Lines string, __row int, rest int, `key` int")
+    for most in (-1, 10):
+        got = lines.dedup_lines(docs, 10, most_mapped=most)
+        assert got.columns == ["__row", "rest", "key", "n_lines", "n_dropped", "kept"]
+        assert [tuple(r) for r in got.collect()] == [(1, 2, 3, 2, 2, "")] * 12
+    assert lines.dedup_lines(docs.select("text")).columns == list(lines.RESULTS)
+
+
+def test_long_text(spark):
+    text = "\n".join(f"line {i % 1000}" for i in range(200_000)) + "\n" + "w " * 500_000
+    docs = spark.createDataFrame([(1, text), (2, "line 7\nown")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lines.dedup_lines(docs, 2).collect()}
+    assert (got[1]["n_lines"], got[1]["n_dropped"]) == (200_001, 200)
+    assert got[2]["kept"] == "own"
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lines.dedup_lines(docs).count() == 0
