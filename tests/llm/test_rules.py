@@ -3,41 +3,75 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from depotry.llm import rules
 from depotry.llm.shared import Workspace
 
 
-def dense(x, steps):
-    """The deterministic estimate of one group."""
+def dense(x):
+    """The deterministic estimate of one group: three starts, each concentrated to rest, the least determinant."""
     def quantile(v, q):
         bins = np.sort(np.floor(v * rules.BINS))
         return (bins[int(np.ceil(q * len(v))) - 1] + 0.5) / rules.BINS
 
-    m = np.array([quantile(v, 0.5) for v in x.T])
+    def shape(m, full):
+        full = full + np.diag(np.array(rules.FLOORS) ** 2)
+        full += np.diag(np.maximum(0, np.array(rules.LEAST) ** 2 - np.diag(full)))
+        return m, np.linalg.inv(full), np.linalg.slogdet(full)[1]
+
+    centre = np.array([quantile(v, 0.5) for v in x.T])
     iqr = np.array([quantile(v, 0.75) - quantile(v, 0.25) for v in x.T])
-    a = np.diag(1 / ((iqr / 1.349) ** 2 + np.array(rules.FLOORS) ** 2))
-    for _ in range(steps):
-        d = np.einsum("ij,jk,ik->i", x - m, a, x - m)
-        ring = np.floor(np.log2(d + 1e-6) * rules.RINGS)
-        near = x[ring <= np.sort(ring)[int(np.ceil(rules.KEEP * len(x))) - 1]]
-        m = near.mean(0)
-        a = np.linalg.inv(rules.consistency(rules.KEEP, rules.DIM) * np.cov(near.T, bias=True) + np.diag(np.array(rules.FLOORS) ** 2))
-    return m, a
+    scale = np.sqrt(np.maximum((iqr / 1.349) ** 2 + np.array(rules.FLOORS) ** 2, np.array(rules.LEAST) ** 2))
+    z = (x - centre) / scale
+    starts = [np.diag(1 / scale**2)]
+    for turned in (z / np.maximum(np.sqrt((z * z).sum(1)), 1e-6)[:, None], np.tanh(z)):
+        q = turned.T @ turned / len(x)
+        r = 0.95 * q / np.sqrt(np.outer(np.diag(q), np.diag(q)))
+        np.fill_diagonal(r, 1)
+        starts.append(np.linalg.inv(r * np.outer(scale, scale)))
+    best = None
+    for a in starts:
+        m, old = centre, np.inf
+        for _ in range(rules.MOST_STEPS):
+            d = np.einsum("ij,jk,ik->i", x - m, a, x - m)
+            ring = np.floor(np.log2(d + 1e-6) * rules.RINGS)
+            near = x[ring <= np.sort(ring)[int(np.ceil(rules.KEEP * len(x))) - 1]]
+            m, a, det = shape(near.mean(0), rules.consistency(rules.KEEP, rules.DIM) * np.cov(near.T, bias=True))
+            still = old - det < rules.STILL
+            old = det
+            if still:
+                break
+        if best is None or old < best[2]:
+            best = m, a, old
+    m, a, _ = best
+    near = x[np.einsum("ij,jk,ik->i", x - m, a, x - m) <= rules.chi2_quantile(rules.WEIGHED, rules.DIM)]
+    return shape(near.mean(0), rules.consistency(rules.WEIGHED, rules.DIM) * np.cov(near.T, bias=True))
+
+
+def frame_of(spark, data):
+    rows = [(g, *map(float, v)) for g, x in data.items() for v in x]
+    return spark.createDataFrame(rows, "group string, " + ", ".join(f"x{i} double" for i in range(rules.DIM))).repartition(3)
 
 
-def test_estimate_equals_dense(spark):
+def test_estimate_equals_dense(spark, monkeypatch):
     rng = np.random.default_rng(2)
-    data = {g: rng.normal(size=(n, rules.DIM)) @ rng.normal(size=(rules.DIM, rules.DIM)) + rng.normal(size=rules.DIM) for g, n in (("a", 400), ("b", 60))}
+    data = {g: rng.normal(size=(n, rules.DIM)) @ rng.normal(size=(rules.DIM, rules.DIM)) + rng.normal(size=rules.DIM) for g, n in (("a", 400), ("b", 60), ("c", 500))}
     data["a"][:60] += 9
-    rows = [(g, *map(float, v)) for g, x in data.items() for v in x]
-    frame = spark.createDataFrame(rows, "group string, " + ", ".join(f"x{i} double" for i in range(rules.DIM))).repartition(3)
-    got = {r["group"]: r for r in rules.concentrate(frame, Workspace(spark, "test"), 3).collect()}
-    for g, x in data.items():
-        m, a = dense(x, 3)
-        assert got[g]["rows"] == len(x)
-        assert np.allclose(got[g]["m"], m)
-        assert np.allclose(np.reshape(got[g]["a"], a.shape), a)
+    data["c"][:100] = rng.normal(size=(100, rules.DIM)) * 0.3 + 6  # a fifth of planted outliers, close together
+    for most in (10_000, 1):
+        monkeypatch.setattr(rules, "MOST_GROUPS", most)
+        got = {r["group"]: r for r in rules.concentrate(frame_of(spark, data), Workspace(spark, "test")).collect()}
+        for g, x in data.items():
+            m, a, det = dense(x)
+            assert got[g]["rows"] == len(x)
+            assert np.allclose(got[g]["m"], m)
+            assert np.allclose(np.reshape(got[g]["a"], a.shape), a)
+            assert np.isclose(got[g]["logdet"], det)
+    x = data["c"]
+    far = np.einsum("ij,jk,ik->i", x - got["c"]["m"], np.reshape(got["c"]["a"], a.shape), x - got["c"]["m"]) > rules.CUTOFF
+    assert far[:100].all()
+    assert far[100:].sum() <= 4
 
 
 def test_rejects_junk_and_keeps_the_rest(spark):
@@ -79,7 +113,7 @@ def test_a_floor_replaces_only_smaller_variances(spark):
     x = rng.normal(size=(500, rules.DIM)) * 3
     x[:, 2] = 0.5
     frame = spark.createDataFrame([("g", *map(float, v)) for v in x], "group string, " + ", ".join(f"x{i} double" for i in range(rules.DIM)))
-    a = np.reshape(rules.concentrate(frame, Workspace(spark, "test"), 3).first()["a"], (rules.DIM, rules.DIM))
+    a = np.reshape(rules.concentrate(frame, Workspace(spark, "test")).first()["a"], (rules.DIM, rules.DIM))
     spread = np.sqrt(np.diag(np.linalg.inv(a)))
     assert abs(spread[2] - rules.LEAST[2]) < 1e-6
     assert abs(np.delete(spread, 2) - 3).max() < 0.6
@@ -97,3 +131,13 @@ def test_a_source_with_much_junk(spark):
     got = {r["doc_id"]: r for r in rules.apply_rules(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()}
     assert not any(got[i]["kept"] or got[i]["base_failed"] for i in range(120, 200))
     assert sum(got[i]["kept"] for i in range(120)) >= 118
+
+
+def test_very_long_ties_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(rules, "MOST_GROUPS", 2)
+    rows = [(1, "en", "s", "one two three " * 200_000, 1)] * 2 + [(i, "en", "s", "the same words stand in each of these rows and nothing else is found in any of them at all here", 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string, `group` int").withColumn("KEPT", F.lit(1)).withColumn("n_words", F.lit(1))
+    got = rules.apply_rules(docs).collect()
+    assert len(got) == 62
+    assert sorted(r["n_words"] for r in got)[-2:] == [600_000, 600_000]
+    assert [r["kept"] for r in got if r["doc_id"] != 1] == [True] * 59 + [True] * (60 - 59 - 1)
