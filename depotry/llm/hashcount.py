@@ -49,11 +49,13 @@ def _unpack(raw: bytes, width: int) -> np.ndarray:
 
 
 def _cut(keys: np.ndarray, counts: np.ndarray, cuts: Callable[[np.ndarray], np.ndarray], width: int) -> pa.RecordBatch:
+    if len(counts) and int(counts.max()) > 0xFFFFFFFF:
+        raise OverflowError("a task counted a key more than 2**32 times: its partition holds tens of GB")
     at, rows = cuts(keys), []
     for shard in np.flatnonzero(np.diff(at)):
         k, c = keys[at[shard] : at[shard + 1]], counts[at[shard] : at[shard + 1]]
         many = c > 1
-        rows.append((int(shard), _pack(k[~many], width), _pack(k[many], width), np.minimum(c[many], 0xFFFFFFFF).astype(np.uint32).tobytes()))
+        rows.append((int(shard), _pack(k[~many], width), _pack(k[many], width), c[many].astype(np.uint32).tobytes()))
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else ((), (), (), ()), _PARTS, strict=True)], schema=_PARTS)
 
 

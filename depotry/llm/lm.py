@@ -15,7 +15,7 @@ a token; a text begins after a start that is not.
 
 Defined cases: null text is empty text and scores its end token; repeated rows count as often as
 they stand there; with no training rows every score is 0; an empty table gives no rows; texts of
-any length are read whole; extra columns are kept, but for the text and for ones named as results.
+any length are read whole; extra columns are kept, but for the text and for ones named as results (in any case).
 """
 
 from __future__ import annotations
@@ -63,6 +63,7 @@ class Model:
     pair_shards: int
     words: dict[int, int] = field(default_factory=dict)  # entries by shard
     pairs: dict[int, int] = field(default_factory=dict)
+    wide: set[int] = field(default_factory=set)  # shards of pairs with counts that need 64 bits
     bases: np.ndarray | None = None  # first id of each shard of words
     vocabulary: int = 0
     tokens: int = 0
@@ -101,7 +102,7 @@ class Model:
             where, mapped = slice(at[shard], at[shard + 1]), get_array(f"{self.folder}/pair-{shard}.bin", "u8")
             place = np.searchsorted(mapped, keys[where])
             place[place == len(mapped)] = 0
-            found[where] = np.where(np.asarray(mapped[place]) == keys[where], get_array(f"{self.folder}/seen-{shard}.bin", "u4")[place], 0)
+            found[where] = np.where(np.asarray(mapped[place]) == keys[where], get_array(f"{self.folder}/seen-{shard}.bin", "u8" if int(shard) in self.wide else "u4")[place], 0)
         out[known] = found[back]
         return out
 
@@ -179,21 +180,22 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
         for name, rows in (("n1", counts == 1), ("n2", counts == 2), ("n3", counts > 2)):
             context[name] = np.bincount(v[rows], minlength=span)
         context["total"] = np.bincount(v, counts.astype(float), minlength=span).astype(np.uint64)
-        write_shard(folder, shard, pair=keys, seen=np.minimum(counts, 0xFFFFFFFF).astype(np.uint32), context=context)
-        stats = [len(keys), *(int((counts == k).sum()) for k in (1, 2, 3, 4))]
+        wide = bool(len(counts)) and int(counts.max()) > 0xFFFFFFFF
+        write_shard(folder, shard, pair=keys, seen=counts if wide else counts.astype(np.uint32), context=context)
+        stats = [len(keys), *(int((counts == k).sum()) for k in (1, 2, 3, 4)), int(wide)]
         own, n = np.unique(w, return_counts=True)
-        at = np.concatenate((np.searchsorted(own, starts[:-1]), [len(own)]))
-        rows = [(i, own[at[i] : at[i + 1]].tobytes(), n[at[i] : at[i + 1]].astype(np.uint32).tobytes(), None) for i in range(len(at) - 1) if at[i + 1] > at[i]]
-        rows.append((-1 - shard, None, None, stats))
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "ids", "times", "stats"])
+        to = np.searchsorted(starts[1:-1], own.astype(np.int64), "right")
+        columns = (pa.array(np.append(to, -1 - shard), pa.int64()), pa.array(np.append(own.astype(np.int64), 0)), pa.array(np.append(n, 0), pa.int64()), pa.array([None] * len(own) + [stats], pa.list_(pa.int64())))
+        yield pa.RecordBatch.from_arrays(list(columns), ["shard", "id", "n", "stats"])
 
-    made = work.table(merged(texts.mapInArrow(count_pairs, PARTS_SCHEMA), model.pair_shards, finish_pairs, "shard int, ids binary, times binary, stats array<long>"), "before")
+    made = work.table(merged(texts.mapInArrow(count_pairs, PARTS_SCHEMA), model.pair_shards, finish_pairs, "shard long, id long, n long, stats array<long>"), "before")
     seen = np.zeros(4, np.int64)
     for r in made.where("shard < 0").select("shard", "stats").collect():  # a row for each shard
         model.pairs[-1 - r["shard"]] = r["stats"][0]
         model.distinct_pairs += r["stats"][0]
-        seen += r["stats"][1:]
+        seen += r["stats"][1:5]
+        if r["stats"][5]:
+            model.wide.add(-1 - r["shard"])
     model.pair_discounts = discounts(seen)
 
     def finish_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,15 +208,19 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
                 yield pa.RecordBatch.from_pydict({"n": pa.array([counts.tolist()], pa.list_(pa.int64()))})
 
         for batch in batches:
-            for row in range(batch.num_rows):
-                number = batch.column(0)[row].as_py()
-                if number != shard:
+            of, ids, n = (batch.column(i).to_numpy() for i in range(3))
+            edges = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else []
+            for a, b in zip(edges, [*edges[1:], len(of)], strict=True):
+                if of[a] != shard:
                     yield from close()
-                    shard, dense = number, np.zeros(int(starts[number + 1] - starts[number]), np.int64)
-                dense[np.frombuffer(batch.column(1)[row].as_py(), np.uint32).astype(np.int64) - starts[number]] += np.frombuffer(batch.column(2)[row].as_py(), np.uint32)
+                    shard = int(of[a])
+                    dense = np.zeros(int(starts[shard + 1] - starts[shard]), np.int64)
+                np.add.at(dense, ids[a:b] - starts[shard], n[a:b])
         yield from close()
 
-    cont = made.where("shard >= 0").select("shard", "ids", "times").repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-model.pair_shards // SHARDS_A_TASK)), "shard").sortWithinPartitions("shard").mapInArrow(finish_before, "n array<long>")
+    # A row for each id and shard of pairs that it stands in: as many as pairs at most, whatever the number of shards.
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-model.pair_shards // SHARDS_A_TASK))
+    cont = made.where("shard >= 0").select("shard", "id", "n").repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(finish_before, "n array<long>")
     times = np.zeros(6, np.int64)
     for r in cont.collect():  # a row for each shard
         times += r["n"]
@@ -227,7 +233,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The columns of ``docs`` but for its text, with n_tokens, n_known, base_score and score (log10)."""
-    rest = [c for c in docs.columns if c != text and c not in RESULTS]
+    rest = [c for c in docs.columns if c.lower() not in (text.lower(), *RESULTS)]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "n_tokens long, n_known long, base_score double, score double"])
 
@@ -246,4 +252,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             columns = [np.concatenate(c) for c in zip(*made, strict=True)] if made else [np.zeros(0)] * 4
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))], [*b.schema.names[1:], *RESULTS])
 
-    return docs.select(F.col(text).cast("string").alias("__text"), *rest).mapInArrow(run, schema)
+    return docs.select(F.col(text).cast("string").alias("__text"), *(F.col(f"`{c}`") for c in rest)).mapInArrow(run, schema)

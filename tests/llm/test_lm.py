@@ -4,6 +4,8 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from depotry.llm import lm
@@ -86,3 +88,31 @@ def test_extra_columns_and_empty_table(spark):
     model = lm.fit(docs)
     assert lm.score(docs, model).columns == ["doc_id", "shard", *lm.RESULTS]
     assert lm.score(docs.limit(0), model).count() == 0
+
+
+def test_counts_beyond_32_bits(spark, monkeypatch):
+    """The commonest pairs of a very large corpus: counts are multiplied where a shard is finished."""
+    plain = lm.merged
+    by = 3_000_000_000
+
+    def many(parts_df, shards, finish, schema, width=8):
+        if "stats" not in schema:
+            return plain(parts_df, shards, finish, schema, width)
+        return plain(parts_df, shards, lambda shard, keys, counts: finish(shard, keys, counts * np.uint64(by)), schema, width)
+
+    monkeypatch.setattr(lm, "merged", many)
+    docs = spark.createDataFrame([(1, "a b a b a b a b")], "doc_id long, text string")
+    model = lm.fit(docs)
+    assert model.wide
+    ids = model.ids(np.concatenate([w for _, w, _ in lm.scan(pa.array(["a b"]))]))[0]
+    assert model.pair_counts(ids[:1], ids[1:]).tolist() == [4 * by]
+    assert lm.score(docs, model).first()["score"] > -1
+
+
+def test_clashing_names_long_texts_and_ties(spark):
+    docs = spark.createDataFrame([(1, "a b " * 300_000, 1, 2)] * 2 + [(2, "a b", 1, 2)], "doc_id long, text string, SCORE int, N_Tokens int")
+    model = lm.fit(docs)
+    rows = lm.score(docs, model).collect()
+    assert rows[0].asDict().keys() == {"doc_id", *lm.RESULTS}
+    assert [r["n_tokens"] for r in rows if r["doc_id"] == 1] == [600_001] * 2
+    assert len({r["score"] for r in rows}) == 2
