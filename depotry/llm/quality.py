@@ -11,7 +11,7 @@ every row. Ids, labels, languages and sources are not features.
 
 Defined cases: null text is empty text and is scored; labels that are null are ignored; with one
 label alone every score is that label's; repeated rows score alike; an empty table gives no rows;
-extra columns are kept, but for the text and for ones named as results.
+extra columns are kept, but for the text and for ones named as results (in any case).
 """
 
 from __future__ import annotations
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Addi
 
 def score(docs: DataFrame, model: Additive, threshold: float = 0.7, keep_text: bool = False) -> DataFrame:
     """The columns of ``docs`` (its text only if asked for) with ``score`` and ``predicted``."""
-    rest = [c for c in docs.columns if c not in RESULTS and (keep_text or c != "text")]
+    rest = [c for c in docs.columns if c.lower() not in RESULTS and (keep_text or c.lower() != "text")]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,4 +180,4 @@ def score(docs: DataFrame, model: Additive, threshold: float = 0.7, keep_text: b
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*b.schema.names[1:], *RESULTS])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "score double, predicted int"])
-    return docs.select(F.col("text").cast("string").alias("__text"), *rest).mapInArrow(run, schema)
+    return docs.select(F.col("text").cast("string").alias("__text"), *(F.col(f"`{c}`") for c in rest)).mapInArrow(run, schema)

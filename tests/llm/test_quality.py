@@ -76,3 +76,27 @@ def test_held_out_rows_and_odd_tables(spark):
     assert {r["predicted"] for r in quality.score(docs, one).collect()} == {1}
     nothing = quality.train(docs.limit(0), labels.limit(0))
     assert quality.score(docs.limit(0), nothing).count() == 0
+
+
+def brute_score(model, row):
+    """One row through the lookup tables, a feature and a pair at a time."""
+    bins = [int(np.searchsorted(c, v, "right")) for c, v in zip(model.cuts, row, strict=True)]
+    total = model.intercept + sum(t[b] for t, b in zip(model.tables, bins, strict=True))
+    for i, j, t in model.pairs:
+        total += t[tuple(bins[k] * quality.COARSE // (len(model.cuts[k]) + 1) for k in (i, j))]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_scores_equal_brute_force_on_long_repeated_and_clashing_rows(spark):
+    rows = corpus(300)
+    texts = [t for _, t, _ in rows] + ["river stone " * 200_000, "river stone " * 200_000, "", None]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, Score int, PREDICTED int")
+    model = quality.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    scored = quality.score(docs, model, threshold=0.7)
+    assert scored.columns == ["doc_id", "score", "predicted"]
+    got = {r["doc_id"]: r for r in scored.collect()}
+    x = quality.features(pa.array(texts, pa.string()))
+    for i, row in enumerate(x):
+        assert np.isclose(got[i]["score"], brute_score(model, row))
+        assert got[i]["predicted"] == (got[i]["score"] >= 0.7)
+    assert got[300]["score"] == got[301]["score"]
