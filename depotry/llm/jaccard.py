@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from depotry.llm.components import components
 from depotry.llm.hashcount import PARTS_SCHEMA, Shards, merged, parts, write_shard
-from depotry.llm.shared import Workspace, get_array, put_array, split_sorted, text_bytes
+from depotry.llm.shared import Workspace, get_array, join_by_key, put_array, split_sorted, text_bytes
 from depotry.llm.textscan import scan, shingles
 
 #: Bytes of text behind one shard of shingles.
@@ -206,7 +206,8 @@ def links(sets: DataFrame, work: Workspace, num: int, den: int, matches: tuple[i
     own = F.min(F.struct((F.col("n") - F.col("o")).alias("by"), "cid", "l"))
     picked = [F.min(F.struct(F.xxhash64("cid", F.lit(r)).alias("by"), "cid", "l")) for r in range(1, LEADERS)]
     buckets = post.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.array_distinct(F.array(*(F.struct(m["cid"].alias("cid"), m["l"].alias("l")) for m in (own, *picked)))).alias("leaders")).where("held > 1")
-    post = work.table(post.join(buckets, "token").select("token", "cid", "n", "o", "l", "leaders"), "shared", parts)
+    buckets = work.table(buckets, "buckets", parts)
+    post = work.table(join_by_key(post, buckets, "token", "held").select("token", "cid", "n", "o", "l", "leaders"), "shared", parts)
     led = post.select("cid", "l", F.explode("leaders").alias("lead")).where("lead.cid <> cid")
     tried = led.groupBy("cid", F.col("lead.cid").alias("leader")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("l", "lead.l")).alias("need")).where("shared >= need")
     marks = sets.select("cid", "n", "o", "sig")
@@ -286,11 +287,12 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, mat
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = work.table(document_sets(docs, count_repeated(docs, work, n), n, num, den).withColumn("row", F.monotonically_increasing_id()), "sets")
     work.remove("shingles")
-    classes = known.where("n > 0").groupBy("fp").agg(F.min("row").alias("cid"))
+    classes = work.table(known.where("n > 0").groupBy("fp").agg(F.min("row").alias("cid"), F.count(F.lit(1)).alias("copies")), "classes")
     own = known.where("tokens IS NOT NULL").join(classes.select("cid"), F.col("row") == F.col("cid"))
     sets = work.table(own.select("cid", "n", F.expr("length(tokens) div 8 AS o"), "tokens", "times", "sig"), "representatives")
-    named = known.select("doc_id", "n", "fp").join(classes.withColumnRenamed("fp", "_fp"), (F.col("fp") == F.col("_fp")) & (F.col("n") > 0), "left")
-    members = work.table(named.select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id")), "members")
+    named = join_by_key(known.where("n > 0").select("doc_id", "n", "fp"), classes, "fp", "copies").select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"))
+    alone = known.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"))
+    members = work.table(named.unionByName(alone), "members")
     work.remove("sets")
     return members, all_links(sets, work, num, den, matches)
 
@@ -311,12 +313,16 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, m
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = work.table(document_sets(docs, count_repeated(docs, work, n), n, num, den), "sets")
     work.remove("shingles")
-    classes = known.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("cid"))
+    classes = work.table(known.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies")), "classes")
     own = known.where("tokens IS NOT NULL").join(classes.withColumnRenamed("fp", "_fp"), (F.col("doc_id") == F.col("cid")) & (F.col("fp") == F.col("_fp")))
     sets = work.table(own.select("cid", "fp", "n", F.expr("length(tokens) div 8 AS o"), "tokens", "times", "sig").dropDuplicates(["cid", "fp"]), "representatives")
     groups = components(links(sets, work, num, den, matches), work, parts=work.parts(sets.count(), SETS_PART))
-    named = known.select("doc_id", "n", "fp").join(classes.withColumnRenamed("fp", "_fp"), (F.col("fp") == F.col("_fp")) & (F.col("n") > 0), "left")
-    return named.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cid", "doc_id").alias("component_id"))
+    # Only groups of several classes are joined by class; all copies of a class have its component then.
+    of_class = classes.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select("fp", "copies", F.coalesce("component", "cid").alias("component"))
+    of_class = work.table(of_class, "components-by-class")
+    named = join_by_key(known.where("n > 0").select("doc_id", "n", "fp"), of_class, "fp", "copies").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    alone = known.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))
+    return named.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:

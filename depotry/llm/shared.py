@@ -138,6 +138,24 @@ def crc_of_id(column: str) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+#: Keys that can count as hot: each has at least this fraction of all rows.
+HOT_KEYS, LEAST_HOT = 1000, 256
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` joined with ``table`` on ``key``; ``table`` has a row a key, ``weight`` is the number of rows with that key.
+
+    Keys with many rows would put them all into one task. Those with a thousandth of all rows are
+    at most ``HOT_KEYS``, whatever the data, so they are broadcast and their rows stay where they
+    are; the others are joined by shuffle. ``table`` should lie written, as it is read three times.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    least = max(LEAST_HOT, total // HOT_KEYS)
+    hot, cold = table.where(F.col(weight) >= least), table.where(F.col(weight) < least)
+    left = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(left.join(cold, key))
+
+
 _LOCK = threading.Lock()
 _ONCE: dict[str, object] = {}
 
