@@ -36,6 +36,8 @@ def test_equals_brute_force(spark, monkeypatch, seed, shard, leaf, block):
     monkeypatch.setattr(knn, "SHARD_ROWS", shard)
     monkeypatch.setattr(knn, "LEAF", leaf)
     monkeypatch.setattr(knn, "BLOCK", block)
+    monkeypatch.setattr(knn, "BOXES", 3)
+    monkeypatch.setattr(knn, "LEAF_SAMPLE", 1)
     rng = random.Random(seed)
     centres = [[rng.uniform(-1, 1) for _ in range(6)] for _ in range(4)]
     rows = [(i, [x + rng.gauss(0, 0.1) for x in rng.choice(centres)]) for i in range(150)]
@@ -50,3 +52,28 @@ def test_odd_vectors(spark):
     assert run(spark, rows, rows, 3) == brute(rows, rows, 3, 256.0)
     assert run(spark, rows[:1], rows[:1]) == []
     assert run(spark, [], []) == []
+
+
+def test_far_shards_are_not_asked(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SHARD_ROWS", 50)
+    rng = random.Random(5)
+    centres = [[(20.0 if i == j else 0.0) for i in range(8)] for j in range(8)]
+    rows = [(i, [x + rng.gauss(0, 0.05) for x in centres[i % 8]]) for i in range(400)]
+    asked, sent = [r for r in rows if r[0] % 5 == 0], []
+    plain = knn._routed
+
+    def counted(*args):
+        out = plain(*args).cache()
+        sent.append(sum(len(r["ids"]) // 8 for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(knn, "_routed", counted)
+    assert run(spark, rows, asked) == brute(rows, asked, 5, 256.0)
+    assert sent[0] < 3 * len(asked)  # all pairs of a query and another shard would be seven times the queries and more
+
+
+def test_extra_columns_and_a_hot_vector(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SHARD_ROWS", 16)
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(100)] + [(100 + i, [float(i), -1.0, 0.5]) for i in range(50)]
+    asked = rows[::7] + rows[:1]
+    assert run(spark, rows, asked) == brute(rows, asked, 5, 256.0)
