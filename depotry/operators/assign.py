@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotry.functions.geo import haversine
 from depotry.schema import RUPEE, Profile
+from depotry.storage import cut
 
 #: Sites of one plan that travel as one array beside each of its points; more go through the grid.
 MOST_IN_ARRAY = 512
-GRID_STEP, LARGEST_CELL = 4.0, 400.0
+#: Sites in a grid cell, about; cells of a level side by side in one of the next; cells of the widest level.
+SITES_A_CELL, GRID_STEP, TOP_CELLS = 4, 4, 16
+#: Points times sites of a data set that one greedy fold holds (8 bytes each).
+MOST_FOLDED = 20_000_000
 
 
 def distances(points: DataFrame, sites: DataFrame, profile: Profile = RUPEE) -> DataFrame:
@@ -37,33 +44,86 @@ def nearest(points: DataFrame, sites: DataFrame, profile: Profile = RUPEE, plan:
     return best.select(*points.columns, *(F.col(f"_best.{c}") for c in ("wh_ord", "wh_id", "wh_lat", "wh_lon", "dist_km")))
 
 
-def nearest_of_many(points: DataFrame, sites: DataFrame, profile: Profile = RUPEE, cell_km: float = 5.0) -> DataFrame:
-    """``nearest`` for one large set of sites: an equi-join on grid cells that widens until it is certain.
+def _degree(profile: Profile) -> float:
+    """Kilometres of a degree of latitude."""
+    return profile.radius_km * math.pi / 180
+
+
+def _box_km(lat: Column, lon: Column, box: Column, profile: Profile) -> Column:
+    """No site in the box (south, north, west, east) is nearer than this to the point."""
+    up = F.radians(F.greatest(box["south"] - lat, lat - box["north"], F.lit(0.0)))
+    # Longitudes meet again after 360 degrees; at half of that no gap is wider.
+    gap = F.greatest(F.least(*(F.greatest(box["west"] + turn - lon, lon - box["east"] - turn, F.lit(0.0)) for turn in (-360.0, 0.0, 360.0))), F.lit(0.0))
+    wide = F.sin(F.radians(F.least(gap, F.lit(180.0))) / 2)
+    narrow = F.least(F.cos(F.radians(box["south"])), F.cos(F.radians(box["north"])))
+    h = F.pow(F.sin(up / 2), F.lit(2)) + F.greatest(F.cos(F.radians(lat)) * narrow, F.lit(0.0)) * wide * wide
+    return 2 * profile.radius_km * F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * (1 - 1e-9) - 1e-9
+
+
+def _spot(step: float, lat: str = "lat", lon: str = "lon") -> list[Column]:
+    return [F.floor(F.col(c) / F.lit(step)).cast("long") for c in (lat, lon)]
+
+
+def nearest_of_many(points: DataFrame, sites: DataFrame, profile: Profile = RUPEE) -> DataFrame:
+    """``nearest`` for one large set of sites: an equi-join on grid cells, and for what that leaves open a search from wide cells to narrow ones.
 
-    A point looks at the sites of its own and the eight cells around it. What it finds is final
-    when it is nearer than the edge of that block; the others go on with cells GRID_STEP times
-    as wide, the last ones with a single cell. Points must have an ``ord`` of their own.
+    Cells are so wide that one holds about SITES_A_CELL sites. A point looks at the sites of its
+    own and the eight cells around it; what it finds is final when nothing outside that block can
+    be nearer. The others (far from all sites, or near the edge of the map) go down a pyramid of
+    cells GRID_STEP times as narrow at each level, and keep those cells alone that could hold a
+    site nearer than the nearest they know of. Sites at one place count once, the first of them.
+    Points must have an ``ord`` of their own.
     """
-    degree = profile.radius_km * 3.141592653589793 / 180
-    found, left = None, points
-    while True:
-        last = cell_km > LARGEST_CELL
-        # Cells are square in degrees; a degree of longitude is at least cos(80) of one of latitude.
-        step = 1e9 if last else cell_km / degree
-        spot = [F.floor(F.col(c) / step).cast("long") for c in ("lat", "lon")]
-        around = F.sequence(F.lit(0), F.lit(0)) if last else F.sequence(F.lit(-1), F.lit(1))
-        s = sites.select("wh_ord", "wh_id", F.col("lat").alias("wh_lat"), F.col("lon").alias("wh_lon"), (spot[0] if not last else F.lit(0)).alias("_r"), (spot[1] if not last else F.lit(0)).alias("_c"))
-        asked = left.withColumn("_dr", F.explode(around)).withColumn("_dc", F.explode(around))
-        asked = asked.withColumn("_r", F.lit(0) if last else spot[0] + F.col("_dr")).withColumn("_c", F.lit(0) if last else spot[1] + F.col("_dc"))
-        measured = asked.join(s, ["_r", "_c"]).withColumn("_d", haversine(F.col("lat"), F.col("lon"), F.col("wh_lat"), F.col("wh_lon"), profile))
-        best = measured.groupBy(*points.columns).agg(F.min(F.struct(F.col("_d").alias("dist_km"), "wh_ord", "wh_id", "wh_lat", "wh_lon")).alias("_b")).select(*points.columns, "_b.wh_ord", "_b.wh_id", "_b.wh_lat", "_b.wh_lon", "_b.dist_km")
-        if last:
-            return best if found is None else found.unionByName(best)
-        # The nearest edge of the block is a whole cell away, less in km where longitudes narrow.
-        sure = best.where(F.col("dist_km") <= F.lit(cell_km) * F.greatest(F.cos(F.radians(F.abs("lat") + F.lit(step))), F.lit(0.0)) * 0.999)
-        found = sure if found is None else found.unionByName(sure)
-        left = left.join(sure.select("dataset", "ord"), ["dataset", "ord"], "left_anti")
-        cell_km *= GRID_STEP
+    s = sites.groupBy(F.col("lat").alias("wh_lat"), F.col("lon").alias("wh_lon")).agg(F.min(F.struct("wh_ord", "wh_id")).alias("_s")).select("_s.*", "wh_lat", "wh_lon")
+    s = cut(s)
+    size = s.agg(F.count(F.lit(1)).alias("n"), F.min("wh_lat").alias("south"), F.max("wh_lat").alias("north"), F.min("wh_lon").alias("west"), F.max("wh_lon").alias("east")).first()
+    if not size["n"]:
+        return nearest(points, sites, profile)
+    high, wide = max(size["north"] - size["south"], 1e-6), max(size["east"] - size["west"], 1e-6)
+    step = max(1e-6, min(45.0, math.sqrt(high * wide * SITES_A_CELL / size["n"])))
+
+    around = F.sequence(F.lit(-1), F.lit(1))
+    row, col = _spot(step)
+    asked = points.withColumn("_dr", F.explode(around)).withColumn("_dc", F.explode(around)).withColumn("_r", row + F.col("_dr")).withColumn("_c", col + F.col("_dc"))
+    row, col = _spot(step, "wh_lat", "wh_lon")
+    held = s.withColumn("_r", row).withColumn("_c", col)
+    found = F.struct(haversine(F.col("lat"), F.col("lon"), F.col("wh_lat"), F.col("wh_lon"), profile).alias("dist_km"), "wh_ord", "wh_id", "wh_lat", "wh_lon")
+    met = asked.join(held, ["_r", "_c"], "left").groupBy(*points.columns).agg(F.min(F.when(F.col("wh_ord").isNotNull(), found)).alias("_b"))
+    # Outside the block a site is a cell away in latitude, or in longitude within two cells of latitude.
+    beside = F.cos(F.radians("lat")) * F.cos(F.radians(F.least(F.abs("lat") + 2 * step, F.lit(90.0))))
+    clear = F.least(F.lit(step * _degree(profile)), 2 * profile.radius_km * F.asin(F.sqrt(F.greatest(beside, F.lit(0.0))) * F.sin(F.radians(F.lit(step)) / 2)))
+    sure = (F.abs("lon") + 2 * step < 180) & (F.col("_b.dist_km") < clear * (1 - 1e-9))
+    met = cut(met.withColumn("_sure", F.coalesce(sure, F.lit(False))))
+    ready = met.where("_sure").select(*points.columns, "_b.wh_ord", "_b.wh_id", "_b.wh_lat", "_b.wh_lon", "_b.dist_km")
+    left = met.where("NOT _sure").drop("_sure")
+    return ready.unionByName(_descended(left, points.columns, held, step, profile)) if left.limit(1).count() else ready
+
+
+def _descended(left: DataFrame, columns: list[str], held: DataFrame, step: float, profile: Profile) -> DataFrame:
+    """The nearest site of every point of ``left`` (with ``_b``, the nearest known so far, or null)."""
+    box = F.struct(F.min("wh_lat").alias("south"), F.max("wh_lat").alias("north"), F.min("wh_lon").alias("west"), F.max("wh_lon").alias("east"))
+    site = F.struct("wh_ord", "wh_id", "wh_lat", "wh_lon")
+    levels = [cut(held.groupBy("_r", "_c").agg(box.alias("box"), F.min(site).alias("rep")))]
+    while levels[-1].count() > TOP_CELLS:
+        up = levels[-1].groupBy(F.floor(F.col("_r") / GRID_STEP).cast("long").alias("_r"), F.floor(F.col("_c") / GRID_STEP).cast("long").alias("_c"))
+        merged = F.struct(*(f(f"box.{c}").alias(c) for c, f in (("south", F.min), ("north", F.max), ("west", F.min), ("east", F.max))))
+        levels.append(cut(up.agg(merged.alias("box"), F.min("rep").alias("rep"))))
+    top = levels.pop()
+    open_ = cut(left).withColumn("_cell", F.explode(F.array(*(F.struct(F.lit(r["_r"]).alias("_r"), F.lit(r["_c"]).alias("_c")) for r in top.select("_r", "_c").collect()))))  # TOP_CELLS at most
+    open_ = open_.select(*columns, "_b", F.col("_cell._r").alias("_pr"), F.col("_cell._c").alias("_pc"))
+
+    def measured(s: Column) -> Column:
+        km = haversine(F.col("lat"), F.col("lon"), s["wh_lat"], s["wh_lon"], profile)
+        return F.struct(km.alias("dist_km"), s["wh_ord"].alias("wh_ord"), s["wh_id"].alias("wh_id"), s["wh_lat"].alias("wh_lat"), s["wh_lon"].alias("wh_lon"))
+
+    each = Window.partitionBy("dataset", "ord")
+    for level in reversed(levels):
+        below = level.withColumn("_pr", F.floor(F.col("_r") / GRID_STEP).cast("long")).withColumn("_pc", F.floor(F.col("_c") / GRID_STEP).cast("long"))
+        seen = open_.join(below, ["_pr", "_pc"]).withColumn("_b", F.min(F.least(F.coalesce("_b", measured(F.col("rep"))), measured(F.col("rep")))).over(each))
+        open_ = cut(seen.where(_box_km(F.col("lat"), F.col("lon"), F.col("box"), profile) <= F.col("_b.dist_km")).select(*columns, "_b", F.col("_r").alias("_pr"), F.col("_c").alias("_pc")))
+    last = open_.join(held.withColumnsRenamed({"_r": "_pr", "_c": "_pc"}), ["_pr", "_pc"])
+    best = last.groupBy(*columns).agg(F.min(measured(F.struct("wh_ord", "wh_id", "wh_lat", "wh_lon"))).alias("_b"))
+    return best.select(*columns, "_b.wh_ord", "_b.wh_id", "_b.wh_lat", "_b.wh_lon", "_b.dist_km")
 
 
 def lookup(assigned: DataFrame, sites: DataFrame, plan: tuple[str, ...] = ("dataset",)) -> DataFrame:
@@ -107,18 +167,28 @@ def relabel(load: DataFrame, sites: DataFrame, plan: tuple[str, ...] = ("dataset
 def greedy_capacity(points: DataFrame, sites: DataFrame, capacity: int | None, profile: Profile = RUPEE) -> DataFrame:
     """(dataset, ord, id, wh_id, dist_km): largest orders first, each to the nearest site with room, else to the nearest.
 
-    What a point gets depends on all before it, so a data set is one task; sites do not move.
+    Distances are ranked in Spark, an array a point. What a point gets depends on all before it, so
+    the fold over the points of a data set is one task, which holds a row of site numbers a point:
+    at most MOST_FOLDED of them, else it raises. Up to MOST_IN_ARRAY sites a data set.
     """
-    cells = distances(points, sites, profile).select("dataset", "ord", "id", "orders", "wh_ord", "wh_id", "dist_km")
+    packed = sites.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("wh_ord", "wh_id", "lat", "lon"))).alias("_sites"))
+    bounded = packed.withColumn("_sites", F.when(F.size("_sites") <= MOST_IN_ARRAY, F.col("_sites")).otherwise(F.raise_error(F.lit("too many sites for a greedy assignment"))))
+    ways = F.transform("_sites", lambda s, i: F.struct(haversine(F.col("lat"), F.col("lon"), s["lat"], s["lon"], profile).alias("km"), s["wh_ord"].alias("wh_ord"), i.alias("i"), s["wh_id"].alias("wh_id")))
+    ranked = points.join(bounded, "dataset").withColumn("_ways", F.array_sort(ways))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        left: dict[str, float] = dict.fromkeys(pdf["wh_id"], float(capacity or "inf"))
-        out = []
-        for _, rows in sorted(((-r["orders"].iat[0], o), r) for o, r in pdf.sort_values(["dist_km", "wh_ord"]).groupby("ord")):
-            fits = rows[rows["wh_id"].map(left) >= rows["orders"]]
-            pick = (fits if len(fits) else rows).iloc[0]
-            left[pick["wh_id"]] -= pick["orders"]
-            out.append(pick)
-        return pd.DataFrame(out)[["dataset", "ord", "id", "wh_id", "dist_km"]]
-
-    return cells.groupBy("dataset").applyInPandas(fill, "dataset string, ord long, id string, wh_id string, dist_km double")
+        pdf = pdf.sort_values(["orders", "ord"], ascending=[False, True])
+        order, wanted = np.stack(pdf["near"].to_numpy()), pdf["orders"].to_numpy(float)
+        if order.size > MOST_FOLDED:
+            raise ValueError(f"{len(pdf)} points and {order.shape[1]} sites: more than a greedy assignment of one data set holds")
+        room, pick = np.full(order.shape[1], float(capacity or "inf")), np.zeros(len(pdf), np.int64)
+        for n, (near, orders) in enumerate(zip(order, wanted, strict=True)):
+            fits = room[near] >= orders
+            pick[n] = fits.argmax() if fits.any() else 0
+            room[near[pick[n]]] -= orders
+        return pd.DataFrame({"dataset": pdf["dataset"], "ord": pdf["ord"], "pick": pick})
+
+    order = ranked.select("dataset", "ord", "orders", F.col("_ways.i").alias("near"))
+    picked = order.groupBy("dataset").applyInPandas(fill, "dataset string, ord long, pick long")
+    chosen = ranked.join(picked, ["dataset", "ord"]).withColumn("_way", F.element_at("_ways", (F.col("pick") + 1).cast("int")))
+    return chosen.select("dataset", "ord", "id", F.col("_way.wh_id").alias("wh_id"), F.col("_way.km").alias("dist_km"))
