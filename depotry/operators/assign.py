@@ -132,6 +132,21 @@ def lookup(assigned: DataFrame, sites: DataFrame, plan: tuple[str, ...] = ("data
     return assigned.join(s, [*plan, "wh_id"])
 
 
+def unknown_sites(assigned: DataFrame, sites: DataFrame, plan: tuple[str, ...] = ("dataset",)) -> DataFrame:
+    """Assignments to sites that the plan does not have."""
+    return assigned.join(sites.select(*plan, "wh_id"), [*plan, "wh_id"], "left_anti")
+
+
+def unseeded(points: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Points at places where no seed stands yet."""
+    return points.join(seeds.select("dataset", "lat", "lon"), ["dataset", "lat", "lon"], "left_anti")
+
+
+def used_sites(assigned: DataFrame, plan: tuple[str, ...] = ("dataset",)) -> DataFrame:
+    """(plan, used): how many sites serve a point."""
+    return assigned.groupBy(*plan).agg(F.countDistinct("wh_id").alias("used"))
+
+
 def loads(assigned: DataFrame, sites: DataFrame, plan: tuple[str, ...] = ("dataset",)) -> DataFrame:
     """Orders of every site, zero for sites without points."""
     own = assigned.groupBy(*plan, "wh_id").agg(F.sum("orders").alias("load"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depotry.schema import Config
+from depotry.functions.geo import haversine
+from depotry.schema import RUPEE, Config, Profile
 
 
 def rate_grid(vehicles: DataFrame, traffic: DataFrame, prices: DataFrame) -> DataFrame:
@@ -78,3 +79,18 @@ def centroids(points: DataFrame, plan: tuple[str, ...] = ("dataset",), weight: s
         *mean.values(), F.avg("lat").alias("lat_centre"), F.avg("lon").alias("lon_centre"), F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"),
         F.count(F.lit(1)).alias("n"), F.sum("orders").cast("long").alias("orders_total"), F.max("orders").alias("orders_max"), F.min("orders").alias("orders_min"), F.avg("orders").alias("orders_mean"),
     )
+
+
+def plan_score(points: DataFrame, assignments: DataFrame, sites: DataFrame, profile: Profile = RUPEE, weight: str = "orders") -> DataFrame:
+    """(dataset, cost) of a plan given as (dataset, id, wh_id); a point without a known site raises."""
+    at = sites.select("dataset", "wh_id", F.col("lat").alias("wh_lat"), F.col("lon").alias("wh_lon"))
+    placed = points.join(assignments.select("dataset", "id", "wh_id"), ["dataset", "id"], "left").join(at, ["dataset", "wh_id"], "left")
+    lost = F.raise_error(F.concat(F.lit("no site is assigned to "), F.col("id"))).cast("double")
+    return weighted_cost(placed.withColumn("dist_km", F.when(F.col("wh_lat").isNull(), lost).otherwise(haversine(F.col("lat"), F.col("lon"), F.col("wh_lat"), F.col("wh_lon"), profile))), weight=weight)
+
+
+def farthest(points: DataFrame, profile: Profile = RUPEE) -> DataFrame:
+    """(dataset, id, km): the point farthest from the centre of its data set, the last id of equals."""
+    centre = points.groupBy("dataset").agg(F.avg("lat").alias("_a"), F.avg("lon").alias("_b"))
+    far = points.join(centre, "dataset").withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("_a"), F.col("_b"), profile))
+    return far.groupBy("dataset").agg(F.max(F.struct("km", "id")).alias("f")).select("dataset", "f.id", "f.km")

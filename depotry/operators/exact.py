@@ -172,3 +172,8 @@ def continuous_optimum(points: DataFrame, ks: tuple[int, ...], weight: str = "or
         return pd.DataFrame(rows, columns=["dataset", "k", "objective", "groups"])
 
     return points.groupBy("dataset").applyInPandas(solve, "dataset string, k int, objective double, groups array<long>")
+
+
+def partitions(n: int, k: int) -> int:
+    """Ways to part n points into k groups, none of them empty."""
+    return sum((-1) ** (k - j) * math.comb(k, j) * j**n for j in range(k + 1)) // math.factorial(k)

@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotry.functions.geo import haversine
@@ -281,3 +281,34 @@ def means_steps(points: DataFrame, sites: DataFrame, steps: int, weight: str = "
         moved = nearest(points, at, profile).groupBy("dataset", "wh_ord").agg((F.sum(w * F.col("lat")) / F.sum(w)).alias("_a"), (F.sum(w * F.col("lon")) / F.sum(w)).alias("_b"))
         at = at.join(moved, ["dataset", "wh_ord"], "left").select("dataset", "wh_ord", "wh_id", F.coalesce("_a", "lat").alias("lat"), F.coalesce("_b", "lon").alias("lon"))
     return at
+
+
+def flat_means(points: DataFrame, k: int, restarts: int = 20, rounds: int = 100, seed: int = 20260919, profile: Profile = ORDER_KM) -> DataFrame:
+    """PLACED of plain k-means on degrees, every point alike: the usual baseline. The restart with the least weighted cost counts; one task a data set."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        p, w, n = pdf[["lat", "lon"]].to_numpy(float), pdf["orders"].to_numpy(float), min(k, len(pdf))
+        metric, rng, best = Metric(p[:, 0], p[:, 1], profile), np.random.default_rng(seed), (math.inf, p[:n])
+        for _ in range(restarts):
+            at = p[rng.choice(len(p), n, replace=False)]
+            for _ in range(rounds):
+                near = ((p[:, None] - at) ** 2).sum(2).argmin(1)
+                held = near[:, None] == np.arange(n)
+                new = np.where(held.any(0)[:, None], held.T @ p / np.maximum(held.sum(0), 1)[:, None], at)
+                if (new == at).all():
+                    break
+                at = new
+            cost = float((w * metric.to(at).min(1)).sum())
+            if cost < best[0]:
+                best = (cost, at)
+        return pd.DataFrame([(key[0], "", n, i, f"W{i + 1}", a, b, best[0]) for i, (a, b) in enumerate(best[1])], columns=["dataset", "variant", "k", "wh_ord", "wh_id", "lat", "lon", "objective"])
+
+    return points.select("dataset", "id", "lat", "lon", "orders").groupBy("dataset").applyInPandas(run, PLACED)
+
+
+def roulette(points: DataFrame, share: float, weight: str = "orders") -> DataFrame:
+    """(dataset, id, upto): the first point by ``ord`` at which the running sum of weights reaches ``share`` of the total."""
+    upto = Window.partitionBy("dataset").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    s = points.withColumn("upto", F.sum(weight).over(upto)).withColumn("_total", F.sum(weight).over(Window.partitionBy("dataset")))
+    return s.where(F.col("upto") >= share * F.col("_total")).groupBy("dataset").agg(F.min_by(F.struct("id", "upto"), "ord").alias("p")).select("dataset", "p.id", "p.upto")

@@ -110,7 +110,7 @@ def weighted_cost(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{BASE} SELECT count(*) AS unknown FROM near WHERE wh_id NOT IN (SELECT wh_id FROM sites)")
 def assigned_to_known(spark: SparkSession, d: str) -> DataFrame:
-    return _near(spark, d).join(tables.five_sites(spark), ["dataset", "wh_id"], "left_anti").agg(F.count(F.lit(1)).alias("unknown"))
+    return assign.unknown_sites(_near(spark, d), tables.five_sites(spark)).agg(F.count(F.lit(1)).alias("unknown"))
 
 
 @query(f"{BASE} SELECT id, wh_id, round(dist_km*1.32e0, 4) AS road_km FROM near WHERE dist_km*1.32e0 > 5")
@@ -278,9 +278,7 @@ def random_draws(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, CAST(upto AS BIGINT) AS upto FROM s WHERE upto >= 0.37e0*total ORDER BY i LIMIT 1""")
 def roulette_pick(spark: SparkSession, d: str) -> DataFrame:
     """The point where a running sum of weights passes a share of the total."""
-    upto = Window.partitionBy("dataset").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    s = _nations(spark, d).withColumn("upto", F.sum("orders").over(upto)).withColumn("total", F.sum("orders").over(Window.partitionBy("dataset")))
-    return s.where(F.col("upto") >= 0.37 * F.col("total")).groupBy("dataset").agg(F.min_by(F.struct("id", "upto"), "ord").alias("p")).select("p.id", "p.upto")
+    return solve.roulette(_nations(spark, d), 0.37).select("id", "upto")
 
 
 def _discrete_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -342,15 +340,12 @@ def kmeans_fixed_iters(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {NATIONS}, c AS (SELECT avg(lat) AS a, avg(lon) AS b FROM pts), f AS (SELECT id, {_km('p.lat', 'p.lon', 'c.a', 'c.b')} AS km FROM pts p, c) SELECT id, round(km, 6) AS km FROM f ORDER BY km DESC, id LIMIT 1")
 def farthest_point(spark: SparkSession, d: str) -> DataFrame:
-    pts = _nations(spark, d)
-    centre = pts.groupBy("dataset").agg(F.avg("lat").alias("a"), F.avg("lon").alias("b"))
-    far = pts.join(centre, "dataset").withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("a"), F.col("b")))
-    return rounded(far.groupBy("dataset").agg(F.max_by(F.struct("id", "km"), F.struct("km", "id")).alias("f")).select("f.id", "f.km"), "km", places=6)
+    return rounded(cost.farthest(_nations(spark, d)).select("id", "km"), "km", places=6)
 
 
 @query(f"{BASE} SELECT count(DISTINCT wh_id) AS used FROM near")
 def sites_used(spark: SparkSession, d: str) -> DataFrame:
-    return _near(spark, d).agg(F.countDistinct("wh_id").alias("used"))
+    return assign.used_sites(_near(spark, d)).select("used")
 
 
 @query(f"WITH v AS (SELECT * FROM (VALUES {_ROWS}) t(vehicle, label, capacity, fuel, speed, upkeep, co2, energy)) SELECT vehicle, round(co2/nullif(fuel, 0), 6) AS grams_per_litre, CASE WHEN fuel > 0 THEN abs(co2-fuel*2310) <= 3 OR abs(co2-fuel*2680) <= 3 END AS consistent FROM v")
@@ -400,9 +395,12 @@ _ODD = "odd AS (SELECT CAST(p_partkey AS BIGINT) AS ord, CASE WHEN p_partkey % 2
 @query(f"""WITH {_ODD}, f AS (SELECT *, min(ord) OVER (PARTITION BY id) AS first FROM odd), e AS (SELECT ord, unnest([CASE WHEN trim(id) = '' THEN 'id is blank' END, CASE WHEN first < ord THEN 'id repeats row '||first END, CASE WHEN NOT (lat BETWEEN -90 AND 90) THEN 'lat is not in -90..90' END,
  CASE WHEN lon IS NULL THEN 'lon is not in -180..180' END, CASE WHEN orders < 0 THEN 'orders is not a whole number of 0 or more' END]) AS error FROM f) SELECT * FROM e WHERE error IS NOT NULL""")
 def validate_rows(spark: SparkSession, d: str) -> DataFrame:
+    return points.validate(_odd(spark, d)).drop("dataset")
+
+
+def _odd(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey").cast("long")
-    odd = tables.table(spark, d, "part").select(F.lit("p").alias("dataset"), k.alias("ord"), F.when(k % 29 == 0, " ").otherwise(F.concat(F.lit("P"), (k % 700).cast("string"))).alias("id"), F.when(k % 17 == 0, 120.0).otherwise(12.0).alias("lat"), F.when(k % 19 == 0, None).otherwise(F.lit(77.0)).alias("lon"), (k % 50 - 1).alias("orders"))
-    return points.validate(odd).drop("dataset")
+    return tables.table(spark, d, "part").select(F.lit("p").alias("dataset"), k.alias("ord"), F.when(k % 29 == 0, " ").otherwise(F.concat(F.lit("P"), (k % 700).cast("string"))).alias("id"), F.when(k % 17 == 0, 120.0).otherwise(12.0).alias("lat"), F.when(k % 19 == 0, None).otherwise(F.lit(77.0)).alias("lon"), (k % 50 - 1).alias("orders"))
 
 
 _HEADERS = [(0, "Locality"), (1, " Latitude "), (2, "X_Coord"), (3, "Daily-Orders"), (4, "Manager"), (5, "y"), (6, "lng")]
@@ -425,7 +423,8 @@ def missing_fields(spark: SparkSession, d: str) -> DataFrame:
     return mapping.missing_fields(spark, mapping.alias_mapping(_headers(spark).where("col_ord > 2"))).select("field")
 
 
-@query("SELECT * FROM (VALUES ('a,b,c', ','), ('a;b,c;d', ';'), ('a|b|c', '|'), ('one', ','), ('a' || chr(9) || 'b', chr(9)), ('a,b;c', ',')) t(header, sep)")
+@query("""WITH h AS (SELECT * FROM (VALUES ('a,b,c'), ('a;b,c;d'), ('a|b|c'), ('one'), ('a' || chr(9) || 'b'), ('a,b;c')) t(header)), d AS (SELECT * FROM (VALUES (0, ','), (1, ';'), (2, chr(9)), (3, '|')) t(place, sep))
+SELECT header, sep FROM (SELECT *, row_number() OVER (PARTITION BY header ORDER BY len(string_split(header, sep)) DESC, place) AS rn FROM h, d) WHERE rn = 1""")
 def delimiters(spark: SparkSession, d: str) -> DataFrame:
     heads = spark.createDataFrame([("a,b,c",), ("a;b,c;d",), ("a|b|c",), ("one",), ("a\tb",), ("a,b;c",)], "header string")
     return heads.select("header", points.delimiter(F.col("header")).alias("sep"))
@@ -434,7 +433,7 @@ def delimiters(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {NATIONS} SELECT id FROM pts WHERE (lat, lon) NOT IN (SELECT (lat, lon) FROM pts WHERE ord % 4 = 0)")
 def unseeded_points(spark: SparkSession, d: str) -> DataFrame:
     pts = _nations(spark, d)
-    return pts.join(pts.where("ord % 4 = 0").select("lat", "lon"), ["lat", "lon"], "left_anti").select("id")
+    return assign.unseeded(pts, pts.where("ord % 4 = 0")).select("id")
 
 
 @query("""WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y*y)))) AS v FROM u)
@@ -451,10 +450,13 @@ def cosine_neighbours(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH c AS (SELECT 0 AS col_ord, CAST(p_partkey AS VARCHAR) AS value FROM part UNION ALL SELECT 1, p_name FROM part UNION ALL SELECT 2, '12.'||p_partkey FROM part UNION ALL SELECT 3, '-'||p_size FROM part),
 x AS (SELECT col_ord, try_cast(replace(trim(value), ',', '') AS DOUBLE) AS x FROM c WHERE trim(value) <> '') SELECT col_ord, count(*) AS n, round(avg(CAST(x IS NOT NULL AS INTEGER)), 6) AS numeric_share, min(x) AS low, max(x) AS high, bool_and(x = floor(x)) AS whole FROM x GROUP BY 1""")
 def value_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mapping.value_evidence(_part_cells(spark, d)), "numeric_share", places=6)
+
+
+def _part_cells(spark: SparkSession, d: str) -> DataFrame:
     part = tables.table(spark, d, "part")
     cells = [F.col("p_partkey").cast("string"), F.col("p_name"), F.concat(F.lit("12."), F.col("p_partkey").cast("string")), F.concat(F.lit("-"), F.col("p_size").cast("string"))]
-    long = part.select(F.posexplode(F.array(*cells)).alias("col_ord", "value"))
-    return rounded(mapping.value_evidence(long), "numeric_share", places=6)
+    return part.select(F.posexplode(F.array(*cells)).alias("col_ord", "value"))
 
 
 # --- output ------------------------------------------------------------------------------------
@@ -475,7 +477,17 @@ def geojson_properties(spark: SparkSession, d: str) -> DataFrame:
     return export.geojson(_near(spark, d), 8.0).select(back.alias("f")).select("f.properties.id", F.col("f.properties.site").alias("wh_id"), "f.properties.radius", "f.properties.out_of_radius")
 
 
-@query("""SELECT * FROM (VALUES ('s=a&k=3&v=ev&f=90', 'a', 3e0, 'ev', 90e0), ('#k=9&v=boat&f=1000', NULL, NULL, NULL, NULL), ('s=b&k=x&f=40', 'b', NULL, NULL, 40e0)) t(link, sample, k, vehicle, fuel_price)""")
+def _setting(key: str) -> str:
+    return f"nullif(regexp_extract(link, '(^#?|&){key}=([^&]*)', 2), '')"
+
+
+def _within(key: str) -> str:
+    low, high = schema.RANGES[key]
+    return f"CASE WHEN try_cast({_setting(key)} AS DOUBLE) BETWEEN {low} AND {high} THEN try_cast({_setting(key)} AS DOUBLE) END"
+
+
+@query(f"""WITH l AS (SELECT * FROM (VALUES ('s=a&k=3&v=ev&f=90'), ('#k=9&v=boat&f=1000'), ('s=b&k=x&f=40')) t(link)), v AS (SELECT * FROM (VALUES {_ROWS}) t(vehicle, label, capacity, fuel, speed, upkeep, co2, energy))
+SELECT link, {_setting('s')} AS sample, {_within('k')} AS k, CASE WHEN {_setting('v')} IN (SELECT vehicle FROM v) THEN {_setting('v')} END AS vehicle, {_within('f')} AS fuel_price FROM l""")
 def decode_links(spark: SparkSession, d: str) -> DataFrame:
     links = spark.createDataFrame([("s=a&k=3&v=ev&f=90",), ("#k=9&v=boat&f=1000",), ("s=b&k=x&f=40",)], "link string")
     return points.decode_link(links).select("link", "sample", "k", "vehicle", "fuel_price")
@@ -488,6 +500,71 @@ def demand_by_day(spark: SparkSession, d: str) -> DataFrame:
     return demand_by_window(o, "o_custkey").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query(f"WITH {_ODD}, f AS (SELECT ord, id, min(ord) OVER (PARTITION BY id) AS first FROM odd) SELECT id, ord, first FROM f WHERE first < ord")
+def dup_ids(spark: SparkSession, d: str) -> DataFrame:
+    return points.repeated_ids(_odd(spark, d)).select("id", "ord", "first")
+
+
+@query(f"WITH {_MAPPED} SELECT field, min(col_ord) AS col_ord FROM m GROUP BY 1")
+def first_col_per_field(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.alias_mapping(_headers(spark)).select("field", "col_ord")
+
+
+_EVIDENCE = """c AS (SELECT 0 AS col_ord, CAST(p_partkey AS VARCHAR) AS value FROM part UNION ALL SELECT 1, p_name FROM part UNION ALL SELECT 2, '12.'||p_partkey FROM part UNION ALL SELECT 3, '-'||p_size FROM part),
+x AS (SELECT col_ord, try_cast(replace(trim(value), ',', '') AS DOUBLE) AS x FROM c WHERE trim(value) <> ''), ev AS (SELECT col_ord, avg(CAST(x IS NOT NULL AS INTEGER)) AS share, min(x) AS low, max(x) AS high, bool_and(x = floor(x)) AS whole FROM x GROUP BY 1),
+f AS (SELECT * FROM (VALUES (0, 'id'), (1, 'lat'), (2, 'lon'), (3, 'orders')) t(field_ord, field)), p AS (SELECT col_ord, field_ord, field, CASE WHEN field = 'id' THEN CASE WHEN share > 0.9e0 THEN -0.12e0 ELSE 0.1e0 END WHEN share < 0.9e0 OR low IS NULL THEN -0.12e0
+ WHEN field = 'lat' THEN CASE WHEN low < -90 OR high > 90 THEN -0.12e0 WHEN NOT whole AND abs(high) <= 90 THEN 0.12e0 ELSE 0.02e0 END
+ WHEN field = 'lon' THEN CASE WHEN low < -180 OR high > 180 THEN -0.12e0 WHEN NOT whole AND abs(high) > 90 THEN 0.12e0 WHEN NOT whole THEN 0.06e0 ELSE 0.02e0 END
+ WHEN low < 0 THEN -0.12e0 WHEN whole THEN 0.12e0 ELSE -0.04e0 END AS prior FROM ev, f)"""
+
+
+@query(f"WITH {_EVIDENCE} SELECT col_ord, field, prior FROM p")
+def value_prior(spark: SparkSession, d: str) -> DataFrame:
+    fields = spark.createDataFrame([(f,) for f in mapping.FIELDS], "field string")
+    return mapping.value_evidence(_part_cells(spark, d)).crossJoin(F.broadcast(fields)).select("col_ord", "field", mapping.value_prior().alias("prior"))  # four rows on the right
+
+
+@query(f"WITH {_EVIDENCE}, s AS (SELECT field, col_ord, prior + CASE WHEN field_ord = col_ord THEN 0.8e0 ELSE 0.2e0 END AS score FROM p) SELECT field, col_ord, round(score, 6) AS score FROM s")
+def score_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of fields and columns for vectors of which a field and the column of its place agree by 0.8, others by 0.2."""
+    side, own = 0.2**0.5, 0.6**0.5
+    vectors = [[side, *(own if i == j else 0.0 for j in range(4))] for i in range(4)]
+    fields = spark.createDataFrame([(i, f, vectors[i]) for i, f in enumerate(mapping.FIELDS)], "field_ord int, field string, vector array<double>")
+    heads = spark.createDataFrame([(i, f"h{i}", vectors[i]) for i in range(4)], "col_ord int, header string, vector array<double>")
+    return rounded(mapping.score_matrix(fields, heads, mapping.value_evidence(_part_cells(spark, d))).select("field", "col_ord", "score"), "score", places=6)
+
+
+@query(f"""{BASE}, {PRICED}, t AS (SELECT count(*) AS n, CAST(sum(orders) AS BIGINT) AS o, round(sum(fuel+driver)+12500e0) AS total FROM costed)
+SELECT 'nations: '||n||' areas, '||o||' orders a day.' AS first, 'Cheapest at K=5.' AS third, CAST(total AS BIGINT) AS total FROM t""")
+def summary_text(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the text summary of the five sites, its rupees read back as a number."""
+    sites = tables.five_sites(spark)
+    rows = cost.row_cost(_near(spark, d), CONFIG)
+    totals = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum("orders").alias("orders_total")).join(cost.breakdown(rows, sites, CONFIG).select("dataset", "total"), "dataset")
+    said = export.summary(totals.select("*", F.lit(5).alias("k"), F.col("total").alias("base_total"), F.lit(5).alias("best_k"), F.lit(None).cast("double").alias("saved_per_year"), F.lit(None).cast("double").alias("regret_pct")))
+    lines = F.split("summary", "\n")
+    return said.select(lines[0].alias("first"), lines[2].alias("third"), F.regexp_replace(F.regexp_extract(lines[1], "₹([0-9,]+) a day", 1), ",", "").cast("long").alias("total"))
+
+
+@query(f"WITH {NATIONS}, c AS (SELECT avg(lat) AS a, avg(lon) AS b FROM pts) SELECT 'centre' AS label, round(sum(orders*{_km('p.lat', 'p.lon', 'c.a', 'c.b', 6371.0, 'atan2')}), 3) AS cost FROM pts p, c")
+def centre_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """The ladder's first rung: one depot at the centre of the map."""
+    return rounded(whatif.centre_baseline(_nations(spark, d)).select("label", "cost"), "cost", places=3)
+
+
+@query("SELECT n, k, CASE WHEN k = 1 OR k = n THEN 1 WHEN k = 2 THEN CAST(pow(2, n-1) AS BIGINT)-1 ELSE CAST((pow(3, n)-3*pow(2, n)+3)/6 AS BIGINT) END AS partitions FROM (SELECT CAST(range AS BIGINT) AS n FROM range(3, 13)), (SELECT CAST(range AS BIGINT) AS k FROM range(1, 4))")
+def partition_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Ways to part n points into K groups that are not empty: what an exact search has to look at."""
+    return spark.createDataFrame([(n, k, exact.partitions(n, k)) for n in range(3, 13) for k in range(1, 4)], "n long, k long, partitions long")
+
+
+@query(f"{BASE} SELECT round(sum(orders*dist_km), 4) AS cost FROM near")
+def plan_score(spark: SparkSession, d: str) -> DataFrame:
+    """A plan given as (id, wh_id) scored; it raises where a point has no site."""
+    given = _near(spark, d).select("dataset", "id", "wh_id")
+    return rounded(cost.plan_score(_nations(spark, d), given, tables.five_sites(spark)).select("cost"), "cost")
+
+
 # --- iterative: checked by tests -----------------------------------------------------------------
 
 @query()
@@ -587,3 +664,44 @@ def paired_sites(spark: SparkSession, d: str) -> DataFrame:
     pts = samples.sample(spark, "cross_13").cache()
     a, b = (solve.solve_grouped(pts, (3, 4), profile=p) for p in (RUPEE, ORDER_KM))
     return rounded(whatif.pair_sites(a, b), "km", places=3)
+
+
+@query()
+def run_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The whole rupee pipeline for three sites: its summary row."""
+    out = whatif.run(samples.sample(spark, "bengaluru_12"), 3)["summary"].select("dataset", "delivery", "total", "base_total", "kmeans_total", "improvement_pct", "saved_per_year")
+    return rounded(out, "delivery", "total", "base_total", "kmeans_total", "improvement_pct", "saved_per_year", places=2)
+
+
+@query()
+def run_order_km(spark: SparkSession, d: str) -> DataFrame:
+    """The whole order-km pipeline for three sites: its summary row."""
+    out = whatif.run_order_km(samples.sample(spark, "cross_13"), 3, None, 10.0, 46.0)["summary"].select("dataset", "order_km", "base_order_km", "order_km_saved", "money_per_year")
+    return rounded(out, "order_km", "base_order_km", "order_km_saved", "money_per_year", places=2)
+
+
+@query()
+def robustness(spark: SparkSession, d: str) -> DataFrame:
+    """Three order-km sites kept while demand moves, against sites solved anew."""
+    pts = samples.sample(spark, "cross_13").cache()
+    sites = solve.solve_grouped(pts, (3,), profile=ORDER_KM)
+    return rounded(whatif.regret(pts, sites, 20, 0.3, 20260919, ORDER_KM), "mean_regret_pct", "worst_regret_pct")
+
+
+@query()
+def spot_check(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(whatif.spot_check(samples.sample(spark, "cross_13"), 2, samples=3), "plan_cost", "discrete", "continuous", "gap_pct", places=3)
+
+
+@query()
+def cross_check(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(whatif.cross_check(samples.sample(spark, "exact_6", "cross_13"), 2), "gap_pct", places=3)
+
+
+@query()
+def ingest_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The built-in messy file read as rows: points of it."""
+    head, *body = samples.MESSY_CSV.splitlines()
+    renamed = dict(zip(head.split(","), ("id", "lat", "lon", "orders", "manager"), strict=False))
+    good, _ = points.read_rows(spark, [dict(zip(map(renamed.get, head.split(",")), row.split(","), strict=False)) for row in body], "messy")
+    return good

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from depotry.operators.mapping import FIELDS, Embedder, alias_mapping, map_columns
 from depotry.schema import POINTS, RANGES, SCENARIOS, TRAFFIC, VEHICLES
@@ -48,6 +51,7 @@ def to_int(raw: Column) -> Column:
 
 def coerce(raw: DataFrame) -> DataFrame:
     """``raw(dataset, line_no, id, lat, lon, orders)`` of texts with typed values and ``errors``; blank rows drop out."""
+    # The sentences of errors, which users of such files read.
     where = F.concat(F.lit("Row "), F.col("line_no").cast("string"))
 
     def said(field: str, text: str) -> Column:
@@ -81,14 +85,32 @@ def validate(points: DataFrame) -> DataFrame:
         (F.col("id").isNotNull() & (F.col("_first") < F.col("ord")), F.concat(F.lit("id repeats row "), F.col("_first").cast("string"))),
         (~F.coalesce(F.col("lat").between(-90, 90), F.lit(False)), F.lit("lat is not in -90..90")),
         (~F.coalesce(F.col("lon").between(-180, 180), F.lit(False)), F.lit("lon is not in -180..180")),
-        (~F.coalesce(F.col("orders") >= 0, F.lit(False)), F.lit("orders is not a whole number of 0 or more")),
+        (~F.coalesce((F.col("orders") >= 0) & (F.col("orders").cast("double") < float("inf")), F.lit(False)), F.lit("orders is not a whole number of 0 or more")),
     ]
     found = F.array_compact(F.array(*(F.when(broken, text) for broken, text in rules)))
     return marked.select("dataset", "ord", F.explode(found).alias("error"))
 
 
-def check(points: DataFrame, k: int) -> None:
-    """Raise for an empty data set, a bad K or any broken rule."""
+def repeated_ids(points: DataFrame) -> DataFrame:
+    """Points whose id a point before them has, with the ``ord`` of the ``first``."""
+    return points.withColumn("first", F.min("ord").over(Window.partitionBy("dataset", "id"))).where("id IS NOT NULL AND first < ord")
+
+
+def _real(x: object) -> bool:
+    return isinstance(x, int | float) and not isinstance(x, bool) and math.isfinite(x)
+
+
+def check(points: DataFrame, k: int, constraints: dict | None = None) -> None:
+    """Raise for an empty data set, a bad K, columns that hold no numbers, constraints that are not known or any broken rule."""
+    for name in ("lat", "lon", "orders"):
+        if not isinstance(points.schema[name].dataType, NumericType):
+            raise ValueError(f"{name} is no column of numbers")
+    rules = {"capacity": lambda x: x > 0, "max_radius_km": lambda x: x >= 0}
+    for name, value in (constraints or {}).items():
+        if name not in rules:
+            raise ValueError(f"constraint {name!r} is not one of {', '.join(rules)}")
+        if value is not None and not (_real(value) and rules[name](value)):
+            raise ValueError(f"constraint {name} must be a number {'above' if name == 'capacity' else 'of at least'} 0")
     if isinstance(k, bool) or not isinstance(k, int) or k < 1:
         raise ValueError("K must be a whole number of at least 1")
     if points.limit(1).count() == 0:

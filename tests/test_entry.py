@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from depotry.queries import ORACLES
+from depotry.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -39,6 +39,14 @@ def test_query_equals_sql(spark, name):
     pd.testing.assert_frame_equal(shape(a), shape(b), check_dtype=False)
 
 
+@needs_data
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_query_without_sql_runs(spark, name):
+    rows = __spark_entry__.queries()[name](spark, SF).collect()
+    assert rows
+    assert all(any(v is not None for v in r) for r in rows)
+
+
 def test_entry_without_the_training_data_folder(monkeypatch):
     for name in [m for m in sys.modules if m.startswith("depotry.llm")] + ["corpus_pipeline"]:
         monkeypatch.setitem(sys.modules, name, None)

@@ -146,3 +146,16 @@ def test_whole_ingest(spark, tmp_path):
     good, bad = points.ingest(spark, str(path))
     assert [r["id"] for r in good.collect()] == ["A"]
     assert bad.count() == 3
+
+
+def test_what_a_solver_refuses(spark):
+    pts = sample(spark, "small_4")
+    points.check(pts, 2, {"capacity": 100, "max_radius_km": None})
+    for constraints in ({"capacity": 0}, {"capacity": True}, {"max_radius_km": float("nan")}, {"max_radius_km": -1}, {"speed": 3}):
+        with pytest.raises(ValueError, match="constraint"):
+            points.check(pts, 2, constraints)
+    with pytest.raises(ValueError, match="numbers"):
+        points.check(pts.withColumn("lat", F.lit(True)), 2)
+    for bad in (float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="orders"):
+            points.check(pts.withColumn("orders", F.lit(bad)), 2)
