@@ -39,7 +39,7 @@ JOINED, BLOCK = 500, 1 << 19
 #: A piece is large if its length times the first number is more than a sequence; the second is the number of groups.
 #: Rounding up costs about half a group's span for each piece, so groups are many.
 GROUPINGS = ((3, 400), (2.5, 400))
-PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, row_id long"
 
 
 class WordCoder:
@@ -133,25 +133,28 @@ def _apart(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int, with_ids: bool = False) -> DataFrame:
-    """Pieces of at most ``max_tokens`` ids of every text plus ``end_id``; ``with_ids`` adds them as ``ids``."""
+    """Pieces of at most ``max_tokens`` ids of every text plus ``end_id``; ``with_ids`` adds them as ``ids``.
+
+    ``row_id`` is the same for all pieces of one row and differs between rows, repeated ones among them.
+    """
     end, schema = np.array([end_id], "<u4").tobytes(), PIECE_SCHEMA + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = once(f"coder {tokenizer}", lambda: WordCoder(tokenizer))
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            ids, columns = batch.column(0).to_pylist(), [[] for _ in range(6)]
-            for doc, coded in zip(ids, coder.blocks(data, offsets), strict=True):
+            ids, columns = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True), [[] for _ in range(7)]
+            for (doc, row), coded in zip(ids, coder.blocks(data, offsets), strict=True):
                 coded += end
                 for k, at in enumerate(range(0, len(coded), 4 * max_tokens)):
                     part = coded[at : at + 4 * max_tokens]
-                    for c, v in zip(columns, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<i4") if with_ids else None), strict=True):
+                    for c, v in zip(columns, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), row, np.frombuffer(part, "<i4") if with_ids else None), strict=True):
                         c.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-            names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)][: 5 + with_ids], names[: 5 + with_ids])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+            names = ("doc_id", "piece", "start", "length", "ids_crc32", "row_id", "ids")
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)][: 6 + with_ids], names[: 6 + with_ids])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row_id")).mapInArrow(run, schema)
 
 
 def _best_pattern(sizes: np.ndarray, worth: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -355,11 +358,11 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int =
     table = spark.createDataFrame(slots, "length long, low long, high long, shift long, offset long")
 
     buckets = int(max(256, counts.sum() // 20_000))
-    marked = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    marked = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "row_id"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = marked.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
+    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "row_id")
     ranked = marked.withColumn("nth", F.row_number().over(own)).join(sums, ["length", "bucket"]).withColumn("nth", F.col("before") + F.col("nth") - 1)
     # The slots are at most a few for each of max_tokens lengths and each planned run of bins: bounded, so broadcast.
     placed = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (F.col("nth") >= F.col("low")) & (F.col("nth") < F.col("high")))
-    return placed.select("doc_id", "piece", "start", pieces["length"], "ids_crc32", (F.col("nth") + F.col("shift")).alias("sequence_id"), "offset", *(["ids"] if with_ids else []))
+    return placed.select("doc_id", "piece", "start", pieces["length"], "ids_crc32", (F.col("nth") + F.col("shift")).alias("sequence_id"), "offset", "row_id", *(["ids"] if with_ids else []))

@@ -74,7 +74,7 @@ def test_stages(spark, folder):
 
 def test_run_is_the_stages(spark, folder):
     rows = corpus_pipeline.run(spark, folder[0])
-    assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "row_id"]
     assert rows.count() > 100
 
 
@@ -88,3 +88,35 @@ def test_sequences_hold_the_tokens(spark, folder):
     rows = corpus_pipeline.sequences(spark, folder[0]).collect()
     assert 0 < max(len(r["ids"]) for r in rows) <= 2048
     assert sum(i == 0 for r in rows for i in r["ids"]) > 50
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_each_stage_on_odd_rows(spark, folder, stage):
+    name, run = corpus_pipeline.STAGES[stage]
+    long = "one two three four five six seven. " * 60_000
+    rows = [(1, long, "en", "src0", 1), (1, long, "en", "src0", 1), (2, "", "en", "src1", 0), (3, None, None, None, None), (None, "Words of a row without an id stand here.", "en", "src2", 3), (4, "a b", "en", "src0", 3)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, 7, "x", "y") for r in rows], f"{kind}, kept int, SCORE string, row_id string")
+    out = run(spark, docs, folder[0])
+    got = out.collect()
+    if stage < 4:
+        assert out.columns == list(corpus_pipeline.COLUMNS)
+        assert all(r["doc_id"] in (None, 1, 2, 3, 4) for r in got)
+    if stage == 1:
+        assert sorted(len(r["text"]) for r in got) == sorted(len(t or "") for _, t, *_ in rows)
+    if stage == 2:
+        assert sorted(str(r["doc_id"]) for r in got) == ["1", "2", "3", "4", "None"]
+    if stage == 4:
+        whole = {}
+        for r in got:
+            whole[r["row_id"]] = whole.get(r["row_id"], 0) + r["length"]
+        assert len(whole) == len(rows)
+        assert sorted(whole.values())[-1] == sorted(whole.values())[-2] > 400_000
+    empty = run(spark, docs.limit(0), folder[0])
+    assert (empty.count(), len(empty.columns)) == (0, len(out.columns))
+
+
+def test_copies_of_a_document_are_told_apart(spark, folder):
+    rows = corpus_pipeline.run(spark, folder[0]).collect()
+    assert len({(r["row_id"], r["piece"]) for r in rows}) == len(rows)
+    assert len({(r["doc_id"], r["piece"]) for r in rows}) < len(rows)
