@@ -1,7 +1,7 @@
 """Files and tables in the folder that driver and executors share.
 
-The folder is the session's ``spark.checkpoint.dir``; where that is unset (tests, a laptop) a
-temporary folder is made and set. Everything an operator writes goes to one sub-folder, is
+The folder is the session's ``spark.checkpoint.dir``; where that is unset on one machine
+(tests, a laptop) a temporary folder is made and set; on a cluster it must be set. Everything an operator writes goes to one sub-folder, is
 written under a temporary name and renamed, so a task that runs twice leaves the same file,
 and a lost executor loses nothing that was written.
 """
@@ -33,6 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
     """URI of the shared folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.sparkContext.setCheckpointDir(at)
         atexit.register(shutil.rmtree, urlparse(at).path, True)
