@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depotry.llm.shared import Workspace, once
+from depotry.llm.shared import Workspace, forget, once
 from depotry.llm.textscan import text_buffers
 
 #: Words of a generation that a worker remembers, and the bytes of the longest one.
@@ -153,6 +153,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int,
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
             names = ("doc_id", "piece", "start", "length", "ids_crc32", "row_id", "ids")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)][: 6 + with_ids], names[: 6 + with_ids])
+        if with_ids:  # they go through a shuffle next, beside which the words of an idle worker take room
+            forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row_id")).mapInArrow(run, schema)
 
