@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotry.llm import extraction, jaccard, knn, lines, lm, mixing, packing, quality, rules, secret_scan
+from depotry.llm import extraction, jaccard, knn, lines, lm, mixing, packing, phrases, quality, rules, secret_scan
 from depotry.llm.shared import crc_of_id
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -74,8 +74,13 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"), longest=5, min_count=100, top=2000, subsume_pct=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_phrases": op11_phrases,
     "op1_top_k": op1_top_k,
     "op2_packing": op2_packing,
     "op3_jaccard": op3_jaccard,
@@ -166,4 +171,18 @@ f AS (SELECT k.*, h.key IS NOT NULL AS gone FROM k LEFT JOIN h ON k.key = h.key)
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM f GROUP BY doc_id""",
+    "op11_phrases": f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]') AS p FROM documents),
+p AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(p) AS piece FROM d)),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY 1),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+s AS (SELECT c.lang, c.phrase, c.k, c.a, x.f AS l, y.f AS r, n.n, u.cut, 1000 * c.a::HUGEINT * n.n // (x.f::HUGEINT * y.f) AS score
+      FROM c JOIN (SELECT unnest([1, 2, 3, 4]) AS cut) u ON u.cut < c.k JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:u.cut], ' ')
+      JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[u.cut + 1:c.k], ' ') JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS i FROM s) WHERE i = 1),
+o AS (SELECT c.lang, array_to_string(c.w[i.i:i.i + m.m - 1], ' ') AS phrase, max(c.a) AS longer FROM c JOIN (SELECT unnest(range(1, 6)) AS i) i ON i.i <= c.k JOIN (SELECT unnest([2, 3, 4]) AS m) m ON m.m < c.k AND i.i + m.m - 1 <= c.k GROUP BY 1, 2),
+r AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 2000""",
 }
