@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotry.llm import extraction, jaccard, knn, lines, lm, mixing, packing, phrases, quality, rules, secret_scan
+from depotry.llm import extraction, jaccard, knn, lines, lm, mixing, packing, phrases, quality, rules, secret_scan, trie, urls
 from depotry.llm.shared import crc_of_id
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 MIX_WEIGHTS = {"src0": 2.0, "src1": 0.5, "src2": 3.0}
 MIX_SEED = 17
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,9 +79,20 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(table(spark, sf_dir, "documents"), longest=5, min_count=100, top=2000, subsume_pct=100)
 
 
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"), group=20, most=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_phrases": op11_phrases,
+    "op12_urls": op12_urls,
+    "op13_trie": op13_trie,
     "op1_top_k": op1_top_k,
     "op2_packing": op2_packing,
     "op3_jaccard": op3_jaccard,
@@ -112,6 +124,13 @@ def _entropy_sql(window: int) -> str:
     return f"list_max(list_transform(range(length(hit) - {window - 1}), lambda i: list_aggregate(string_split(substr(hit, CAST(i + 1 AS INTEGER), {window}), ''), 'entropy')))"
 
 
+def _crc_sql(number: str) -> str:
+    """crc32 of the decimals of a whole number, bit by bit."""
+    bits = "list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))"
+    bytes_ = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_}), lambda x, y: {bits}), 4294967295)"
+
+
 _ALLOWED = "|".join(secret_scan.ALLOWED)
 
 ORACLES: dict[str, str] = {
@@ -185,4 +204,18 @@ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDE
 o AS (SELECT c.lang, array_to_string(c.w[i.i:i.i + m.m - 1], ' ') AS phrase, max(c.a) AS longer FROM c JOIN (SELECT unnest(range(1, 6)) AS i) i ON i.i <= c.k JOIN (SELECT unnest([2, 3, 4]) AS m) m ON m.m < c.k AND i.i + m.m - 1 <= c.k GROUP BY 1, 2),
 r AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 100 * a)
 SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 2000""",
+    "op13_trie": f"""
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT conv_id, {_crc_sql("conv_id")} % 4 AS h, conv_id - conv_id % 20 AS base FROM (SELECT DISTINCT conv_id FROM o)),
+b AS (SELECT i.conv_id, 0 AS side, o.pos, o.role, o.text FROM i JOIN o ON o.conv_id = i.base AND o.pos < i.h UNION ALL SELECT i.conv_id, 1, o.pos, o.role, o.text FROM i JOIN o ON o.conv_id = i.conv_id AND o.pos >= i.h),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY side, pos) AS depth, sha256(length(role) || ':' || role || text) AS turn FROM b),
+m AS MATERIALIZED (SELECT conv_id, depth, len(regexp_extract_all(text, '{_WORD}')) AS words, sha256(string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS prefix FROM r
+ UNION ALL SELECT conv_id, 0, 0, '' FROM i),
+n AS MATERIALIZED (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words FROM m GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT n.*, a.depth AS up_depth, a.conv_id AS up FROM n JOIN m ON m.conv_id = n.conv_id AND m.depth <= n.depth JOIN n a ON a.depth = m.depth AND a.prefix = m.prefix),
+c AS (SELECT up AS conv_id, up_depth AS depth, count(*) AS n_children FROM p WHERE up_depth = depth - 1 GROUP BY 1, 2),
+s AS (SELECT p.up AS conv_id, p.up_depth AS depth, count(*) FILTER (WHERE c.n_children IS NULL) AS n_leaves, CAST(sum((p.n_convs - 1) * p.words) AS BIGINT) AS saved_tokens FROM p LEFT JOIN c ON c.conv_id = p.conv_id AND c.depth = p.depth GROUP BY 1, 2),
+e AS (SELECT l.prefix, l.depth, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) AS k FROM m) l WHERE k = 1 GROUP BY 1, 2)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.up AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM n JOIN s ON s.conv_id = n.conv_id AND s.depth = n.depth LEFT JOIN p ON p.conv_id = n.conv_id AND p.depth = n.depth AND p.up_depth = n.depth - 1 LEFT JOIN c ON c.conv_id = n.conv_id AND c.depth = n.depth LEFT JOIN e ON e.prefix = n.prefix AND e.depth = n.depth""",
 }
