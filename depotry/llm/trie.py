@@ -139,7 +139,7 @@ def shared_start(work: Workspace, turns: DataFrame, group: int = 20, most: int =
 
 def _with_group(work: Workspace, rows: DataFrame, key: Column, name: str) -> DataFrame:
     """``rows`` with the smallest conversation of their group as ``rep`` and its turn as ``rep_digest``."""
-    keyed = rows.drop("rep", "rep_digest").withColumn("key", key)
+    keyed = rows.withColumn("key", key).drop("rep", "rep_digest")
     groups = work.table(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("conv_id", "digest")).alias("_r")).select("key", "_n", F.col("_r.conv_id").alias("rep"), F.col("_r.digest").alias("rep_digest")), f"{name}-groups")
     return work.table(join_by_key(keyed, groups, "key", "_n").drop("key", "_n"), name)
 
