@@ -27,15 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depotry.llm.shared import Workspace, forget, get_array, once, put_array
+from depotry.llm.shared import Workspace, forget, get_array, once, put_array, text_bytes
 from depotry.llm.textscan import hash_words, mix64, segments, text_buffers
 
 #: Rows of a sketch, cells in a row as a power of two, cells in a block.
 DEPTH, WIDTH, BLOCK = 2, 24, 1 << 20
 #: Sketches of a block that one merging step adds.
 FAN_IN = 64
-#: Words that a task works on at once.
-HELD_WORDS = 1 << 20
+#: Words that a task works on at once; phrases whose counts it sums before it sends them; bytes of text that a task reads, at least.
+HELD_WORDS, HELD_PHRASES, TASK_BYTES = 1 << 19, 300_000, 64 << 20
 #: Shares of a language that are ranked on their own before the best of each are ranked together.
 SHARES = 64
 
@@ -209,12 +209,12 @@ def _load(folder: str, present: list[int], kind: str, width: int) -> np.ndarray:
     return sketch.reshape(DEPTH, -1)
 
 
-def _survivors(words: Words, sketch: np.ndarray, longest: int, min_count: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Exact counts within one run of words; an n-gram's identity is that of its first words and its last word."""
+def _survivors(words: Words, sketch: np.ndarray, longest: int, min_count: int, width: int, counts: dict[tuple[str, int, str], int]) -> None:
+    """Add one run's exact counts; an n-gram's identity is that of its first words and its last word."""
     spelt = words.distinct.to_pylist()
-    seen = np.bincount(words.lang[words.old :], minlength=len(words.langs))
-    some = np.flatnonzero(seen)
-    yield _rows([words.langs[i] for i in some], 0, [""] * len(some), seen[some])
+    for lang, seen in zip(words.langs, np.bincount(words.lang[words.old :], minlength=len(words.langs)).tolist(), strict=True):
+        if seen:
+            counts[lang, 0, ""] = counts.get((lang, 0, ""), 0) + seen
     alive = np.ones(len(words.ids) + 1, bool)  # starts whose (n-1)-gram may be frequent
     whole = words.lang.astype(np.int64)  # of each start: the number of its (n-1)-gram
     walk, going = _ngrams(words, longest), None
@@ -230,36 +230,45 @@ def _survivors(words: Words, sketch: np.ndarray, longest: int, min_count: int, w
         alive[starts] = True
         if not len(starts):
             return
-        _, at, of, = np.unique((whole[starts] << 32) | words.ids[starts + n - 1], return_index=True, return_inverse=True)
+        _, at, of = np.unique((whole[starts] << 32) | words.ids[starts + n - 1], return_index=True, return_inverse=True)
         whole = np.zeros(len(words.ids), np.int64)
         whole[starts] = of
-        counts = np.bincount(of[starts + n > words.old], minlength=len(at))
-        there = np.flatnonzero(counts)
+        times = np.bincount(of[starts + n > words.old], minlength=len(at))
+        there = np.flatnonzero(times)
         first = starts[at[there]]
-        said = [" ".join([spelt[w] for w in words.ids[i : i + n]]) for i in first.tolist()]
-        yield _rows([words.langs[i] for i in words.lang[first].tolist()], n, said, counts[there])
+        for lang, ids, more in zip(words.lang[first].tolist(), words.ids[first[:, None] + np.arange(n)].tolist(), times[there].tolist(), strict=True):
+            key = (words.langs[lang], n, " ".join([spelt[w] for w in ids]))
+            counts[key] = counts.get(key, 0) + more
 
 
-def _rows(langs: list[str], n: int, phrases: list[str], counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.full(len(langs), n), pa.int32()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], schema=_COUNTS)
+def _rows(counts: dict[tuple[str, int, str], int]) -> pa.RecordBatch:
+    columns = [*zip(*counts, strict=True), list(counts.values())]
+    counts.clear()
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COUNTS, strict=True)], schema=_COUNTS)
 
 
 def count_ngrams(docs: DataFrame, longest: int = 5, min_count: int = 100, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """((lang, n_words, phrase, f) of every n-gram with f >= min_count, (lang, n) of all words); both written."""
     work = Workspace(docs.sparkSession, "phrases")
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    texts = texts.coalesce(work.parts(text_bytes(texts), TASK_BYTES))
     folder, present = sketch_corpus(work, texts, longest, min_count, width)
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         sketch = once(f"sketch {folder}", lambda: _load(folder, present, _cell_type(min_count), width))
+        counts: dict[tuple[str, int, str], int] = {}
         for words in word_runs(batches, longest):
-            yield from _survivors(words, sketch, longest, min_count, width)
+            _survivors(words, sketch, longest, min_count, width, counts)
+            if len(counts) > HELD_PHRASES:
+                yield _rows(counts)
+        if counts:
+            yield _rows(counts)
         forget()
 
     summed = texts.mapInArrow(survivors, "lang string, n_words int, phrase string, f long").groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
     kept = work.table(summed.where(f"n_words = 0 OR f >= {int(min_count)}"), "counts")
-    return kept.where("n_words > 0"), kept.where("n_words = 0").select("lang", F.col("f").alias("n"))
+    return kept.where("n_words > 0"), work.table(kept.where("n_words = 0").select("lang", F.col("f").alias("n")), "totals", 1)
 
 
 def score_phrases(frequent: DataFrame, totals: DataFrame, subsume_pct: int = 100) -> DataFrame:
