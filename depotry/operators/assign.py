@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotry.functions.geo import haversine
+from depotry.operators.scan import bucketed_before, prefix_sums
 from depotry.schema import RUPEE, Profile
 from depotry.storage import cut
 
@@ -17,8 +17,8 @@ from depotry.storage import cut
 MOST_IN_ARRAY = 512
 #: Sites in a grid cell, about; cells of a level side by side in one of the next; cells of the widest level.
 SITES_A_CELL, GRID_STEP, TOP_CELLS = 4, 4, 16
-#: Points times sites of a data set that one greedy fold holds (8 bytes each).
-MOST_FOLDED = 20_000_000
+#: Sites of a data set that the greedy assignment ranks for a point; how many of them a point looks at first.
+MOST_RANKED, WAYS_FIRST = 4096, 8
 
 
 def distances(points: DataFrame, sites: DataFrame, profile: Profile = RUPEE) -> DataFrame:
@@ -182,28 +182,53 @@ def relabel(load: DataFrame, sites: DataFrame, plan: tuple[str, ...] = ("dataset
 def greedy_capacity(points: DataFrame, sites: DataFrame, capacity: int | None, profile: Profile = RUPEE) -> DataFrame:
     """(dataset, ord, id, wh_id, dist_km): largest orders first, each to the nearest site with room, else to the nearest.
 
-    Distances are ranked in Spark, an array a point. What a point gets depends on all before it, so
-    the fold over the points of a data set is one task, which holds a row of site numbers a point:
-    at most MOST_FOLDED of them, else it raises. Up to MOST_IN_ARRAY sites a data set.
+    What a point gets depends on all before it, yet it is worked out for all at once: every round
+    takes the choices of the last as given, sums at every site what earlier points take there, and
+    lets each point choose anew. A point's choice is final once all before it stand still, and when
+    nothing moves any more all choices are those of the points in turn. Rounds follow the chains of
+    points that push one another away (tens, as measured), not the number of points. Points that
+    are settled leave the rounds as a sum at their site. Points look at their ``WAYS_FIRST`` nearest
+    sites and at more only if those are full. Up to MOST_RANKED sites a data set.
     """
     packed = sites.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("wh_ord", "wh_id", "lat", "lon"))).alias("_sites"))
-    bounded = packed.withColumn("_sites", F.when(F.size("_sites") <= MOST_IN_ARRAY, F.col("_sites")).otherwise(F.raise_error(F.lit("too many sites for a greedy assignment"))))
+    packed = cut(packed.withColumn("_sites", F.when(F.size("_sites") <= MOST_RANKED, F.col("_sites")).otherwise(F.raise_error(F.lit("too many sites for a greedy assignment")))))
     ways = F.transform("_sites", lambda s, i: F.struct(haversine(F.col("lat"), F.col("lon"), s["lat"], s["lon"], profile).alias("km"), s["wh_ord"].alias("wh_ord"), i.alias("i"), s["wh_id"].alias("wh_id")))
-    ranked = points.join(bounded, "dataset").withColumn("_ways", F.array_sort(ways))
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["orders", "ord"], ascending=[False, True])
-        order, wanted = np.stack(pdf["near"].to_numpy()), pdf["orders"].to_numpy(float)
-        if order.size > MOST_FOLDED:
-            raise ValueError(f"{len(pdf)} points and {order.shape[1]} sites: more than a greedy assignment of one data set holds")
-        room, pick = np.full(order.shape[1], float(capacity or "inf")), np.zeros(len(pdf), np.int64)
-        for n, (near, orders) in enumerate(zip(order, wanted, strict=True)):
-            fits = room[near] >= orders
-            pick[n] = fits.argmax() if fits.any() else 0
-            room[near[pick[n]]] -= orders
-        return pd.DataFrame({"dataset": pdf["dataset"], "ord": pdf["ord"], "pick": pick})
-
-    order = ranked.select("dataset", "ord", "orders", F.col("_ways.i").alias("near"))
-    picked = order.groupBy("dataset").applyInPandas(fill, "dataset string, ord long, pick long")
-    chosen = ranked.join(picked, ["dataset", "ord"]).withColumn("_way", F.element_at("_ways", (F.col("pick") + 1).cast("int")))
-    return chosen.select("dataset", "ord", "id", F.col("_way.wh_id").alias("wh_id"), F.col("_way.km").alias("dist_km"))
+
+    def nearest_ways(reach: Column) -> Column:
+        return F.slice(F.array_sort(ways), F.lit(1), reach)
+
+    def chosen(state: DataFrame) -> DataFrame:
+        return state.withColumn("_way", F.element_at("_ways", F.col("pick") + 1)).select("dataset", "ord", "id", F.col("_way.wh_id").alias("wh_id"), F.col("_way.km").alias("dist_km"))
+
+    placed = prefix_sums(points.select("dataset", "ord", "id", "lat", "lon", "orders"), ["dataset"], [F.desc("orders"), "ord"], {"_pos": F.lit(1).cast("long")})
+    start = placed.join(packed, "dataset").withColumn("_n", F.size("_sites")).withColumn("_ways", nearest_ways(F.lit(WAYS_FIRST)))
+    state = start.drop("_sites").withColumn("pick", F.lit(0)).withColumn("moved", F.lit(True))
+    if not capacity:
+        return chosen(state)
+    state, done = cut(state), []
+    gone = None  # (dataset, site, taken): what settled points hold
+    active = state.count()
+    last = state.agg(F.max("_pos")).first()[0] or 0
+    while active:
+        options = state.select("dataset", "_pos", "orders", "pick", F.posexplode("_ways").alias("j", "w"))
+        rows = options.select("dataset", F.col("w.i").alias("site"), "_pos", "orders", "j", F.when(F.col("j") == F.col("pick"), F.col("orders")).otherwise(F.lit(0)).alias("taken"))
+        if gone is not None:
+            rows = rows.unionByName(gone.select("dataset", "site", F.lit(0).cast("long").alias("_pos"), F.lit(0).cast("long").alias("orders"), F.lit(-1).alias("j"), "taken"))
+        fits = bucketed_before(rows, ["dataset", "site"], "_pos", "taken", last).where((F.col("j") >= 0) & (F.col("before") + F.col("orders") <= capacity))
+        best = fits.groupBy("dataset", "_pos").agg(F.min("j").alias("_best"))
+        short = F.col("_best").isNull() & (F.size("_ways") < F.col("_n"))  # none so far, but there are sites left to look at
+        pick = F.coalesce("_best", F.lit(0))
+        told = state.drop("moved").join(best, ["dataset", "_pos"], "left").withColumn("_short", short).withColumn("moved", (pick != F.col("pick")) | F.col("_short")).withColumn("pick", pick)
+        told = told.join(packed, "dataset").withColumn("_ways", F.when(F.col("_short"), nearest_ways(F.size("_ways") * 4)).otherwise(F.col("_ways")))
+        state = cut(told.select(*state.columns))
+        # Places are dense, so what is settled of a data set is what lies before its first move.
+        told = state.groupBy("dataset").agg(F.min(F.when(F.col("moved"), F.col("_pos"))).alias("_first"), F.min("_pos").alias("_low"), F.count(F.lit(1)).alias("_n"))
+        settled = told.agg(F.sum(F.coalesce(F.col("_first") - F.col("_low"), F.col("_n")))).first()[0]
+        if 2 * settled >= active:
+            told = cut(state.join(told.select("dataset", "_first"), "dataset").withColumn("_final", F.col("_first").isNull() | (F.col("_pos") < F.col("_first"))))
+            ready = told.where("_final").drop("_first", "_final")
+            held = ready.groupBy("dataset", F.element_at("_ways", F.col("pick") + 1)["i"].alias("site")).agg(F.sum("orders").alias("taken"))
+            gone = cut((held if gone is None else gone.unionByName(held)).groupBy("dataset", "site").agg(F.sum("taken").alias("taken")))
+            state, active = told.where("NOT _final").drop("_first", "_final"), active - settled
+            done.append(ready)
+    return chosen(reduce(DataFrame.unionByName, done, state))

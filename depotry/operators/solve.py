@@ -13,10 +13,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depotry.functions.geo import haversine
+from depotry.operators.scan import prefix_sums
 from depotry.schema import ORDER_KM, RUPEE, Profile
 
 WARM_SUBSETS = 200_000
@@ -309,6 +310,7 @@ def flat_means(points: DataFrame, k: int, restarts: int = 20, rounds: int = 100,
 
 def roulette(points: DataFrame, share: float, weight: str = "orders") -> DataFrame:
     """(dataset, id, upto): the first point by ``ord`` at which the running sum of weights reaches ``share`` of the total."""
-    upto = Window.partitionBy("dataset").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    s = points.withColumn("upto", F.sum(weight).over(upto)).withColumn("_total", F.sum(weight).over(Window.partitionBy("dataset")))
-    return s.where(F.col("upto") >= share * F.col("_total")).groupBy("dataset").agg(F.min_by(F.struct("id", "upto"), "ord").alias("p")).select("dataset", "p.id", "p.upto")
+    s = prefix_sums(points, ["dataset"], ["ord"], {"upto": F.col(weight)})
+    total = points.groupBy("dataset").agg(F.sum(weight).alias("_total"))
+    reached = s.join(total, "dataset").where(F.col("upto") >= share * F.col("_total"))
+    return reached.groupBy("dataset").agg(F.min_by(F.struct("id", "upto"), "ord").alias("p")).select("dataset", "p.id", "p.upto")

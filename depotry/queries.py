@@ -137,6 +137,29 @@ def greedy_capacity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(assign.greedy_capacity(_nations(spark, d), tables.five_sites(spark), 3200).select("id", "wh_id", "dist_km"), "dist_km", places=6)
 
 
+def _room(pts: DataFrame, sites: DataFrame) -> int:
+    """A tenth more than an even share of all orders: what every site takes in the queries with capacities."""
+    total, n = pts.agg(F.sum("orders")).first()[0] or 0, sites.count()
+    return max(1, -(-total * 11 // (10 * max(n, 1))))
+
+
+SUPPLIERS = f"sites AS (SELECT 'customers' AS dataset, s_suppkey AS wh_ord, 'S'||s_suppkey AS wh_id, {_spot('s_suppkey')}, row_number() OVER (ORDER BY s_suppkey) AS place FROM supplier)"
+
+
+@query(f"""WITH RECURSIVE {CUSTOMERS}, {SUPPLIERS}, cap AS (SELECT CAST(ceil(sum(orders) * 11 / (10.0 * (SELECT count(*) FROM sites))) AS BIGINT) AS cap FROM pts),
+pairs AS MATERIALIZED (SELECT p.ord, list(s.place ORDER BY {_km('p.lat', 'p.lon', 's.lat', 's.lon')}, s.wh_ord) AS near FROM pts p JOIN sites s ON p.dataset = s.dataset GROUP BY p.ord),
+o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY p.orders DESC, p.ord) AS turn, p.ord, p.orders, q.near FROM pts p JOIN pairs q ON q.ord = p.ord),
+step AS (SELECT CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS BIGINT) AS pick, (SELECT list_transform(range((SELECT count(*) FROM sites)), lambda i: cap) FROM cap) AS room
+ UNION ALL
+ SELECT c.turn, c.ord, c.pick, list_transform(c.room, lambda r, i: CASE WHEN i = c.pick THEN r - c.orders ELSE r END)
+ FROM (SELECT o.turn, o.ord, o.orders, step.room, coalesce(list_filter(o.near, lambda s: step.room[s] >= o.orders)[1], o.near[1]) AS pick FROM step JOIN o ON o.turn = step.turn + 1) c)
+SELECT step.ord, s.wh_id FROM step JOIN sites s ON s.place = step.pick""")
+def greedy_suppliers(spark: SparkSession, d: str) -> DataFrame:
+    """All customers to all suppliers, which take a tenth more than an even share."""
+    pts, sites = tables.customer_points(spark, d), tables.supplier_sites(spark, d)
+    return assign.greedy_capacity(pts, sites, _room(pts, sites)).select("ord", "wh_id")
+
+
 # --- pricing -----------------------------------------------------------------------------------
 
 _PRICES = [(90.0, 100.0), (111.0, 120.0), (140.0, 300.0)]

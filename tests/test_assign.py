@@ -3,10 +3,10 @@
 import math
 import random
 
-import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from depotry.operators import assign
+from depotry.operators import assign, scan
 
 POINT = "dataset string, ord long, id string, lat double, lon double, orders long"
 SITE = "dataset string, k int, wh_ord long, wh_id string, lat double, lon double"
@@ -43,24 +43,49 @@ def test_nearest_of_many_equals_brute_force(spark, kind, n_sites, n_points):
         assert got[i]["wh_ord"] == best[1] or math.isclose(km(a, b, *sites[got[i]["wh_ord"]][4:]), best[0], rel_tol=1e-9, abs_tol=1e-6)
 
 
-def test_greedy_capacity_equals_brute_force(spark):
-    rng = random.Random(4)
-    points = [(d, i, f"P{i}", rng.uniform(0, 1), rng.uniform(0, 1), rng.randint(0, 30)) for d in ("a", "b") for i in range(60)]
-    sites = [(d, 5, i, f"W{i}", rng.uniform(0, 1), rng.uniform(0, 1)) for d in ("a", "b") for i in range(5)]
-    got = {(r["dataset"], r["ord"]): r["wh_id"] for r in assign.greedy_capacity(spark.createDataFrame(points, POINT), spark.createDataFrame(sites, SITE), 150).collect()}
-    for d in ("a", "b"):
-        room = {s[3]: 150 for s in sites if s[0] == d}
+def turn_by_turn(points, sites, capacity):
+    """Each point in turn, largest orders first: {(dataset, ord): wh_id}."""
+    out = {}
+    for d in {p[0] for p in points}:
+        own = [s for s in sites if s[0] == d]
+        room = {s[3]: capacity for s in own}
         for p in sorted((p for p in points if p[0] == d), key=lambda p: (-p[5], p[1])):
-            ways = sorted((km(p[3], p[4], s[4], s[5]), s[2], s[3]) for s in sites if s[0] == d)
+            ways = sorted((km(p[3], p[4], s[4], s[5]), s[2], s[3]) for s in own)
             pick = next((w for w in ways if room[w[2]] >= p[5]), ways[0])[2]
             room[pick] -= p[5]
-            assert got[d, p[1]] == pick
+            out[d, p[1]] = pick
+    return out
 
 
-def test_greedy_capacity_refuses_what_one_task_cannot_hold(spark, monkeypatch):
-    monkeypatch.setattr(assign, "MOST_FOLDED", 3)
-    points = spark.createDataFrame([("a", i, f"P{i}", 0.0, float(i), 1) for i in range(4)], POINT)
-    sites = spark.createDataFrame([("a", 1, 0, "W1", 0.0, 0.0)], SITE)
-    with pytest.raises(Exception, match="greedy"):
-        assign.greedy_capacity(points, sites, 10).collect()
-    assert np.isfinite(assign.GRID_STEP)
+@pytest.mark.parametrize(("n", "n_sites", "capacity", "width", "first"), [(60, 5, 150, 1 << 16, 8), (60, 5, 190, 7, 2), (120, 12, 170, 16, 1), (40, 3, 20, 5, 1), (30, 4, 10**6, 4, 8)])
+def test_greedy_capacity_equals_brute_force(spark, monkeypatch, n, n_sites, capacity, width, first):
+    monkeypatch.setattr(scan, "WIDTH", width)
+    monkeypatch.setattr(assign, "WAYS_FIRST", first)
+    rng = random.Random(n + n_sites)
+    points = [(d, i, f"P{i}", rng.uniform(0, 1), rng.uniform(0, 1), rng.choice((0, 7, rng.randint(0, 30)))) for d in ("a", "b") for i in range(n)]
+    sites = [(d, 5, i, f"W{i}", rng.uniform(0, 1), rng.uniform(0, 1)) for d in ("a", "b") for i in range(n_sites)]
+    got = assign.greedy_capacity(spark.createDataFrame(points, POINT), spark.createDataFrame(sites, SITE), capacity).collect()
+    assert {(r["dataset"], r["ord"]): r["wh_id"] for r in got} == turn_by_turn(points, sites, capacity)
+    assert len(got) == 2 * n
+
+
+def test_greedy_capacity_without_limit_or_points(spark):
+    points = [("a", i, f"P{i}", 0.0, float(i), 1) for i in range(4)]
+    sites = spark.createDataFrame([("a", 1, i, f"W{i}", 0.0, 3.0 * i) for i in range(2)], SITE)
+    assert [r["wh_id"] for r in assign.greedy_capacity(spark.createDataFrame(points, POINT), sites, None).orderBy("ord").collect()] == ["W0", "W0", "W1", "W1"]
+    assert assign.greedy_capacity(spark.createDataFrame([], POINT), sites, 3).collect() == []
+
+
+def test_greedy_capacity_refuses_too_many_sites(spark, monkeypatch):
+    monkeypatch.setattr(assign, "MOST_RANKED", 3)
+    points = spark.createDataFrame([("a", 0, "P", 0.0, 0.0, 1)], POINT)
+    with pytest.raises(Exception, match="too many sites"):
+        assign.greedy_capacity(points, spark.createDataFrame([("a", 1, i, f"W{i}", 0.0, 0.0) for i in range(4)], SITE), 10).collect()
+
+
+def test_prefix_sums_cut_groups(spark):
+    rng = random.Random(6)
+    rows = [(g, i, rng.randint(-5, 9)) for g, n in (("a", 400), ("b", 3), ("c", 1)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "g string, i long, v long").repartition(4)
+    for got in (scan.prefix_sums(frame, ["g"], ["i"], {"s": F.col("v")}), scan.bucketed_before(frame, ["g"], "i", "v", 400, "s", 16).withColumn("s", F.col("s") + F.col("v"))):
+        assert {(r["g"], r["i"]): r["s"] for r in got.collect()} == {(g, i): sum(v for h, j, v in rows if h == g and j <= i) for g, i, _ in rows}
