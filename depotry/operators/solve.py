@@ -8,6 +8,7 @@ points in Spark: each pass is a projection onto literal centres and one small ag
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -19,8 +20,11 @@ from pyspark.sql import functions as F
 from depotry.functions.geo import haversine
 from depotry.operators.scan import prefix_sums
 from depotry.schema import ORDER_KM, RUPEE, Profile
+from depotry.storage import cut
 
 WARM_SUBSETS = 200_000
+#: A centre less than so many km from a point stands on it.
+ON_POINT = 1e-9
 #: Up to so many points a median is also compared with every point.
 POINTS_TRIED = 400
 PLACED = "dataset string, variant string, k int, wh_ord int, wh_id string, lat double, lon double, objective double"
@@ -221,28 +225,45 @@ def _seeds_large(points: DataFrame, k: int, search: Search, profile: Profile) ->
     return centres
 
 
-def solve_large(points: DataFrame, k: int, weight: str = "orders", profile: Profile = RUPEE, rounds: int = 60, tol_km: float = 1e-3, means: bool = False) -> list[tuple[float, float]]:
+def solve_large(points: DataFrame, k: int, weight: str = "orders", profile: Profile = RUPEE, rounds: int = 400, tol_km: float = 1e-3, means: bool = False) -> list[tuple[float, float]]:
     """Centres for one instance of any size, as a driver loop over aggregates of k rows a restart.
 
     All restarts are drawn over all points and advance together: every pass assigns all points
     and takes one reweighted step for all centres of the restarts that still move. The last pass
     scores every restart on all points.
     """
-    rows = points.select("lat", "lon", F.col(weight).cast("double").alias("w"), F.xxhash64("dataset", "ord").alias("h"))
-    centres = _seeds_large(rows, k, Search(), profile)
+    rows = cut(points.select("lat", "lon", F.col(weight).cast("double").alias("w"), F.xxhash64("dataset", "ord").alias("h")))
+    return _refined(rows, _seeds_large(rows, k, Search(), profile), rounds, tol_km, means, profile)
+
+
+def refine_large(points: DataFrame, centres: list[tuple[float, float]], weight: str = "orders", profile: Profile = RUPEE, rounds: int = 400, tol_km: float = 1e-3) -> list[tuple[float, float]]:
+    """The centres after reweighted steps until they rest, points assigned anew in each."""
+    rows = cut(points.select("lat", "lon", F.col(weight).cast("double").alias("w"), F.xxhash64("dataset", "ord").alias("h")))
+    return _refined(rows, {0: np.array(centres, float)}, rounds, tol_km, False, profile)
+
+
+def _refined(rows: DataFrame, centres: dict[int, np.ndarray], rounds: int, tol_km: float, means: bool, profile: Profile) -> list[tuple[float, float]]:
     live = set(centres)
     for _ in range(rounds):
-        pull = F.col("w") if means else F.col("w") / F.greatest(F.col("near.d"), F.lit(1e-9))
+        on = F.col("near.d") < ON_POINT
+        pull = F.col("w") if means else F.when(on, F.lit(0.0)).otherwise(F.col("w") / F.col("near.d"))
         near = _by_run(rows, {r: centres[r] for r in sorted(live)}, profile)
-        sums = near.groupBy("run", F.col("near.c").alias("c")).agg(F.sum(pull).alias("s"), F.sum(pull * F.col("lat")).alias("a"), F.sum(pull * F.col("lon")).alias("b")).collect()  # k rows a restart
+        sums = near.groupBy("run", F.col("near.c").alias("c")).agg(F.sum(pull).alias("s"), F.sum(pull * F.col("lat")).alias("a"), F.sum(pull * F.col("lon")).alias("b"), F.sum(F.when(on, F.col("w")).otherwise(F.lit(0.0))).alias("here")).collect()  # k rows a restart
         new = {r: centres[r].copy() for r in live}
         for r in sums:
             if r["s"] > 0:
-                new[r["run"]][r["c"]] = r["a"] / r["s"], r["b"] / r["s"]
+                at = centres[r["run"]][r["c"]]
+                gap = np.array([r["a"] / r["s"], r["b"] / r["s"]]) - at
+                force = r["s"] * math.hypot(gap[0], gap[1] * math.cos(math.radians(at[0]))) * math.radians(1) * profile.radius_km
+                # The points under a centre hold it back by their weight: it leaves only if the others pull harder.
+                held = 0.0 if means else min(1.0, r["here"] / max(force, 1e-300))
+                new[r["run"]][r["c"]] = at + (1 - held) * gap
         live = {r for r in live if np.abs(new[r] - centres[r]).max() * 111.2 >= tol_km}
         centres |= new
         if not live:
             break
+    else:
+        warnings.warn(f"{len(live)} of {len(centres)} starts still moved by more than {tol_km} km after {rounds} rounds", stacklevel=3)
     costs = _by_run(rows, centres, profile).groupBy("run").agg(F.sum(F.col("w") * F.col("near.d")).alias("cost")).collect()  # a row a restart
     best = min(costs, key=lambda r: (r["cost"], r["run"]))["run"]
     return [(float(a), float(b)) for a, b in centres[best]]

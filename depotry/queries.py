@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from depotry import schema
 from depotry.functions.geo import haversine, mulberry
-from depotry.operators import assign, capacity, cost, exact, mapping, solve
+from depotry.operators import assign, capacity, cost, exact, interchange, mapping, solve
 from depotry.plans import whatif
 from depotry.schema import ORDER_KM, RUPEE, Config
 from depotry.sources import export, points, samples, tables
@@ -268,6 +268,46 @@ def lattice_search(spark: SparkSession, d: str) -> DataFrame:
     return rounded(exact.lattice(_nations(spark, d), 2, 6).select("objective", "evaluated"), "objective")
 
 
+def _swaps_sql(turns: int) -> str:
+    """Exchanges worked out the long way: the objective of every plan that one exchange leads to."""
+    out = "z0 AS MATERIALIZED (SELECT wh_ord, lat, lon FROM sites)"
+    for i in range(turns):
+        d = _km("p.lat", "p.lon", "s.lat", "s.lon")
+        out += f""", e{i} AS (SELECT p.ord, p.orders, s.wh_ord, {d} AS km FROM pts p, z{i} s), r{i} AS MATERIALIZED (SELECT a.ord, a.orders, a.wh_ord AS gone, min(b.km) AS km FROM e{i} a JOIN e{i} b ON b.ord = a.ord AND b.wh_ord <> a.wh_ord GROUP BY 1, 2, 3),
+n{i} AS (SELECT sum(orders * km) AS c FROM (SELECT ord, orders, min(km) AS km FROM e{i} GROUP BY 1, 2)),
+t{i} AS (SELECT c.ord AS cand, r.gone, sum(r.orders * least(r.km, {_km('p.lat', 'p.lon', 'c.lat', 'c.lon')})) AS c FROM r{i} r JOIN pts p ON p.ord = r.ord CROSS JOIN pts c GROUP BY 1, 2),
+b{i} AS MATERIALIZED (SELECT * FROM t{i} WHERE c < (SELECT c * (1 - 1e-9) FROM n{i}) ORDER BY round((SELECT c FROM n{i}) - c, 9) DESC, cand, gone LIMIT 1),
+z{i + 1} AS MATERIALIZED (SELECT z.wh_ord, coalesce(p.lat, z.lat) AS lat, coalesce(p.lon, z.lon) AS lon FROM z{i} z LEFT JOIN b{i} b ON b.gone = z.wh_ord LEFT JOIN pts p ON p.ord = b.cand)"""
+    return out
+
+
+def _own_candidates(pts: DataFrame) -> DataFrame:
+    return pts.select("dataset", F.col("ord").alias("cand_ord"), "lat", "lon")
+
+
+@query(f"WITH {NATIONS}, {FIVE}, {_swaps_sql(3)} SELECT wh_ord, round(lat, 9) AS lat, round(lon, 9) AS lon FROM z3")
+def interchange_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Five sites of the nations after the three best exchanges with nations."""
+    pts = _nations(spark, d)
+    sites, _ = interchange.interchange(pts, tables.five_sites(spark), _own_candidates(pts), swaps=3)
+    return rounded(sites.select("wh_ord", "lat", "lon"), "lat", "lon", places=9)
+
+
+@query()
+def interchange_customers(spark: SparkSession, d: str) -> DataFrame:
+    """Four of the suppliers' places for all customers, exchanged until none helps."""
+    pts, sup = tables.customer_points(spark, d), tables.supplier_sites(spark, d)
+    sites, made = interchange.interchange(pts, sup.where("wh_ord BETWEEN 1 AND 4"), sup.select("dataset", F.col("wh_ord").alias("cand_ord"), "lat", "lon"))
+    return rounded(cost.weighted_cost(assign.nearest(pts, sites)).withColumn("exchanges", F.lit(made)), "cost")
+
+
+@query()
+def placement_customers(spark: SparkSession, d: str) -> DataFrame:
+    """Four sites anywhere for all customers: the driver loop's plan, improved by exchanges."""
+    sites, total = interchange.place(tables.customer_points(spark, d), 4)
+    return rounded(sites.withColumn("objective", F.lit(total)), "lat", "lon", "objective")
+
+
 # --- what-if -----------------------------------------------------------------------------------
 
 @query(f"""WITH {NATIONS}, c AS (SELECT avg(lat) AS a, avg(lon) AS b FROM pts), f AS (SELECT p.*, {_km('p.lat', 'p.lon', 'c.a', 'c.b')} AS d FROM pts p, c), s AS (SELECT * FROM (VALUES ('today', 1.0e0, 0e0), ('growth', 1.4e0, 0e0), ('sprawl', 1.35e0, 0.9e0), ('infill', 1.3e0, -0.7e0), ('downturn', 0.75e0, 0e0)) t(variant, growth, bias))
