@@ -14,7 +14,8 @@ Bins stay run-length coded (a content and how many bins have it), so the work of
 bounded too. Spark then ranks the pieces of each length and every rank has its slot.
 
 Defined cases: null text is empty text and packs as the end id alone; an empty table gives no
-rows; repeated rows are packed once each; texts of any length are cut, never dropped; extra
+rows; repeated rows are packed once each; pieces of equal length go by a hash of their ids, then by
+their ids; texts of any length are cut, never dropped; extra
 columns of the input are ignored.
 """
 
@@ -360,11 +361,15 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int =
     table = spark.createDataFrame(slots, "length long, low long, high long, shift long, offset long")
 
     buckets = int(max(256, counts.sum() // 20_000))
-    marked = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "row_id"), F.lit(buckets)))
+    marked = pieces.drop("ids").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "row_id"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = marked.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "row_id")
     ranked = marked.withColumn("nth", F.row_number().over(own)).join(sums, ["length", "bucket"]).withColumn("nth", F.col("before") + F.col("nth") - 1)
     # The slots are at most a few for each of max_tokens lengths and each planned run of bins: bounded, so broadcast.
     placed = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (F.col("nth") >= F.col("low")) & (F.col("nth") < F.col("high")))
-    return placed.select("doc_id", "piece", "start", pieces["length"], "ids_crc32", (F.col("nth") + F.col("shift")).alias("sequence_id"), "offset", "row_id", *(["ids"] if with_ids else []))
+    narrow = placed.select("doc_id", "piece", "start", ranked["length"], "ids_crc32", (F.col("nth") + F.col("shift")).alias("sequence_id"), "offset", "row_id")
+    if not with_ids:
+        return narrow
+    # Places move as narrow rows; tokens move once, past a hash table of the places of their partition.
+    return pieces.select("row_id", "piece", "ids").join(narrow.hint("shuffle_hash"), ["row_id", "piece"]).select(*narrow.columns, "ids")
