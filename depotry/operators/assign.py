@@ -179,7 +179,7 @@ def relabel(load: DataFrame, sites: DataFrame, plan: tuple[str, ...] = ("dataset
     return placed.select(*plan, "wh_id", "load", F.concat(F.lit("W"), F.row_number().over(order)).alias("label"))
 
 
-def greedy_capacity(points: DataFrame, sites: DataFrame, capacity: int | None, profile: Profile = RUPEE) -> DataFrame:
+def greedy_capacity(points: DataFrame, sites: DataFrame, capacity: int | None, profile: Profile = RUPEE, taken: DataFrame | None = None) -> DataFrame:
     """(dataset, ord, id, wh_id, dist_km): largest orders first, each to the nearest site with room, else to the nearest.
 
     What a point gets depends on all before it, yet it is worked out for all at once: every round
@@ -188,7 +188,8 @@ def greedy_capacity(points: DataFrame, sites: DataFrame, capacity: int | None, p
     nothing moves any more all choices are those of the points in turn. Rounds follow the chains of
     points that push one another away (tens, as measured), not the number of points. Points that
     are settled leave the rounds as a sum at their site. Points look at their ``WAYS_FIRST`` nearest
-    sites and at more only if those are full. Up to MOST_RANKED sites a data set.
+    sites and at more only if those are full. Up to MOST_RANKED sites a data set. ``taken`` (dataset,
+    site, taken) is what sites hold before, by their place in order from 0.
     """
     packed = sites.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("wh_ord", "wh_id", "lat", "lon"))).alias("_sites"))
     packed = cut(packed.withColumn("_sites", F.when(F.size("_sites") <= MOST_RANKED, F.col("_sites")).otherwise(F.raise_error(F.lit("too many sites for a greedy assignment")))))
@@ -206,7 +207,7 @@ def greedy_capacity(points: DataFrame, sites: DataFrame, capacity: int | None, p
     if not capacity:
         return chosen(state)
     state, done = cut(state), []
-    gone = None  # (dataset, site, taken): what settled points hold
+    gone = taken  # and what settled points hold
     active = state.count()
     last = state.agg(F.max("_pos")).first()[0] or 0
     while active:
@@ -228,7 +229,7 @@ def greedy_capacity(points: DataFrame, sites: DataFrame, capacity: int | None, p
             told = cut(state.join(told.select("dataset", "_first"), "dataset").withColumn("_final", F.col("_first").isNull() | (F.col("_pos") < F.col("_first"))))
             ready = told.where("_final").drop("_first", "_final")
             held = ready.groupBy("dataset", F.element_at("_ways", F.col("pick") + 1)["i"].alias("site")).agg(F.sum("orders").alias("taken"))
-            gone = cut((held if gone is None else gone.unionByName(held)).groupBy("dataset", "site").agg(F.sum("taken").alias("taken")))
+            gone = cut((held if gone is None else gone.select("dataset", "site", "taken").unionByName(held)).groupBy("dataset", "site").agg(F.sum("taken").alias("taken")))
             state, active = told.where("NOT _final").drop("_first", "_final"), active - settled
             done.append(ready)
     return chosen(reduce(DataFrame.unionByName, done, state))

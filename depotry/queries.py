@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from depotry import schema
 from depotry.functions.geo import haversine, mulberry
-from depotry.operators import assign, capacity, cost, exact, interchange, mapping, solve
+from depotry.operators import assign, auction, capacity, cost, exact, interchange, mapping, solve
 from depotry.plans import whatif
 from depotry.schema import ORDER_KM, RUPEE, Config
 from depotry.sources import export, points, samples, tables
@@ -160,6 +160,37 @@ def greedy_suppliers(spark: SparkSession, d: str) -> DataFrame:
     return assign.greedy_capacity(pts, sites, _room(pts, sites)).select("ord", "wh_id")
 
 
+def _auction_sql(turns: int, eps: float) -> str:
+    out = "st0 AS (SELECT ord, id, orders, CAST(NULL AS BIGINT) AS site, CAST(NULL AS DOUBLE) AS level FROM pts), pr0 AS (SELECT wh_ord, 0e0 AS price FROM sites)"
+    for i in range(turns):
+        out += f""", v{i} AS (SELECT t.ord, p.wh_ord, r.price, row_number() OVER w AS rn, lead(p.dist_km + r.price) OVER w - (p.dist_km + r.price) AS more FROM st{i} t JOIN pairs p ON p.ord = t.ord JOIN pr{i} r ON r.wh_ord = p.wh_ord WHERE t.site IS NULL WINDOW w AS (PARTITION BY t.ord ORDER BY p.dist_km + r.price, p.wh_ord)),
+b{i} AS (SELECT t.ord, t.id, t.orders, coalesce(t.site, v.wh_ord) AS site, coalesce(t.level, v.price + coalesce(v.more, 0e0) + {eps}e0) AS level FROM st{i} t LEFT JOIN v{i} v ON v.ord = t.ord AND v.rn = 1),
+k{i} AS MATERIALIZED (SELECT *, sum(orders) OVER (PARTITION BY site ORDER BY level DESC, ord) > (SELECT cap FROM cap) AS no FROM b{i}),
+st{i + 1} AS MATERIALIZED (SELECT ord, id, orders, CASE WHEN NOT no THEN site END AS site, CASE WHEN NOT no THEN level END AS level FROM k{i}),
+pr{i + 1} AS MATERIALIZED (SELECT r.wh_ord, greatest(r.price, coalesce(max(k.level), r.price)) AS price FROM pr{i} r LEFT JOIN k{i} k ON k.site = r.wh_ord AND k.no GROUP BY r.wh_ord, r.price)"""
+    return out
+
+
+@query(f"""WITH {NATIONS}, {FIVE}, {_PAIRS}, cap AS (SELECT CAST(ceil(sum(orders) * 11 / 50.0) AS BIGINT) AS cap FROM pts), {_auction_sql(4, 0.5)}
+SELECT t.id, 'W'||(t.site + 1) AS wh_id, round(t.level, 6) AS level, round(r.price, 6) AS price FROM st4 t LEFT JOIN pr4 r ON r.wh_ord = t.site""")
+def auction_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Four rounds of bids of the nations for five sites: who holds a place, at which bid and price."""
+    pts, sites = _nations(spark, d), tables.five_sites(spark)
+    room = _room(pts, sites)
+    state, prices = auction.opened(pts, sites, RUPEE)
+    for _ in range(4):
+        state, prices = auction.bid_round(state, prices, room, 0.5)
+    held = state.join(prices, "dataset").select("id", F.concat(F.lit("W"), (F.col("site") + 1).cast("string")).alias("wh_id"), "level", F.get("prices", F.col("site")).alias("price"))
+    return rounded(held, "level", "price", places=6)
+
+
+@query()
+def auction_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Nations to five sites by auction, moves and exchanges: cost, proven bound, overload."""
+    pts, sites = _nations(spark, d), tables.five_sites(spark)
+    return rounded(auction.auction(pts, sites, _room(pts, sites), eps=(2.0, 0.5))[1], "cost", "bound", "gap_pct")
+
+
 # --- pricing -----------------------------------------------------------------------------------
 
 _PRICES = [(90.0, 100.0), (111.0, 120.0), (140.0, 300.0)]
