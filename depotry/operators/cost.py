@@ -90,7 +90,7 @@ def plan_score(points: DataFrame, assignments: DataFrame, sites: DataFrame, prof
 
 
 def farthest(points: DataFrame, profile: Profile = RUPEE) -> DataFrame:
-    """(dataset, id, km): the point farthest from the centre of its data set, the last id of equals."""
+    """(dataset, id, km): the point farthest from the centre of its data set, the first id of equals."""
     centre = points.groupBy("dataset").agg(F.avg("lat").alias("_a"), F.avg("lon").alias("_b"))
     far = points.join(centre, "dataset").withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("_a"), F.col("_b"), profile))
-    return far.groupBy("dataset").agg(F.max(F.struct("km", "id")).alias("f")).select("dataset", "f.id", "f.km")
+    return far.groupBy("dataset").agg(F.min(F.struct((-F.col("km")).alias("_m"), "id", "km")).alias("f")).select("dataset", "f.id", "f.km")

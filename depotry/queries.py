@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from depotry import schema
 from depotry.functions.geo import haversine, mulberry
-from depotry.operators import assign, auction, capacity, cost, exact, interchange, mapping, solve
+from depotry.operators import assign, auction, bounds, capacity, cost, exact, interchange, mapping, medians, solve
 from depotry.plans import whatif
 from depotry.schema import ORDER_KM, RUPEE, Config
 from depotry.sources import export, points, samples, tables
@@ -188,7 +188,7 @@ def auction_rounds(spark: SparkSession, d: str) -> DataFrame:
 def auction_plan(spark: SparkSession, d: str) -> DataFrame:
     """Nations to five sites by auction, moves and exchanges: cost, proven bound, overload."""
     pts, sites = _nations(spark, d), tables.five_sites(spark)
-    return rounded(auction.auction(pts, sites, _room(pts, sites), eps=(2.0, 0.5))[1], "cost", "bound", "gap_pct")
+    return rounded(auction.auction(pts, sites, _room(pts, sites), eps=(1.0,))[1], "cost", "bound", "gap_pct")
 
 
 # --- pricing -----------------------------------------------------------------------------------
@@ -339,6 +339,62 @@ def placement_customers(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sites.withColumn("objective", F.lit(total)), "lat", "lon", "objective")
 
 
+def _prices_sql(turns: int, k: int) -> str:
+    out = f"m AS MATERIALIZED (SELECT a.ord AS i, b.ord AS j, a.orders AS w, {_km('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km FROM pts a, pts b), l0 AS (SELECT i, w, w * list(km ORDER BY km)[least(count(*), greatest(1, count(*) // {2 * k}) + 1)] AS price, 0e0 AS drift FROM m GROUP BY 1, 2)"
+    for t in range(turns):
+        out += f""", r{t} AS (SELECT m.j, sum(least(0e0, m.w * m.km - l.price)) AS worth FROM m JOIN l{t} l ON l.i = m.i GROUP BY 1), s{t} AS MATERIALIZED (SELECT j, worth FROM r{t} ORDER BY round(worth, 9), j LIMIT {k}),
+g{t} AS MATERIALIZED (SELECT l.i, l.w, l.price, 1 - count(*) FILTER (WHERE m.w * m.km < l.price) + l.drift / 2 AS s, l.w * min(m.km) AS c FROM l{t} l JOIN m ON m.i = l.i JOIN s{t} s ON s.j = m.j GROUP BY l.i, l.w, l.price, l.drift),
+q{t} AS MATERIALIZED (SELECT sum(price) + (SELECT sum(worth) FROM s{t}) AS low, sum(c) AS high, sum(s * s) AS ss FROM g{t}),
+l{t + 1} AS MATERIALIZED (SELECT i, w, greatest(0e0, price + CASE WHEN ss > 0 THEN (high - low) / ss ELSE 0e0 END * s) AS price, s AS drift FROM g{t}, q{t})"""
+    return out
+
+
+@query(f"WITH {NATIONS}, {_prices_sql(3, 4)} SELECT (SELECT string_agg(j, ',' ORDER BY j) FROM s2) AS sites, round(low, 4) AS low, round(high, 4) AS high FROM q2")
+def price_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Bounds on the best four of the nations at the third prices."""
+    pts = _nations(spark, d)
+    own, told = _own_candidates(pts), None
+    state = bounds.priced(pts, own, 4)
+    for _ in range(3):
+        state, told = bounds.price_step(state, own, 4, 1.0)
+    return rounded(told.select(F.array_join(F.col("sites").cast("array<string>"), ",").alias("sites"), "low", "high"), "low", "high")
+
+
+_ALL_FOUR = _pmedian_sql(4).replace(f"WITH {NATIONS}, {WEIGHTED}, ", f"WITH {NATIONS}, w AS (SELECT *, orders AS weight FROM pts), ").split("\nSELECT '['")[0]
+
+
+@query(f"{_ALL_FOUR} SELECT TRUE AS low_holds, TRUE AS high_holds, round(min(objective), 4) AS objective FROM t")
+def price_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The best four of the nations by enumeration, and whether the bounds from prices hold it."""
+    pts = _nations(spark, d)
+    best = exact.pmedian(pts, 4).select("dataset", "objective")
+    held = bounds.relaxed_pmedian(pts, _own_candidates(pts), 4, steps=6).join(best, "dataset")
+    return held.select((F.col("low") <= F.col("objective") + 1e-6).alias("low_holds"), (F.col("high") >= F.col("objective") - 1e-6).alias("high_holds"), F.round("objective", 4).alias("objective"))
+
+
+@query()
+def price_bounds_customers(spark: SparkSession, d: str) -> DataFrame:
+    """Bounds on the best four of all suppliers' places for all customers, without enumeration."""
+    pts, sup = tables.customer_points(spark, d), tables.supplier_sites(spark, d)
+    told = bounds.relaxed_pmedian(pts, sup.select("dataset", F.col("wh_ord").alias("cand_ord"), "lat", "lon"), 4, steps=20)
+    return rounded(told.select(F.array_join(F.col("sites").cast("array<string>"), ",").alias("sites"), "low", "high", "gap"), "low", "high", "gap")
+
+
+@query(f"""WITH RECURSIVE {CUSTOMERS}, it AS (SELECT 0 AS n, (SELECT sum(orders * lat) / sum(orders) FROM pts) AS a, (SELECT sum(orders * lon) / sum(orders) FROM pts) AS b
+ UNION ALL SELECT it.n + 1, x.a, x.b FROM it, LATERAL (SELECT sum(p.orders * p.lat / greatest({_km('p.lat', 'p.lon', 'it.a', 'it.b')}, 1e-9)) / sum(p.orders / greatest({_km('p.lat', 'p.lon', 'it.a', 'it.b')}, 1e-9)) AS a, sum(p.orders * p.lon / greatest({_km('p.lat', 'p.lon', 'it.a', 'it.b')}, 1e-9)) / sum(p.orders / greatest({_km('p.lat', 'p.lon', 'it.a', 'it.b')}, 1e-9)) AS b FROM pts p) x WHERE it.n < 80)
+SELECT round(sum(p.orders * {_km('p.lat', 'p.lon', 'it.a', 'it.b')}), 0) AS objective, TRUE AS proven FROM pts p, it WHERE it.n = 80""")
+def single_site_customers(spark: SparkSession, d: str) -> DataFrame:
+    """The best place for one site for all customers, proven to a millionth."""
+    return rounded(bounds.single_site(tables.customer_points(spark, d)).select("objective", "proven"), "objective", places=0)
+
+
+@query()
+def medians_by_nation(spark: SparkSession, d: str) -> DataFrame:
+    """Medians of the customers of every nation, all at once."""
+    nation = tables.table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("ord"), F.col("c_nationkey").cast("string").alias("nation"))
+    return rounded(medians.geometric_medians(tables.customer_points(spark, d).join(nation, "ord"), ("nation",)), "lat", "lon", places=7)
+
+
 # --- what-if -----------------------------------------------------------------------------------
 
 @query(f"""WITH {NATIONS}, c AS (SELECT avg(lat) AS a, avg(lon) AS b FROM pts), f AS (SELECT p.*, {_km('p.lat', 'p.lon', 'c.a', 'c.b')} AS d FROM pts p, c), s AS (SELECT * FROM (VALUES ('today', 1.0e0, 0e0), ('growth', 1.4e0, 0e0), ('sprawl', 1.35e0, 0.9e0), ('infill', 1.3e0, -0.7e0), ('downturn', 0.75e0, 0e0)) t(variant, growth, bias))

@@ -31,13 +31,13 @@ def instance(d, n, k, seed):
 
 
 def test_near_the_best_of_all_assignments(spark):
-    made = {d: instance(d, 8, 3, s) for d, s in (("a", 1), ("b", 2), ("c", 3), ("e", 4))}
+    made = {d: instance(d, 8, 3, s) for d, s in (("a", 1), ("b", 2))}
     capacity = {d: -(-sum(p[5] for p in ps) * 12 // 30) for d, (ps, _) in made.items()}
     room = max(capacity.values())
     frames = [spark.createDataFrame([r for x in made.values() for r in x[i]], kind) for i, kind in enumerate((POINT, SITE))]
-    rows, told = auction.auction(*frames, room, profile=RUPEE)
+    rows, told = auction.auction(*frames, room, eps=(2.0, 0.2), profile=RUPEE)
     told = {r["dataset"]: r for r in told.collect()}
-    assert rows.count() == 32
+    assert rows.count() == 16
     for d, (points, sites) in made.items():
         best = best_of_all(points, sites, room)
         assert told[d]["overload"] == 0
@@ -49,7 +49,7 @@ def test_demand_that_does_not_fit_is_told(spark):
     points, sites = instance("a", 6, 2, 9)
     frames = [spark.createDataFrame(x, kind) for x, kind in ((points, POINT), (sites, SITE))]
     total = sum(p[5] for p in points)
-    rows, told = auction.auction(*frames, total // 3, eps=(5.0,), rounds=6, profile=RUPEE)
+    rows, told = auction.auction(*frames, total // 3, eps=(5.0,), rounds=3, profile=RUPEE)
     assert rows.agg(F.sum("orders")).first()[0] == total
     assert told.first()["overload"] > 0
     with pytest.raises(ValueError, match="positive"):
