@@ -13,6 +13,7 @@ from depotry.operators import assign, auction, bounds, capacity, cost, exact, in
 from depotry.plans import whatif
 from depotry.schema import ORDER_KM, RUPEE, Config
 from depotry.sources import export, points, samples, tables
+from depotry.storage import new_folder
 from depotry.streaming.demand import demand_by_window
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -539,6 +540,27 @@ def ingest_errors(spark: SparkSession, d: str) -> DataFrame:
     return points.good_and_bad(points.coerce(tables.dirty_points(spark, d)))[1].drop("dataset")
 
 
+def _uploaded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The dirty rows written as a folder of CSV files under other headers, and read as an upload."""
+    at, dirty = new_folder(spark), tables.dirty_points(spark, d)
+    named = dirty.select(F.col("id").alias("Locality"), F.lit("x;y").alias("Manager"), F.col("lon").alias("Lng"), F.col("lat").alias(" Latitude "), F.col("orders").alias("Daily-Orders"))
+    named.repartition(3).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(at)
+    return points.read_folder(spark, at)
+
+
+@query(f"WITH {_DIRTY}, {_COERCED} SELECT id, lat, lon, CAST(o AS BIGINT) AS orders FROM typed WHERE id <> '' AND lat IS NOT NULL AND lon IS NOT NULL AND o = floor(o)")
+def csv_upload(spark: SparkSession, d: str) -> DataFrame:
+    """Points of an uploaded folder of CSV files."""
+    return _uploaded(spark, d)[0].select("id", "lat", "lon", "orders")
+
+
+@query(f"""WITH {_DIRTY}, {_COERCED}, e AS (SELECT line_no, unnest([CASE WHEN coalesce(trim(rid), '') = '' THEN 'id' END, CASE WHEN lat IS NULL THEN 'lat' END, CASE WHEN lon IS NULL THEN 'lon' END, CASE WHEN o IS NULL OR o <> floor(o) THEN 'orders' END]) AS field FROM typed)
+SELECT field, count(*) AS errors FROM e WHERE field IS NOT NULL GROUP BY 1""")
+def csv_upload_errors(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows of the upload are refused for each field."""
+    return _uploaded(spark, d)[1].groupBy(F.regexp_extract("error", "'([a-z]+)'", 1).alias("field")).agg(F.count(F.lit(1)).alias("errors"))
+
+
 _ODD = "odd AS (SELECT CAST(p_partkey AS BIGINT) AS ord, CASE WHEN p_partkey % 29 = 0 THEN ' ' ELSE 'P'||(p_partkey % 700) END AS id, CASE WHEN p_partkey % 17 = 0 THEN 120e0 ELSE 12e0 END AS lat, CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE 77e0 END AS lon, p_partkey % 50 - 1 AS orders FROM part)"
 
 

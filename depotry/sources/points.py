@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from depotry.operators.mapping import FIELDS, Embedder, alias_mapping, map_columns
+from depotry.operators.scan import prefix_sums
 from depotry.schema import POINTS, RANGES, SCENARIOS, TRAFFIC, VEHICLES
 
 DELIMITERS = (",", ";", "\t", "|")
@@ -134,6 +135,35 @@ def read_csv(spark: SparkSession, path: str, dataset: str = "upload", mapping: D
     return good_and_bad(coerce(raw))
 
 
+def read_folder(spark: SparkSession, path: str, dataset: str = "upload", mapping: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(points, errors) of a folder of CSV files with one header, each file read in as many parts as it has blocks.
+
+    Lines are cut before quotes are read, so a value holds no line break. Every line equal to the
+    header is one. Rows keep the number of their line in their file, headers and blank lines
+    counted; ``ord`` is the number over all files in the order of their names.
+    """
+    headers, sep = peek(spark, path)
+    if mapping is None:
+        mapping = alias_mapping(spark.createDataFrame(list(enumerate(headers)), "col_ord int, header string"))
+    at = {r["field"]: r["col_ord"] for r in mapping.collect()}  # four rows at most
+    if lost := [f for f in FIELDS if f not in at]:
+        return spark.createDataFrame([], POINTS), spark.createDataFrame([(dataset, 1, f"No column for: {', '.join(lost)}.")], "dataset string, line_no long, error string")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_id", F.monotonically_increasing_id())
+    numbered = prefix_sums(lines, ["_file"], ["_block", "_id"], {"line_no": F.lit(1).cast("long")})
+    files = numbered.groupBy("_file").agg(F.max("line_no").alias("_n"))
+    before = files.select("_file", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a file
+    cells = F.from_csv("value", ", ".join(f"_{i} string" for i in range(len(headers))), {"sep": sep, "quote": '"', "escape": '"'})
+    line = F.regexp_replace("value", "^\ufeff", "")
+    named = numbered.where(F.trim("value") != "").withColumn("_c", cells).where(~_is_header(line, headers, sep)).join(before, "_file")
+    raw = named.select(F.lit(dataset).alias("dataset"), (F.col("_before") + F.col("line_no")).alias("line_no"), *(F.trim(F.col(f"_c._{at[f]}")).alias(f) for f in FIELDS))
+    return good_and_bad(coerce(raw))
+
+
+def _is_header(line: Column, headers: list[str], sep: str) -> Column:
+    cells = F.from_csv(line, ", ".join(f"_{i} string" for i in range(len(headers))), {"sep": sep, "quote": '"', "escape": '"'})
+    return F.coalesce(F.concat_ws("\x1f", *(F.trim(F.coalesce(cells[f"_{i}"], F.lit(""))) for i in range(len(headers)))) == F.lit("\x1f".join(headers)), F.lit(False))
+
+
 def read_rows(spark: SparkSession, rows: list[dict], dataset: str = "table") -> tuple[DataFrame, DataFrame]:
     """(points, errors) of row objects; keys by alias, the first value of a field wins."""
     from depotry.operators.mapping import ALIASES

@@ -23,11 +23,16 @@ def cut(df: DataFrame) -> DataFrame:
     session's ``spark.checkpoint.dir``. On one machine a temporary folder serves where that is unset;
     elsewhere executors could not see it, so it must be set. What is written goes when the driver ends.
     """
-    at = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex[:16]}"
+    at = new_folder(df.sparkSession)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """Name of a folder of one's own on the shared checkpoint folder; it goes when the driver ends."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex[:16]}"
+
+
 def _folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()

@@ -159,3 +159,14 @@ def test_what_a_solver_refuses(spark):
     for bad in (float("nan"), float("inf")):
         with pytest.raises(ValueError, match="orders"):
             points.check(pts.withColumn("orders", F.lit(bad)), 2)
+
+
+def test_a_folder_of_files_keeps_line_numbers_and_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeffArea;lat;lon;orders;note\n"North; ""old""";12,5;77.5;1,200;x\n\nSouth;12.6;77.6;3.5;y\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("Area;lat;lon;orders;note\nEast;12.7;77.7;9;z\nWest;north;77.8;4;z\n;;;;only a note\n", encoding="utf-8")
+    good, bad = points.read_folder(spark, str(tmp_path))
+    assert [tuple(r) for r in good.orderBy("ord").collect()] == [("upload", 2, 'North; "old"', 12.5, 77.5, 1200), ("upload", 6, "East", 12.7, 77.7, 9)]
+    assert sorted((r["line_no"], r["error"].split("'")[1]) for r in bad.collect()) == [(4, "orders"), (7, "lat")]
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "d.csv").write_text("Area,lat\nx,1\n")
+    assert "No column for" in points.read_folder(spark, str(tmp_path / "c"))[1].first()["error"]
