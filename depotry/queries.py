@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from depotry import schema
-from depotry.functions.geo import haversine, mulberry
+from depotry.functions.geo import haversine, mulberry, to_plane
 from depotry.operators import assign, auction, bounds, capacity, cost, exact, interchange, mapping, medians, solve
 from depotry.plans import whatif
 from depotry.schema import ORDER_KM, RUPEE, Config
@@ -737,6 +737,58 @@ def plan_score(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cost.plan_score(_nations(spark, d), given, tables.five_sites(spark)).select("cost"), "cost")
 
 
+@query(f"""SELECT 'c'||c_custkey AS sample, concat_ws('&', 's=c'||c_custkey, 'k='||(c_custkey % 8 + 1), CASE WHEN c_custkey % 3 <> 0 THEN 'v='||['truck', 'van'][CAST(c_custkey % 3 AS INTEGER)] END, CASE WHEN 100 + c_custkey % 30 <> 111 THEN 'f='||(100 + c_custkey % 30) END,
+ CASE WHEN c_custkey % 4 > 0 THEN 'cap='||(c_custkey % 4 * 500) END, CASE WHEN c_custkey % 2 = 1 THEN 'sc=sprawl' END) AS link, CAST(c_custkey % 8 + 1 AS DOUBLE) AS k, CASE WHEN 100 + c_custkey % 30 <> 111 THEN CAST(100 + c_custkey % 30 AS DOUBLE) END AS fuel_price FROM customer""")
+def encode_links(spark: SparkSession, d: str) -> DataFrame:
+    """A link for the settings of every customer, and what is read back from it."""
+    n = F.col("c_custkey")
+    settings = tables.table(spark, d, "customer").select(F.concat(F.lit("c"), n.cast("string")).alias("sample"), (n % 8 + 1).alias("k"), F.when(n % 3 == 0, "bike").when(n % 3 == 1, "truck").otherwise("van").alias("vehicle"), F.lit("light").alias("traffic"), (100 + n % 30).alias("fuel_price"),
+        F.lit(120.0).alias("driver_wage"), F.lit(2500.0).alias("rent"), (n % 4 * 500).alias("capacity"), F.lit(0).alias("max_radius"), F.when(n % 2 == 1, "sprawl").otherwise("today").alias("scenario"))
+    return points.decode_link(export.link(settings)).select("sample", "link", "k", "fuel_price")
+
+
+_ORDER_KM = f"WITH {NATIONS}, {FIVE}, o AS (SELECT p.ord, p.orders, min({_km('p.lat', 'p.lon', 's.lat', 's.lon', 6371.0, 'atan2')}) AS km FROM pts p, sites s GROUP BY 1, 2), c AS (SELECT avg(lat) AS a, avg(lon) AS b FROM pts), t AS (SELECT (SELECT sum(orders*km) FROM o) AS order_km, (SELECT sum(orders*{_km('p.lat', 'p.lon', 'c.a', 'c.b', 6371.0, 'atan2')}) FROM pts p, c) AS base_order_km)"
+
+
+@query(f"{_ORDER_KM} SELECT round(order_km, 3) AS order_km, round(base_order_km, 3) AS base_order_km, round(greatest(0, base_order_km-order_km)*10*365, 2) AS money_per_year, round(greatest(0, base_order_km-order_km)*46*365/1000, 2) AS co2_kg_per_year, round(order_km/(SELECT sum(orders) FROM pts), 6) AS km_per_order FROM t")
+def order_km_impact(spark: SparkSession, d: str) -> DataFrame:
+    """What five sites save against one depot at the centre of the map, in order-km, money and CO2."""
+    pts = _nations(spark, d)
+    plan = cost.weighted_cost(assign.nearest(pts, tables.five_sites(spark), ORDER_KM)).withColumnRenamed("cost", "order_km")
+    base = whatif.centre_baseline(pts).select("dataset", F.col("cost").alias("base_order_km"))
+    total = pts.groupBy("dataset").agg(F.sum("orders").alias("_o"))
+    out = cost.impact_order_km(plan.join(base, "dataset"), 10.0, 46.0).join(total, "dataset").withColumn("km_per_order", F.round(F.col("order_km") / F.col("_o"), 6))
+    return rounded(rounded(out.select("order_km", "base_order_km", "money_per_year", "co2_kg_per_year", "km_per_order"), "order_km", "base_order_km", places=3), "money_per_year", "co2_kg_per_year", places=2)
+
+
+@query(f"{_CURVE}, b AS (SELECT k, cost AS delivery, cost+2500e0*k AS total FROM curve) SELECT k, round(delivery/(SELECT max(total)*1.08 FROM b), 8) AS y_delivery, round(total/(SELECT max(total)*1.08 FROM b), 8) AS y_total FROM b")
+def chart_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Stacked bars of the sweep over the nations."""
+    sweep = _discrete_sweep(spark, d).select("dataset", "k", F.col("cost").alias("delivery"), (F.col("cost") + 2500.0 * F.col("k")).alias("total"))
+    return rounded(export.chart(sweep).drop("dataset"), "y_delivery", "y_total", places=8)
+
+
+@query("SELECT CASE WHEN m < 1 THEN 'holds up' WHEN m < 3 THEN 'small regret' WHEN m < 7 THEN 'some regret' ELSE 'rethink' END AS verdict, count(*) AS n FROM (SELECT (c_custkey % 100) / 10e0 AS m FROM customer) GROUP BY 1")
+def verdict_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Customers by the verdict on a mean regret made of their keys."""
+    means = tables.table(spark, d, "customer").select(((F.col("c_custkey") % 100) / F.lit(10.0)).alias("m"))
+    return means.groupBy(whatif.verdict_of_regret(F.col("m")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {CUSTOMERS} SELECT ord, round((lon-77.6e0)*radians(1e0)*6371.0088e0*cos(radians(13e0)), 6) AS x, round((lat-13e0)*radians(1e0)*6371.0088e0, 6) AS y FROM pts")
+def local_plane(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in km east and north of one place."""
+    x, y = to_plane(F.col("lat"), F.col("lon"), F.lit(13.0), F.lit(77.6))
+    return tables.customer_points(spark, d).select("ord", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+@query(f"{BASE} SELECT n.id, n.wh_id, s.lat AS wh_lat, s.lon AS wh_lon FROM near n JOIN sites s ON s.wh_id = n.wh_id WHERE s.wh_ord < 3")
+def site_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Assignments with their sites' places; points of unknown sites drop out."""
+    given = _near(spark, d).select("dataset", "id", "wh_id")
+    return assign.lookup(given, tables.five_sites(spark).where("wh_ord < 3")).select("id", "wh_id", "wh_lat", "wh_lon")
+
+
 # --- iterative: checked by tests -----------------------------------------------------------------
 
 @query()
