@@ -15,6 +15,7 @@ from depotry.llm.queries import ORACLES, QUERIES, TOKENIZER
 from test_lm import brute as brute_lm
 from test_packing import check_packed
 from test_quality import brute_counts
+from test_urls import brute as brute_urls
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -102,3 +103,17 @@ def test_lm_scoring(spark):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (h, *w[:2], n)
         assert math.isclose(r["base_score"], w[2], rel_tol=1e-9)
         assert math.isclose(r["score"], w[3], rel_tol=1e-9)
+
+
+def test_urls(spark):
+    rows = sorted(table("pages"), key=lambda r: r["page_id"])
+    want, _, _ = brute_urls([r["url"] for r in rows], 1 << 17)
+    got = {r["page_id"]: r for r in QUERIES["op12_urls"](spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r, (host, path, rule, verdict, score) in zip(rows, want, strict=True):
+        g = got[r["page_id"]]
+        assert (g["host"], g["path"], g["rule"]) == (host, path, rule)
+        assert g["verdict"] == (verdict or g["verdict"]) and g["verdict"] in ("allow", "block")
+        assert g["score"] == pytest.approx(score, abs=1e-9)
+    least = min((g["score"] for g in got.values() if g["rule"] is None and g["verdict"] == "allow"), default=math.inf)
+    assert all(g["score"] < least for g in got.values() if g["rule"] is None and g["verdict"] == "block")
