@@ -269,16 +269,6 @@ def _refined(rows: DataFrame, centres: dict[int, np.ndarray], rounds: int, tol_k
     return [(float(a), float(b)) for a, b in centres[best]]
 
 
-def geometric_medians(points: DataFrame, plan: tuple[str, ...] = ("dataset",), weight: str = "orders", profile: Profile = RUPEE) -> DataFrame:
-    """(plan, lat, lon): the weighted geometric median of each group, one task a group."""
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        at = medians(Metric(pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), profile), pdf[weight].to_numpy(float)[:, None])[0]
-        return pd.DataFrame([(*key, at[0], at[1])], columns=[*plan, "lat", "lon"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-    return points.groupBy(*plan).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in plan), "lat double, lon double"]))
-
-
 def median_steps(points: DataFrame, steps: int, weight: str = "orders", profile: Profile = RUPEE) -> DataFrame:
     """(dataset, lat, lon) after so many reweighted steps from the weighted mean, in Spark's functions alone.
 

@@ -873,7 +873,7 @@ def headline_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def geometric_medians(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(solve.geometric_medians(samples.sample(spark)), "lat", "lon", places=6)
+    return rounded(medians.geometric_medians(samples.sample(spark)), "lat", "lon", places=6)
 
 
 @query()
