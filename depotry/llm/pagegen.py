@@ -70,7 +70,7 @@ class Pages:
         tag = SEMANTIC.get(kind, "div") if self.rng.random() < semantic else self.rng.choice(("div", "div", "section"))
         if self.cells:
             tag = "td"
-        telling = 0.45 if tag == SEMANTIC.get(kind) else 0.93
+        telling = 0.45 if tag == SEMANTIC.get(kind) and tag != "section" else 0.93  # a section says nothing of what it holds
         return f"<{tag}{self.attrs(kind, telling)}>{inside}</{tag}>"
 
     def links(self, low: int, high: int) -> str:
@@ -107,42 +107,79 @@ class Pages:
         self.cells = cells
         return self.wrap(kind, inside, semantic)
 
+    def fragment(self, simple: bool) -> tuple[str, list[str]]:
+        """One piece of an article's body and its blocks."""
+        r, kind = self.rng, self.rng.random()
+        text = r.choice((self.prose(8), self.prose(3), self.sentence(1, 4)))
+        if kind < 0.74 or simple:
+            inner = text
+            if r.random() < 0.2:
+                tag = r.choice(("b", "em", "span", "i", "strong", "small", "code"))
+                inner = f"<{tag}>{text}" + r.choice((f"</{tag}>", f"</{tag}>", "<br>", "<wbr>", "", "</u>"))
+            if r.random() < 0.15:
+                link = self.words(1, 2)
+                inner, text = f"{inner} <a href=/y>{link}</a>", f"{text} {link}"
+            return f"<p>{inner}" + ("</p>" if r.random() < 0.85 else ""), [text]
+        if kind < 0.82:
+            text = self.words(1, 6)
+            return f"<h{r.randint(2, 4)}>{text}</h2>", [text]
+        if kind < 0.87:
+            items = [self.sentence(1, 12) for _ in range(r.randint(2, 5))]
+            tag = r.choice(("ul", "ul", "ol"))
+            return f"<{tag}>" + "".join(f"<li>{x}</li>" for x in items) + f"</{tag}>", items
+        if kind < 0.90:
+            items = [f(*size) for _ in range(r.randint(1, 4)) for f, size in ((self.words, (1, 4)), (self.sentence, (2, 14)))]
+            return "<dl>" + "".join(f"<{t}>{x}</{t}>" for t, x in zip(("dt", "dd") * len(items), items, strict=False)) + "</dl>", items
+        if kind < 0.92:
+            cells = [self.words(1, 3) for _ in range(4)]
+            return "<table><tr><td>{}</td><td>{}</td></tr><tr><td>{}</td><td>{}</td></tr></table>".format(*cells), cells
+        if kind < 0.94:
+            text = r.choice((self.sentence(1, 12), self.words(1, 8)))
+            return f"<figure><img src=/i.png><figcaption>{text}</figcaption></figure>", [text]
+        if kind < 0.96:
+            text = "\n".join(self.words(1, 5) + r.choice((";", "()", " = 1", "")) for _ in range(r.randint(1, 5)))
+            return f"<pre>{text}</pre>" if r.random() < 0.5 else f"<pre><code>{text}</code></pre>", [text]
+        return f"<blockquote><p>{text}</p></blockquote>" if r.random() < 0.5 else f"<div>{text}</div>", [text]
+
+    def sections(self, simple: bool, depth: int = 0) -> tuple[str, list[str]]:
+        """An article's body in elements of their own, with headings or without, some of them nested."""
+        r, out, blocks = self.rng, [], []
+        tag, titled, named = r.choice(("section", "section", "div", "div")), r.random() < 0.7, r.choice((0.0, 0.0, 0.4, 0.8))
+        for _ in range(r.randint(1, 6 - 2 * depth)):
+            inside = ""
+            if titled:
+                blocks.append(self.words(1, 6))
+                level = min(6, 2 + depth + (r.random() < 0.2))
+                inside = f"<h{level}>{blocks[-1]}</h{level}>"
+            for _ in range(r.choice((1, 1, 2, 2, 3, 5))):
+                html, own = self.fragment(simple)
+                inside += html
+                blocks += own
+            if depth < 2 and r.random() < 0.15:
+                html, own = self.sections(simple, depth + 1)
+                inside += html
+                blocks += own
+            out.append(f"<{tag}{self.attrs('neutral', named)}>{inside}</{tag}>")
+        return "".join(out), blocks
+
     def article(self) -> tuple[str, list[str]]:
         r, out, blocks = self.rng, [], []
         simple = r.random() < 0.1
         self.mark = r.choice(self.styles()) if r.random() < 0.25 else lambda text: text
         if r.random() < 0.85:
             blocks.append(self.mark(self.words(2, 12)))
-            title = f"<h1>{blocks[-1]}</h1>"
+            level = r.choice((1, 1, 1, 1, 1, 1, 2, 3))
+            title = f"<h{level}>{blocks[-1]}</h{level}>"
             out.append(f"<header>{title}</header>" if r.random() < 0.08 else title)
-        for _ in range(r.choice((0, 1, 1, 1, 2, 2, 4, 8, 14, 25)) if blocks else r.choice((1, 2, 5))):
-            kind = r.random()
-            text = r.choice((self.prose(8), self.prose(3), self.sentence(1, 4)))
-            if kind < 0.78 or simple:
-                inner = text
-                if r.random() < 0.2:
-                    tag = r.choice(("b", "em", "span", "i", "strong", "small", "code"))
-                    inner = f"<{tag}>{text}" + r.choice((f"</{tag}>", f"</{tag}>", "<br>", "<wbr>", "", "</u>"))
-                if r.random() < 0.15:
-                    link = self.words(1, 2)
-                    inner, text = f"{inner} <a href=/y>{link}</a>", f"{text} {link}"
-                out.append(f"<p>{inner}" + ("</p>" if r.random() < 0.85 else ""))
-                blocks.append(text)
-            elif kind < 0.86:
-                text = self.words(1, 6)
-                out.append(f"<h{r.randint(2, 3)}>{text}</h2>")
-                blocks.append(text)
-            elif kind < 0.93:
-                items = [self.sentence(1, 12) for _ in range(r.randint(2, 5))]
-                out.append("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
-                blocks += items
-            elif kind < 0.95:
-                cells = [self.words(1, 3) for _ in range(4)]
-                out.append("<table><tr><td>{}</td><td>{}</td></tr><tr><td>{}</td><td>{}</td></tr></table>".format(*cells))
-                blocks += cells
-            else:
-                out.append(f"<blockquote><p>{text}</p></blockquote>" if r.random() < 0.5 else f"<div>{text}</div>")
-                blocks.append(text)
+        parted = r.random() < 0.35
+        for _ in range(r.choice((0, 1)) if parted else r.choice((0, 1, 1, 1, 2, 2, 4, 8, 14, 25)) if blocks else r.choice((1, 2, 5))):
+            html, own = self.fragment(simple)
+            out.append(html)
+            blocks += own
+        if parted:
+            html, own = self.sections(simple)
+            out.append(html)
+            blocks += own
         return "".join(out), blocks
 
     def page(self) -> tuple[str, list[str]]:

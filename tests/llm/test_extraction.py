@@ -12,6 +12,7 @@ import pytest
 from depotry.llm import extraction as ex
 from depotry.llm.htmltree import parse
 from depotry.llm.pagegen import Pages
+from depotry.llm.queries import op9_extraction
 
 PROSE = "The river ran past the old mill, and nobody had seen the boats since spring. It was quiet there."
 
@@ -177,3 +178,40 @@ def test_clashing_and_repeated_rows(spark, model):
     got = ex.extract(pages, model=model)
     assert got.columns == ["page_id", "text", "n_chars"]
     assert [tuple(r) for r in got.collect()] == [(1, PROSE, len(PROSE))] * 2
+
+
+ONE, TWO, THREE = (f"{PROSE} {PROSE} {x}." for x in ("One", "Two", "Three"))
+#: Bodies of articles and their blocks: parts in elements of their own, headings first, lists of terms, code and figures.
+BODIES = {
+    "sections": (f"<h1>Mill closes</h1><section><p>{ONE}</p></section><section><p>{TWO}</p></section>", ["Mill closes", ONE, TWO]),
+    "sections with headings": (f"<h1>Mill closes</h1><section><h2>Before</h2><p>{ONE}</p></section><section><h2>After</h2><p>{TWO}</p></section>", ["Mill closes", "Before", ONE, "After", TWO]),
+    "four sections": ("<h1>Mill closes</h1>" + "".join(f"<section><h2>Part {i}</h2><p>{ONE}</p><p>{TWO}</p></section>" for i in range(4)), ["Mill closes", *(x for i in range(4) for x in (f"Part {i}", ONE, TWO))]),
+    "four div elements": ("<h1>Mill closes</h1>" + "".join(f"<div><h2>Part {i}</h2><p>{ONE}</p><p>{TWO}</p></div>" for i in range(4)), ["Mill closes", *(x for i in range(4) for x in (f"Part {i}", ONE, TWO))]),
+    "nested": (f"<h1>Mill closes</h1><div><div><h2>Before</h2><p>{ONE}</p><div><h3>Long before</h3><p>{TWO}</p></div></div><div><h2>After</h2><p>{THREE}</p></div></div>", ["Mill closes", "Before", ONE, "Long before", TWO, "After", THREE]),
+    "h2 first": (f"<h2>Mill closes</h2><p>{ONE}</p><p>{TWO}</p>", ["Mill closes", ONE, TWO]),
+    "h3 first": (f"<h3>Mill closes</h3><p>{ONE}</p><p>{TWO}</p>", ["Mill closes", ONE, TWO]),
+    "terms": (f"<h1>Mill words</h1><dl><dt>Race</dt><dd>{ONE}</dd><dt>Sluice</dt><dd>{TWO}</dd></dl><p>{THREE}</p>", ["Mill words", "Race", ONE, "Sluice", TWO, THREE]),
+    "code": (f"<h1>Mill words</h1><p>{ONE}</p><pre>make all\n  make test</pre><p>{TWO}</p>", ["Mill words", ONE, "make all make test", TWO]),
+    "figure": (f"<h1>Mill closes</h1><p>{ONE}</p><figure><img src=m.png><figcaption>The mill in spring.</figcaption></figure><p>{TWO}</p>", ["Mill closes", ONE, "The mill in spring.", TWO]),
+    "comments and adverts within": (f"<h1>Mill closes</h1><section><h2>Before</h2><p>{ONE}</p><div class=ad>Buy this thing now.</div><p>{TWO}</p></section><section class=comments><h3>Comments</h3><div class=comment><b>Al</b><p>{THREE}</p></div></section>", ["Mill closes", "Before", ONE, TWO]),
+}
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", '<div class="post-content">{}</div>'])
+@pytest.mark.parametrize("name", sorted(BODIES))
+def test_structure_inside_the_article_is_kept(model, name, around):
+    body, want = BODIES[name]
+    html = f"<html><head><title>t</title></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li><li><a href=/c>About</a></li></ul></nav>{around.format(body)}<footer><p>Copyright 2020 The Site</p><a href=/t>Terms</a></footer></body></html>"
+    assert ex.main_texts([html], model)[0].split("\n\n") == want
+
+
+def test_registered_query_on_labelled_pages(spark, tmp_path):
+    maker = Pages(30_007)
+    made = [maker.page() for _ in range(200)]
+    rows = [(i, f"http://h/{i}", html) for i, (html, _) in enumerate(made)] + [(200, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in op9_extraction(spark, str(tmp_path)).collect()}
+    assert len(got) == 201 and (got[200]["text"], got[200]["n_chars"]) == ("", 0)
+    want = ["\n\n".join(" ".join(b.split()) for b in blocks) for _, blocks in made]
+    assert sum(unescape(got[i]["text"]) == w for i, w in enumerate(want)) > 0.88 * 200
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
