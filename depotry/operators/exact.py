@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotry.functions.geo import haversine
@@ -16,6 +17,10 @@ from depotry.schema import RUPEE, Profile
 #: Subsets that exact enumeration takes on; one limit for warm starts and proofs.
 MOST_SUBSETS = 2_000_000
 MOST_CONTINUOUS = 10
+#: A part of a data set has about this many points, fewer where that many candidates would make more distances.
+POINTS_A_PART, DISTANCES_A_PART = 256, 1 << 19
+#: Candidates of all data sets that are broadcast, at 24 bytes each; more are joined by shuffle.
+MOST_BROADCAST = 100_000
 
 
 def distance_matrix(points: DataFrame, profile: Profile = RUPEE) -> DataFrame:
@@ -25,32 +30,113 @@ def distance_matrix(points: DataFrame, profile: Profile = RUPEE) -> DataFrame:
     return a.join(b, "dataset").select("dataset", "i", "j", haversine(F.col("_a"), F.col("_b"), F.col("_c"), F.col("_d"), profile).alias("km"))
 
 
+def unranked(number: Column, k: int, most: int) -> Column:
+    """array<int>: the ``k`` positions below ``most``, ascending, of subset ``number`` in the combinatorial number system.
+
+    Subset c1 < .. < ck has the number C(c1, 1) + .. + C(ck, k). From k down, a position is the largest
+    whose binomial is within what is left, found by halving. Numbers are those of at most ``MOST_SUBSETS``.
+    """
+    if k == 1:
+        return F.array(number.cast("int"))
+    table = _numbers(min(math.comb(c, i), MOST_SUBSETS + 1) for i in range(1, k + 1) for c in range(most))
+    steps = F.sequence(F.lit(1), F.lit(most.bit_length()))
+
+    def take(state: Column, i: Column) -> Column:
+        row = (i - 1) * most
+
+        def halve(h: Column, _: Column) -> Column:
+            middle = F.floor((h["a"] + h["b"]) / 2).cast("int")
+            within = (h["a"] < h["b"]) & (F.get(table, row + middle) <= state["left"])
+            return F.when(within, F.struct((middle + 1).alias("a"), h["b"].alias("b"))).otherwise(F.struct(h["a"].alias("a"), middle.alias("b")))
+
+        at = F.aggregate(steps, F.struct(F.lit(0).alias("a"), F.lit(most).alias("b")), halve, lambda h: h["a"] - 1)
+        found = F.array(F.struct(state["left"].alias("left"), state["sites"].alias("sites"), at.alias("at")))
+        return F.transform(found, lambda f: F.struct((f["left"] - F.get(table, row + f["at"])).alias("left"), F.concat(F.array(f["at"]), f["sites"]).alias("sites")))[0]
+
+    start = F.struct(number.cast("long").alias("left"), F.expr("CAST(array() AS array<int>)").alias("sites"))
+    return F.aggregate(F.sequence(F.lit(k), F.lit(1), F.lit(-1)), start, take, lambda state: state["sites"])
+
+
+def _numbers(values: Iterable[int]) -> Column:
+    """A constant array of whole numbers."""
+    text = ",".join(map(str, values))
+    return F.split(F.lit(text), ",").cast("array<bigint>") if text else F.expr("CAST(array() AS array<bigint>)")
+
+
+def _counted(candidates: DataFrame, k: int) -> tuple[DataFrame, int, int]:
+    """(dataset, cands, total) with the candidates by ``ord`` and the number of their subsets of ``k``; most candidates; data sets."""
+    sizes = candidates.groupBy("dataset").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.count(F.lit(1))).first()
+    most, sets = sizes
+    if math.comb(most, k) > MOST_SUBSETS:
+        raise ValueError(f"C({most}, {k}) subsets are more than {MOST_SUBSETS}")
+    held = candidates.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("ord", "lat", "lon"))).alias("cands"))
+    total = F.size("cands").cast("long") if k == 1 else F.get(_numbers(math.comb(c, k) for c in range(most + 1)), F.size("cands"))
+    return held.withColumn("total", total).where("total > 0"), most, sets
+
+
 def subsets(points: DataFrame, k: int) -> DataFrame:
-    """(dataset, s1 < .. < sk): a chain of joins on the data set and s(i) < s(i+1)."""
-    out = points.select("dataset", F.col("ord").alias("s1"))
-    for i in range(2, k + 1):
-        out = out.join(points.select("dataset", F.col("ord").alias(f"s{i}")), "dataset").where(f"s{i - 1} < s{i}")
-    return out
+    """(dataset, s1 < .. < sk): the subsets of each data set, from even ranges of their numbers."""
+    held, most, _ = _counted(points.select("dataset", "ord", F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon")), k)
+    spread = _ranges(held.select("dataset", F.col("cands.ord").alias("ords"), "total"), 1)
+    each = spread.withColumn("_n", F.explode(F.sequence("lo", "hi"))).select("dataset", "ords", unranked(F.col("_n"), k, most).alias("_s"))
+    return each.select("dataset", *(F.get("ords", F.col("_s")[i]).alias(f"s{i + 1}") for i in range(k)))
+
+
+def _ranges(rows: DataFrame, pieces: int) -> DataFrame:
+    """``rows`` once for each range ``lo``..``hi`` of the numbers below ``total``, dealt out evenly.
+
+    ``pieces`` rows or more are there for each data set, so that ranges are only as many as keep all cores at work.
+    """
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    step = F.ceil(F.col("total") / F.lit(max(1, math.ceil(tasks / max(1, pieces))))).cast("long")
+    cut_ = rows.withColumn("_step", step).withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.col("_step"))))
+    return cut_.withColumn("hi", F.least(F.col("lo") + F.col("_step"), F.col("total")) - 1).drop("_step").repartition(tasks)
+
+
+def _best_subsets(points: DataFrame, candidates: DataFrame, k: int, weight: str, profile: Profile, places: int | None) -> DataFrame:
+    """(dataset, sites, objective, evaluated): the best ``k`` of ``candidates`` for ``points``, the first of equals (to ``places``).
+
+    A row is a part of the points and a range of subsets: it works out their distances once, then the
+    cost of each subset for its points. No subset is joined with points, and costs are shuffled only
+    where a data set has several parts of points.
+    """
+    held, most, sets = _counted(candidates, k)
+    width = max(1, min(POINTS_A_PART, DISTANCES_A_PART // max(1, most)))
+    largest = points.groupBy("dataset").count().agg(F.max("count")).first()[0] or 0
+    parts = max(1, math.ceil(largest / width))
+    some = points.groupBy("dataset", F.pmod(F.xxhash64("ord"), F.lit(parts)).alias("part")).agg(F.array_sort(F.collect_list(F.struct(F.col("ord"), F.col("lat"), F.col("lon"), F.col(weight).cast("double").alias("w")))).alias("pts"))
+    few = sets * most <= MOST_BROADCAST
+    rows = _ranges(some.join(F.broadcast(held) if few else held, "dataset"), parts * sets)
+    km = F.flatten(F.transform("cands", lambda c: F.transform("pts", lambda q: haversine(q["lat"], q["lon"], c["lat"], c["lon"], profile))))
+
+    def costs(near: Column) -> Column:
+        count = F.size("pts")
+
+        def of(chosen: Column) -> Column:
+            def at(i: int, q: Column) -> Column:
+                return F.get(near, chosen[i] * count + q)
+
+            return F.aggregate(F.sequence(F.lit(0), count - 1), F.lit(0.0), lambda sum_, q: sum_ + F.get(F.col("pts.w"), q) * (F.least(*(at(i, q) for i in range(k))) if k > 1 else at(0, q)))
+
+        return F.transform(F.sequence("lo", "hi"), lambda n: F.transform(F.array(unranked(n, k, most)), of)[0])
+
+    # One-element arrays carry distances and subsets into one lambda each, so that they are made once.
+    told = rows.select("dataset", "lo", F.transform(F.array(km), costs)[0].alias("costs"))
+    each = told.select("dataset", "lo", F.posexplode("costs").alias("at", "objective")).select("dataset", (F.col("lo") + F.col("at")).alias("number"), "objective")
+    totals = each if parts == 1 else each.groupBy("dataset", "number").agg(F.sum("objective").alias("objective"))
+    value = F.col("objective") if places is None else F.round("objective", places)
+    # Positions are in the order of ``ord``, so the first subset of equals is that of the first positions.
+    best = totals.groupBy("dataset").agg(F.min(F.struct(value.alias("r"), unranked(F.col("number"), k, most).alias("at"), "objective")).alias("b"), F.count(F.lit(1)).alias("evaluated"))
+    named = best.join(held.select("dataset", F.col("cands.ord").alias("_ords")), "dataset")
+    return named.select("dataset", F.transform("b.at", lambda i: F.get("_ords", i)).alias("sites"), "b.objective", "evaluated")
 
 
 def pmedian(points: DataFrame, k: int, weight: str = "orders", profile: Profile = RUPEE) -> DataFrame:
     """(dataset, sites, objective, evaluated): best k of the points themselves, the first of equals.
 
-    The number of subsets is checked before the plan is made. The last site joins the rows of a
-    subset by point, so partial sums of one subset meet in one aggregate.
+    The number of subsets is checked before the plan is made.
     """
-    largest = points.groupBy("dataset").count().agg(F.max("count")).first()[0] or 0
-    if math.comb(largest, k) > MOST_SUBSETS:
-        raise ValueError(f"C({largest}, {k}) subsets are more than {MOST_SUBSETS}")
-    keys = [f"s{i}" for i in range(1, k + 1)]
-    km = distance_matrix(points, profile)
-    # All distances of a point as one array, so a subset reads k entries of it.
-    ranks = points.select("dataset", "ord", weight)
-    rows = km.groupBy("dataset", "j").agg(F.map_from_entries(F.collect_list(F.struct("i", "km"))).alias("to")).join(ranks.withColumnRenamed("ord", "j"), ["dataset", "j"])
-    least = F.least(*(F.element_at("to", F.col(s)) for s in keys)) if k > 1 else F.element_at("to", F.col("s1"))
-    totals = subsets(points, k).join(rows, "dataset").groupBy("dataset", *keys).agg(F.sum(least * F.col(weight)).alias("objective"))
-    best = totals.groupBy("dataset").agg(F.min(F.struct(F.round("objective", 9).alias("r"), F.array(*keys).alias("sites"), "objective")).alias("b"), F.count(F.lit(1)).alias("evaluated"))
-    return best.select("dataset", "b.sites", "b.objective", "evaluated")
+    return _best_subsets(points, points.select("dataset", "ord", "lat", "lon"), k, weight, profile, 9)
 
 
 def sites_of(points: DataFrame, best: DataFrame) -> DataFrame:
@@ -91,14 +177,8 @@ def lattice(points: DataFrame, k: int, resolution: int = 14, weight: str = "orde
         raise ValueError(f"C({cells}, {k}) subsets are more than {MOST_SUBSETS}")
     box = points.groupBy("dataset").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
     spot = box.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    at = spot.select("dataset", F.col("_i").cast("long").alias("i"), (F.col("s") + (F.col("n") - F.col("s")) * F.floor(F.col("_i") / resolution) / (resolution - 1)).alias("_c"), (F.col("w") + (F.col("e") - F.col("w")) * (F.col("_i") % resolution) / (resolution - 1)).alias("_d"))
-    keys = [f"s{i}" for i in range(1, k + 1)]
-    km = points.join(at, "dataset").withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("_c"), F.col("_d"), profile))
-    rows = km.groupBy("dataset", "ord", weight).agg(F.map_from_entries(F.collect_list(F.struct("i", "km"))).alias("to"))
-    least = F.least(*(F.element_at("to", F.col(s)) for s in keys)) if k > 1 else F.element_at("to", F.col("s1"))
-    totals = subsets(at.select("dataset", F.col("i").alias("ord")), k).join(rows, "dataset").groupBy("dataset", *keys).agg(F.sum(least * F.col(weight)).alias("objective"))
-    best = totals.groupBy("dataset").agg(F.min(F.struct("objective", F.array(*keys).alias("sites"))).alias("b"), F.count(F.lit(1)).alias("evaluated"))
-    return best.select("dataset", "b.sites", "b.objective", "evaluated")
+    at = spot.select("dataset", F.col("_i").cast("long").alias("ord"), (F.col("s") + (F.col("n") - F.col("s")) * F.floor(F.col("_i") / resolution) / (resolution - 1)).alias("lat"), (F.col("w") + (F.col("e") - F.col("w")) * (F.col("_i") % resolution) / (resolution - 1)).alias("lon"))
+    return _best_subsets(points, at, k, weight, profile, None)
 
 
 def golden_medians(metric: Metric, weights: np.ndarray, precision_km: float = 1e-3) -> np.ndarray:
