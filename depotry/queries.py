@@ -15,6 +15,7 @@ from depotry.schema import ORDER_KM, RUPEE, Config
 from depotry.sources import export, points, samples, tables
 from depotry.storage import new_folder
 from depotry.streaming.demand import demand_by_window
+from depotry.streaming.loads import window_loads
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -672,6 +673,17 @@ def demand_by_day(spark: SparkSession, d: str) -> DataFrame:
     return demand_by_window(o, "o_custkey").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+_DAY_LOADS = "l AS (SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, user_id % 10 AS site, CAST(count(DISTINCT event_id) AS BIGINT) AS load FROM events GROUP BY 1, 2)"
+
+
+@query(f"WITH {_DAY_LOADS} SELECT window_start, site, load, load > 40 AS is_over, true AS is_final FROM l UNION ALL SELECT window_start, site, 40, true, false FROM l WHERE load > 40")
+def loads_over_capacity(spark: SparkSession, d: str) -> DataFrame:
+    """The batch form of the streaming loads: events of ten sites by day, and the days on which a site passes 40 (rows not final, with that limit as load)."""
+    e = tables.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("site", F.col("user_id") % 10)
+    told = window_loads(e.unionByName(e.where("event_id % 7 = 0")), capacity=40, key="site")  # some events come twice
+    return told.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn("load", F.coalesce("load", F.lit(40)))
+
+
 @query(f"WITH {_ODD}, f AS (SELECT ord, id, min(ord) OVER (PARTITION BY id) AS first FROM odd) SELECT id, ord, first FROM f WHERE first < ord")
 def dup_ids(spark: SparkSession, d: str) -> DataFrame:
     return points.repeated_ids(_odd(spark, d)).select("id", "ord", "first")
