@@ -6,20 +6,31 @@ site, less what the points of the leaving site lose by going to their second sit
 of them get back that have the candidate nearer than that. All three are sums by (candidate,
 nearest site), so they are added up where the points lie and the points never move; a pass sends
 candidates times sites rows a task at most. Points and candidates may be any number of data sets.
+
+Points at one place count as one with their whole weight, candidates at one place as the first of
+them: neither changes an exchange. Places meet candidates in blocks, so their numbers have no limit
+but time, which follows the pairs of different places.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotry.functions.geo import haversine
 from depotry.operators import assign, solve
+from depotry.operators.solve import Metric
 from depotry.schema import RUPEE, Profile
 from depotry.storage import cut
 
 #: Candidates that lie beside a point as an array, and sites of a plan.
 MOST_CANDIDATES, MOST_SITES = 4096, 512
+#: Places and candidates of a block, pairs of a point and a candidate in a task (about), tasks, and candidates that are sent to all tasks.
+PLACES, BLOCK, PAIRS, MOST_TASKS, MOST_SENT = 256, 1024, 2_000_000, 20_000, 1 << 20
 SITE = ("wh_ord", "wh_id", "lat", "lon")
 
 
@@ -36,21 +47,88 @@ def _two_nearest(points: DataFrame, sites: DataFrame, profile: Profile) -> DataF
     return both.withColumn("d1", F.col("_w2")[0]["km"]).withColumn("s1", F.col("_w2")[0]["wh_ord"]).withColumn("d2", F.get("_w2", F.lit(1))["km"]).drop("_w2")
 
 
+def at_places(points: DataFrame, weight: str = "orders") -> DataFrame:
+    """One point a place of a data set, with the weight of all points there."""
+    return points.groupBy("dataset", "lat", "lon").agg(F.sum(weight).alias(weight))
+
+
+def first_of_places(candidates: DataFrame) -> DataFrame:
+    """The first candidate of each place of a data set."""
+    return candidates.groupBy("dataset", "lat", "lon").agg(F.min("cand_ord").alias("cand_ord")).select("dataset", "cand_ord", "lat", "lon")
+
+
+def spots(rows: pa.Array) -> np.ndarray:
+    """(n, 2) positions of structs with lat and lon."""
+    return np.stack([numbers(rows, c) for c in ("lat", "lon")], axis=1)
+
+
+def numbers(rows: pa.Array, column: str) -> np.ndarray:
+    """A field of structs as doubles; null is NaN."""
+    return np.asarray(rows.field(column).to_numpy(zero_copy_only=False), float)
+
+
+def blocks(places: DataFrame) -> DataFrame:
+    """(dataset, _places): about PLACES rows of ``places`` in each array."""
+    number = F.pmod(F.xxhash64("lat", "lon"), F.lit(max(1, -(-places.count() // PLACES)))).alias("_block")
+    return places.groupBy("dataset", number).agg(F.collect_list(F.struct(*(c for c in places.columns if c != "dataset"))).alias("_places")).drop("_block")
+
+
+def meeting(points: DataFrame, candidates: DataFrame, each: int = 1) -> DataFrame:
+    """``points`` beside every block of candidates of their data set (``_candidates``), in tasks of about PAIRS pairs.
+
+    ``each`` is how many points a row stands for. Up to MOST_SENT candidates are broadcast; more are dealt with the points.
+    """
+    n, m = points.count(), candidates.count()
+    tasks = max(1, min(n, -(-n * each * m // PAIRS), MOST_TASKS))
+    number = F.pmod(F.xxhash64("cand_ord"), F.lit(max(1, -(-m // BLOCK)))).alias("_block")
+    packed = candidates.groupBy("dataset", number).agg(F.collect_list(F.struct("cand_ord", "lat", "lon")).alias("_candidates")).drop("_block")
+    if m <= MOST_SENT:
+        return points.repartition(tasks).join(F.broadcast(packed), "dataset")
+    dealt = points.withColumn("_task", F.pmod(F.xxhash64(*points.columns), F.lit(tasks)))
+    return dealt.join(packed.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))), ["dataset", "_task"]).drop("_task")
+
+
 def swap_profits(points: DataFrame, sites: DataFrame, candidates: DataFrame, weight: str = "orders", profile: Profile = RUPEE) -> DataFrame:
     """(dataset, cand_ord, wh_ord, profit) of every exchange of a site for a candidate; ``candidates`` has dataset, cand_ord, lat, lon.
 
     A single site has no second one: its points go to the candidate whatever it costs.
     """
-    near = _two_nearest(points, sites, profile)
     w = F.col(weight).cast("double")
+    near = _two_nearest(points, sites, profile).withColumn("w", w)
     held = near.join(_packed(candidates, "_candidates", MOST_CANDIDATES, ("cand_ord", "lat", "lon")), "dataset")
-    met = held.select("dataset", w.alias("w"), "d1", "d2", "s1", F.explode(F.transform("_candidates", lambda c: F.struct(c["cand_ord"].alias("cand_ord"), haversine(F.col("lat"), F.col("lon"), c["lat"], c["lon"], profile).alias("km")))).alias("c"))
+    met = held.select("dataset", "w", "d1", "d2", "s1", F.explode(F.transform("_candidates", lambda c: F.struct(c["cand_ord"].alias("cand_ord"), haversine(F.col("lat"), F.col("lon"), c["lat"], c["lon"], profile).alias("km")))).alias("c"))
     met = met.where("d2 IS NULL OR c.km < d2")  # others neither gain nor have it as their refuge
     gain = F.when(F.col("c.km") < F.col("d1"), F.col("w") * (F.col("d1") - F.col("c.km"))).otherwise(F.lit(0.0))
     # What staying with the candidate saves the point if its own site leaves: against d2, or against nothing if there is none.
     back = F.when(F.col("d2").isNull(), F.col("w") * (F.col("d1") - F.col("c.km")) - gain).otherwise(F.col("w") * (F.col("d2") - F.greatest("c.km", "d1")))
     pairs = met.groupBy("dataset", F.col("c.cand_ord").alias("cand_ord"), F.col("s1").alias("wh_ord")).agg(F.sum(gain).alias("_gain"), F.sum(back).alias("_back"))
-    loss = near.groupBy("dataset", F.col("s1").alias("wh_ord")).agg(F.sum(w * F.coalesce(F.col("d2") - F.col("d1"), F.lit(0.0))).alias("_loss"))
+    return _profits(near, pairs, sites, candidates)
+
+
+def swap_profits_of_many(points: DataFrame, sites: DataFrame, candidates: DataFrame, weight: str = "orders", profile: Profile = RUPEE) -> DataFrame:
+    """``swap_profits`` for any number of candidates: blocks of points meet blocks of candidates, and a block adds up by candidate and site."""
+    near = cut(_two_nearest(points, sites, profile).select("dataset", "lat", "lon", F.col(weight).cast("double").alias("w"), "d1", "s1", "d2"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                rows, there = b.column(1).slice(i, 1).flatten(), b.column(2).slice(i, 1).flatten()
+                w, d1, d2 = (numbers(rows, c)[:, None] for c in ("w", "d1", "d2"))
+                km, at = Metric(*spots(rows).T, profile).to(spots(there)), rows.field("s1").to_numpy(zero_copy_only=False)
+                gain = w * np.maximum(0.0, d1 - km)
+                back = np.where(np.isnan(d2), w * (d1 - km) - gain, w * np.maximum(0.0, d2 - np.maximum(km, d1)))
+                for s in np.unique(at):
+                    yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(there)), there.field("cand_ord"), pa.repeat(pa.scalar(int(s), pa.int64()), len(there)), pa.array(gain[at == s].sum(0)), pa.array(back[at == s].sum(0))], ["dataset", "cand_ord", "wh_ord", "_gain", "_back"])
+
+    known = near.where("d1 IS NOT NULL AND w IS NOT NULL")  # a point without a place or weight adds nothing to any sum
+    met = meeting(cut(blocks(known)), candidates, PLACES).select("dataset", "_places", "_candidates")
+    pairs = met.mapInArrow(run, "dataset string, cand_ord long, wh_ord long, _gain double, _back double")
+    return _profits(near, pairs.groupBy("dataset", "cand_ord", "wh_ord").agg(F.sum("_gain").alias("_gain"), F.sum("_back").alias("_back")), sites, candidates)
+
+
+def _profits(near: DataFrame, pairs: DataFrame, sites: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The profits, from points with their two nearest sites (``near``) and the sums by candidate and nearest site."""
+    loss = near.groupBy("dataset", F.col("s1").alias("wh_ord")).agg(F.sum(F.col("w") * F.coalesce(F.col("d2") - F.col("d1"), F.lit(0.0))).alias("_loss"))
     every = candidates.select("dataset", "cand_ord").join(sites.select("dataset", "wh_ord"), "dataset")  # candidates times sites
     total = pairs.groupBy("dataset", "cand_ord").agg(F.sum("_gain").alias("_all"))
     out = every.join(pairs, ["dataset", "cand_ord", "wh_ord"], "left").join(total, ["dataset", "cand_ord"], "left").join(loss, ["dataset", "wh_ord"], "left")
@@ -76,12 +154,12 @@ def interchange(points: DataFrame, sites: DataFrame, candidates: DataFrame, weig
     ``swaps`` ends it earlier. Each exchange lowers the objective and plans are finite, so it ends;
     every pass is written and cut, a data set that stands still costs a look at its sites no more.
     """
-    points, candidates = cut(points.select("dataset", "ord", "lat", "lon", weight)), cut(candidates.select("dataset", "cand_ord", "lat", "lon"))
+    points, candidates = cut(at_places(points, weight)), cut(first_of_places(candidates))
     at, done, live = cut(sites.select("dataset", *SITE)), 0, points.select("dataset").distinct()
     while swaps is None or done < swaps:
         some = points.join(live, "dataset", "left_semi")
         now = assign.nearest(some, at, profile).groupBy("dataset").agg(F.sum(F.col(weight) * F.col("dist_km")).alias("_now"))
-        best = cut(best_swaps(swap_profits(some, at, candidates, weight, profile)).join(now, "dataset").where(F.col("profit") > least * F.greatest("_now", F.lit(1.0))))
+        best = cut(best_swaps(swap_profits_of_many(some, at, candidates, weight, profile)).join(now, "dataset").where(F.col("profit") > least * F.greatest("_now", F.lit(1.0))))
         if not best.limit(1).count():
             break
         at, live, done = cut(swapped(at, best, candidates)), best.select("dataset"), done + 1

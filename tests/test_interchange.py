@@ -86,3 +86,25 @@ def test_rounds_that_do_not_rest_are_told(spark):
     with pytest.warns(UserWarning, match="still moved"):
         solve.solve_large(pts, 3, rounds=1)
     assert pts.agg(F.count(F.lit(1))).first()[0] == 50
+
+
+def test_any_number_of_candidates_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(interchange, "MOST_CANDIDATES", 3)
+    monkeypatch.setattr(interchange, "BLOCK", 4)
+    monkeypatch.setattr(interchange, "PAIRS", 50)
+    points, sites, candidates = instance("a", 40, 3, 21, 4)
+    points += [(d, 100 + i, f"Q{i}", a, b, 3) for i, (d, _, _, a, b, _) in enumerate(points[:10])]  # two points at a place
+    candidates += [(d, 100 + i, a, b) for d, i, a, b in candidates]  # and two candidates
+    frames = [spark.createDataFrame(r, kind) for r, kind in zip((points, sites, candidates), (POINT, SITE, CANDIDATE), strict=True)]
+    for sent in (1 << 20, 5):
+        monkeypatch.setattr(interchange, "MOST_SENT", sent)
+        got, made = interchange.interchange(*frames)
+        at, turns = [s[3:] for s in sites], 0
+        while True:
+            now = objective(points, at)
+            best = min((round(objective(points, at[:i] + at[i + 1 :] + [c[2:]]) - now, 9), c[1], i, c[2:]) for i in range(3) for c in candidates)
+            if best[0] >= -1e-9 * now:
+                break
+            at[best[2]], turns = best[3], turns + 1
+        assert [(r["lat"], r["lon"]) for r in got.orderBy("wh_ord").collect()] == at
+        assert made == turns > 0
