@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,22 +191,93 @@ def greedy_capacity(points: DataFrame, sites: DataFrame, capacity: int | None, p
     nothing moves any more all choices are those of the points in turn. Rounds follow the chains of
     points that push one another away (tens, as measured), not the number of points. Points that
     are settled leave the rounds as a sum at their site. Points look at their ``WAYS_FIRST`` nearest
-    sites and at more only if those are full. Up to MOST_RANKED sites a data set. ``taken`` (dataset,
+    sites and at more only if those are full. Up to MOST_RANKED sites a data set; more raise: use
+    ``greedy_of_many``. ``taken`` (dataset,
     site, taken) is what sites hold before, by their place in order from 0.
     """
     packed = sites.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("wh_ord", "wh_id", "lat", "lon"))).alias("_sites"))
     packed = cut(packed.withColumn("_sites", F.when(F.size("_sites") <= MOST_RANKED, F.col("_sites")).otherwise(F.raise_error(F.lit("too many sites for a greedy assignment")))))
-    ways = F.transform("_sites", lambda s, i: F.struct(haversine(F.col("lat"), F.col("lon"), s["lat"], s["lon"], profile).alias("km"), s["wh_ord"].alias("wh_ord"), i.alias("i"), s["wh_id"].alias("wh_id")))
+    ways = F.transform("_sites", lambda s, i: F.struct(haversine(F.col("lat"), F.col("lon"), s["lat"], s["lon"], profile).alias("km"), s["wh_ord"].alias("wh_ord"), i.cast("long").alias("i"), s["wh_id"].alias("wh_id")))
 
     def nearest_ways(reach: Column) -> Column:
         return F.slice(F.array_sort(ways), F.lit(1), reach)
 
+    def more(told: DataFrame) -> DataFrame:
+        return told.join(packed, "dataset").withColumn("_ways", F.when(F.col("_short"), nearest_ways(F.size("_ways") * 4)).otherwise(F.col("_ways")))
+
+    start = _in_turn(points).join(packed, "dataset").withColumn("_n", F.size("_sites").cast("long")).withColumn("_ways", nearest_ways(F.lit(WAYS_FIRST)))
+    return _greedy(start.drop("_sites"), capacity, taken, more)
+
+
+def greedy_of_many(points: DataFrame, sites: DataFrame, capacity: int | None, profile: Profile = RUPEE, taken: DataFrame | None = None) -> DataFrame:
+    """``greedy_capacity`` for any number of sites: only the nearest ones of a place are ranked, more where those are full.
+
+    Points of one place look at the same sites, so places are searched, not points; time follows the
+    pairs of different places. Points without a position are an error.
+    """
+    number = prefix_sums(sites.select("dataset", "wh_ord", "wh_id", "lat", "lon"), ["dataset"], ["wh_ord", "wh_id", "lat", "lon"], {"i": F.lit(1).cast("long")})
+    held = cut(number.withColumn("i", F.col("i") - 1))
+    own = F.array_sort(F.collect_list(F.struct("wh_ord", "i", "wh_id")))
+    spots = cut(held.groupBy("dataset", "lat", "lon").agg(F.min("i").alias("cand_ord"), own.alias("_own")))
+    sizes = held.groupBy("dataset").agg(F.count(F.lit(1)).alias("_n"))
+    placed = [F.when(F.col("lat").isNull() | F.col("lon").isNull(), F.raise_error(F.lit("a point has no position")).cast("double")).otherwise(F.col(c)).alias(c) for c in ("lat", "lon")]
+    turns = cut(_in_turn(points).select("dataset", "ord", "id", *placed, "orders", "_pos"))
+
+    def more(told: DataFrame) -> DataFrame:
+        told = cut(told)
+        asked = told.where("_short").select("dataset", "lat", "lon", (F.size("_ways") * 4).alias("want")).groupBy("dataset", "lat", "lon", "want").agg(F.lit(1).alias("_1")).drop("_1")
+        if not asked.limit(1).count():
+            return told
+        found = _nearest_ways(asked, spots, profile).withColumnsRenamed({"_ways": "_more"})
+        wide = told.withColumn("want", F.when(F.col("_short"), F.size("_ways") * 4)).join(found, ["dataset", "lat", "lon", "want"], "left")
+        return wide.withColumn("_ways", F.coalesce("_more", "_ways")).drop("want", "_more")
+
+    first = _nearest_ways(turns.select("dataset", "lat", "lon").distinct().withColumn("want", F.lit(WAYS_FIRST)), spots, profile).drop("want")
+    return _greedy(turns.join(sizes, "dataset").join(first, ["dataset", "lat", "lon"]), capacity, taken, more)
+
+
+def _nearest_ways(places: DataFrame, spots: DataFrame, profile: Profile) -> DataFrame:
+    """``places`` (dataset, lat, lon, want) with ``_ways``: the nearest ``want`` sites, in order. ``spots`` are the sites by place.
+
+    A block of places keeps, of each block of spots, the nearest ``want`` and what ties with them.
+    """
+    from depotry.operators.interchange import PLACES, blocks, meeting, numbers
+    from depotry.operators.interchange import spots as positions
+    from depotry.operators.solve import Metric
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                rows, there = b.column(1).slice(r, 1).flatten(), b.column(2).slice(r, 1).flatten()
+                km, n = Metric(*positions(rows).T, profile).to(positions(there)), np.minimum(numbers(rows, "want").astype(int), len(there))
+                last = np.sort(km, axis=1)[np.arange(len(n)), n - 1]
+                i, j = np.nonzero(km <= last[:, None] * (1 + 1e-9) + 1e-9)
+                i, j = pa.array(i), pa.array(j)
+                yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[r], len(i)), *(rows.field(c).take(i) for c in ("lat", "lon", "want")), there.field("cand_ord").take(j)], ["dataset", "lat", "lon", "want", "cand_ord"])
+
+    met = meeting(cut(blocks(places)), spots.select("dataset", "cand_ord", "lat", "lon"), PLACES).select("dataset", "_places", "_candidates")
+    near = met.mapInArrow(run, "dataset string, lat double, lon double, want int, cand_ord long")
+    where = spots.select("dataset", "cand_ord", F.col("lat").alias("_a"), F.col("lon").alias("_b"), "_own")
+    by = ["dataset", "lat", "lon", "want"]
+    near = near.join(where.drop("_own"), ["dataset", "cand_ord"]).select(*by, F.struct(haversine(F.col("lat"), F.col("lon"), F.col("_a"), F.col("_b"), profile).alias("km"), "cand_ord").alias("s"))
+    near = near.groupBy(*by).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    near = near.withColumn("_far", F.element_at("s", F.least(F.col("want"), F.size("s")))["km"]).select(*by, F.explode(F.filter("s", lambda s: s["km"] <= F.col("_far"))).alias("s"))
+    each = near.select(*by, "s.*").join(where, ["dataset", "cand_ord"]).select(*by, "km", F.explode(F.slice("_own", F.lit(1), F.col("want"))).alias("o"))
+    return each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("km", "o.wh_ord", "o.i", "o.wh_id"))).alias("_ways")).withColumn("_ways", F.slice("_ways", F.lit(1), F.col("want")))
+
+
+def _in_turn(points: DataFrame) -> DataFrame:
+    """Points with their place in the order of serving (``_pos``, from 1)."""
+    return prefix_sums(points.select("dataset", "ord", "id", "lat", "lon", "orders"), ["dataset"], [F.desc("orders"), "ord"], {"_pos": F.lit(1).cast("long")})
+
+
+def _greedy(start: DataFrame, capacity: int | None, taken: DataFrame | None, more: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rounds. ``start`` has each point's nearest sites (``_ways``) of all (``_n``); ``more`` widens ``_ways`` where ``_short``."""
+
     def chosen(state: DataFrame) -> DataFrame:
         return state.withColumn("_way", F.element_at("_ways", F.col("pick") + 1)).select("dataset", "ord", "id", F.col("_way.wh_id").alias("wh_id"), F.col("_way.km").alias("dist_km"))
 
-    placed = prefix_sums(points.select("dataset", "ord", "id", "lat", "lon", "orders"), ["dataset"], [F.desc("orders"), "ord"], {"_pos": F.lit(1).cast("long")})
-    start = placed.join(packed, "dataset").withColumn("_n", F.size("_sites")).withColumn("_ways", nearest_ways(F.lit(WAYS_FIRST)))
-    state = start.drop("_sites").withColumn("pick", F.lit(0)).withColumn("moved", F.lit(True))
+    state = start.withColumn("pick", F.lit(0)).withColumn("moved", F.lit(True))
     if not capacity:
         return chosen(state)
     state, done = cut(state), []
@@ -220,8 +294,7 @@ def greedy_capacity(points: DataFrame, sites: DataFrame, capacity: int | None, p
         short = F.col("_best").isNull() & (F.size("_ways") < F.col("_n"))  # none so far, but there are sites left to look at
         pick = F.coalesce("_best", F.lit(0))
         told = state.drop("moved").join(best, ["dataset", "_pos"], "left").withColumn("_short", short).withColumn("moved", (pick != F.col("pick")) | F.col("_short")).withColumn("pick", pick)
-        told = told.join(packed, "dataset").withColumn("_ways", F.when(F.col("_short"), nearest_ways(F.size("_ways") * 4)).otherwise(F.col("_ways")))
-        state = cut(told.select(*state.columns))
+        state = cut(more(told).select(*state.columns))
         # Places are dense, so what is settled of a data set is what lies before its first move.
         told = state.groupBy("dataset").agg(F.min(F.when(F.col("moved"), F.col("_pos"))).alias("_first"), F.min("_pos").alias("_low"), F.count(F.lit(1)).alias("_n"))
         settled = told.agg(F.sum(F.coalesce(F.col("_first") - F.col("_low"), F.col("_n")))).first()[0]

@@ -159,7 +159,7 @@ SELECT step.ord, s.wh_id FROM step JOIN sites s ON s.place = step.pick""")
 def greedy_suppliers(spark: SparkSession, d: str) -> DataFrame:
     """All customers to all suppliers, which take a tenth more than an even share."""
     pts, sites = tables.customer_points(spark, d), tables.supplier_sites(spark, d)
-    return assign.greedy_capacity(pts, sites, _room(pts, sites)).select("ord", "wh_id")
+    return assign.greedy_of_many(pts, sites, _room(pts, sites)).select("ord", "wh_id")
 
 
 def _auction_sql(turns: int, eps: float) -> str:

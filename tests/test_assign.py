@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from depotry.operators import assign, scan
+from depotry.operators import assign, interchange, scan
 
 POINT = "dataset string, ord long, id string, lat double, lon double, orders long"
 SITE = "dataset string, k int, wh_ord long, wh_id string, lat double, lon double"
@@ -89,3 +89,16 @@ def test_prefix_sums_cut_groups(spark):
     frame = spark.createDataFrame(rows, "g string, i long, v long").repartition(4)
     for got in (scan.prefix_sums(frame, ["g"], ["i"], {"s": F.col("v")}), scan.bucketed_before(frame, ["g"], "i", "v", 400, "s", 16).withColumn("s", F.col("s") + F.col("v"))):
         assert {(r["g"], r["i"]): r["s"] for r in got.collect()} == {(g, i): sum(v for h, j, v in rows if h == g and j <= i) for g, i, _ in rows}
+
+
+def test_greedy_of_many_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(assign, "MOST_RANKED", 3)
+    monkeypatch.setattr(assign, "WAYS_FIRST", 2)
+    monkeypatch.setattr(interchange, "BLOCK", 2)
+    rng = random.Random(3)
+    spots = [(rng.uniform(0, 1), rng.uniform(0, 1)) for _ in range(12)]  # several points and sites at a place
+    points = [("a", i, f"P{i}", *rng.choice(spots), rng.choice((0, 7, rng.randint(0, 30)))) for i in range(50)]
+    sites = [("a", 5, i, f"W{i}", *spots[i % 5]) for i in range(9)]
+    got = assign.greedy_of_many(spark.createDataFrame(points, POINT), spark.createDataFrame(sites, SITE), 70).collect()
+    assert {(r["dataset"], r["ord"]): r["wh_id"] for r in got} == turn_by_turn(points, sites, 70)
+    assert len(got) == 50
