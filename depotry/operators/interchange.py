@@ -186,21 +186,23 @@ def place(points: DataFrame, k: int, candidates: DataFrame | None = None, weight
     Exchanges start from the plan of ``solve_large`` and only lower its objective; where one was
     made, the centres are moved to their medians again and kept if that is better still.
     """
+    points = cut(points.select("dataset", "ord", "lat", "lon", weight))  # worked out once, read by every pass
     data = points.select("dataset").first()
     if data is None:
         raise ValueError("there are no points")
+    places = cut(at_places(points, weight))
     session, kinds = points.sparkSession, "dataset string, wh_ord long, wh_id string, lat double, lon double"
 
     def as_sites(centres: list[tuple[float, float]]) -> DataFrame:
         return session.createDataFrame([(data["dataset"], i, f"W{i + 1}", a, b) for i, (a, b) in enumerate(centres)], kinds)
 
     def cost_of(sites: DataFrame) -> float:
-        return assign.nearest(points, sites, profile).agg(F.sum(F.col(weight) * F.col("dist_km"))).first()[0] or 0.0
+        return assign.nearest(places, sites, profile).agg(F.sum(F.col(weight) * F.col("dist_km"))).first()[0] or 0.0
 
     best = as_sites(solve.solve_large(points, k, weight, profile))
-    sites, made = interchange(points, best, spread_candidates(points, weight=weight) if candidates is None else candidates, weight, profile)
+    sites, made = interchange(places, best, spread_candidates(points, weight=weight) if candidates is None else candidates, weight, profile)
     if not made:
         return best, cost_of(best)
-    moved = as_sites(solve.refine_large(points, [(r["lat"], r["lon"]) for r in sites.orderBy("wh_ord").collect()], weight, profile))  # k rows
+    moved = as_sites(solve.refine_large(places, [(r["lat"], r["lon"]) for r in sites.orderBy("wh_ord").collect()], weight, profile))  # k rows
     options = sorted(((cost_of(s), i, s) for i, s in enumerate((best, sites, moved))), key=lambda x: x[:2])
     return options[0][2], options[0][0]

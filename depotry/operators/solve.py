@@ -230,15 +230,21 @@ def solve_large(points: DataFrame, k: int, weight: str = "orders", profile: Prof
 
     All restarts are drawn over all points and advance together: every pass assigns all points
     and takes one reweighted step for all centres of the restarts that still move. The last pass
-    scores every restart on all points.
+    scores every restart on all points. After the draws, points of one place are one row.
     """
     rows = cut(points.select("lat", "lon", F.col(weight).cast("double").alias("w"), F.xxhash64("dataset", "ord").alias("h")))
-    return _refined(rows, _seeds_large(rows, k, Search(), profile), rounds, tol_km, means, profile)
+    return _refined(_by_place(rows), _seeds_large(rows, k, Search(), profile), rounds, tol_km, means, profile)
+
+
+def _by_place(rows: DataFrame) -> DataFrame:
+    """(lat, lon, w): one row a place with the weight of all points there; the steps and costs of centres are the same."""
+    spread = rows.sparkSession.sparkContext.defaultParallelism
+    return cut(rows.groupBy("lat", "lon").agg(F.sum("w").alias("w")).repartition(spread))
 
 
 def refine_large(points: DataFrame, centres: list[tuple[float, float]], weight: str = "orders", profile: Profile = RUPEE, rounds: int = 400, tol_km: float = 1e-3) -> list[tuple[float, float]]:
     """The centres after reweighted steps until they rest, points assigned anew in each."""
-    rows = cut(points.select("lat", "lon", F.col(weight).cast("double").alias("w"), F.xxhash64("dataset", "ord").alias("h")))
+    rows = _by_place(points.select("lat", "lon", F.col(weight).cast("double").alias("w")))
     return _refined(rows, {0: np.array(centres, float)}, rounds, tol_km, False, profile)
 
 

@@ -196,3 +196,14 @@ def test_pairs_and_headline(spark):
     assert rows[4]["is_optimal"]
     assert abs(rows[4]["saving_pct"] - 32.5) < 0.2
     assert whatif.rising_steps(whatif.k_sweep(sample(spark, "bengaluru_12"), 6, Config())).count() == 0
+
+
+def test_steps_read_a_row_a_place(spark, monkeypatch):
+    rows = [(12 + i % 7 / 10, 77 + i % 5 / 10, 1 + i % 3) for i in range(35)]
+    pts, read, refined = frame(spark, rows * 3), [], solve._refined
+    monkeypatch.setattr(solve, "_refined", lambda some, *rest: read.append(some.count()) or refined(some, *rest))
+    start = [(12.1, 77.1), (12.5, 77.3)]
+    merged = solve.refine_large(pts, start)
+    assert read == [35]
+    one_by_one = refined(pts.select("lat", "lon", F.col("orders").cast("double").alias("w")), {0: np.array(start)}, 400, 1e-3, False, RUPEE)
+    assert np.allclose(merged, one_by_one, rtol=0, atol=1e-9)
