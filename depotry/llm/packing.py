@@ -40,6 +40,7 @@ JOINED, BLOCK = 500, 1 << 19
 #: A piece is large if its length times the first number is more than a sequence; the second is the number of groups.
 #: Rounding up costs about half a group's span for each piece, so groups are many.
 GROUPINGS = ((3, 400), (2.5, 400))
+SLOT_COLUMNS = ["length", "low", "high", "shift", "offset"]
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, row_id long"
 
 
@@ -358,7 +359,8 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int =
             ranks[length] += m
             at += length
         base += m
-    table = spark.createDataFrame(slots, "length long, low long, high long, shift long, offset long")
+    # An Arrow table goes to the JVM as it is; a list of rows would pass through plain Python workers, which stay beside the Arrow ones.
+    table = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in (zip(*slots, strict=True) if slots else [()] * len(SLOT_COLUMNS))], SLOT_COLUMNS))
 
     buckets = int(max(256, counts.sum() // 20_000))
     marked = pieces.drop("ids").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "row_id"), F.lit(buckets)))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depotry.llm.docstats import COUNTS, text_counts
-from depotry.llm.shared import forget
+from depotry.llm.shared import forget, small_batches
 
 MOST_LABELLED = 20_000
 BINS, COARSE, PAIRS = 64, 16, 6
@@ -154,9 +154,11 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Additive:
     """Fit to ``labels(doc_id, quality)`` of the documents, at most ``most`` of them."""
+    small_batches(docs.sparkSession)
     some = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             x = features(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
@@ -170,6 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Addi
 
 def score(docs: DataFrame, model: Additive, threshold: float = 0.7, keep_text: bool = False) -> DataFrame:
     """The columns of ``docs`` (its text only if asked for) with ``score`` and ``predicted``."""
+    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c.lower() not in RESULTS and (keep_text or c.lower() != "text")]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 

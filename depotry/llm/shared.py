@@ -41,6 +41,12 @@ def shared_folder(spark: SparkSession) -> str:
     return at if "://" in at or at.startswith("file:") else f"file://{os.path.abspath(at)}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows if they are larger."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), unquote(urlparse(uri).path)
@@ -58,8 +64,7 @@ class Workspace:
         fs, path = _fs(self.uri)
         fs.create_dir(path, recursive=True)
         atexit.register(self.remove)
-        if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
-            spark.conf.set(_BATCH, str(BATCH_ROWS))
+        small_batches(spark)
 
     def table(self, df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
         """``df`` written as Parquet and read again: cuts the lineage, survives lost executors.
@@ -171,6 +176,7 @@ def once(key: str, make):  # noqa: ANN001, ANN201
 
 
 def forget() -> None:
-    """Drop a worker's own objects: workers live on between operators, and memory is theirs all the while."""
+    """Drop a worker's own objects and what Arrow keeps of freed batches: workers live on between operators, and memory is theirs all the while."""
     with _LOCK:
         _ONCE.clear()
+    pa.default_memory_pool().release_unused()

@@ -139,3 +139,10 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "some words here", "x", 1)], "doc_id long, text string, SEQUENCE_ID string, bucket int")
     rows = packing.pack(docs, PATH).collect()
     assert [(r["doc_id"], r["piece"], r["offset"]) for r in rows] == [(1, 0, 0)]
+
+
+def test_slots_pass_no_python_worker(spark):
+    docs = spark.createDataFrame([(i, "some text " * i) for i in range(9)], "doc_id long, text string")
+    plan = packing.pack(docs, PATH, 64)._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan
+    assert "ExistingRDD" not in plan

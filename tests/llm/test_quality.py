@@ -100,3 +100,14 @@ def test_scores_equal_brute_force_on_long_repeated_and_clashing_rows(spark):
         assert np.isclose(got[i]["score"], brute_score(model, row))
         assert got[i]["predicted"] == (got[i]["score"] >= 0.7)
     assert got[300]["score"] == got[301]["score"]
+
+
+@pytest.mark.parametrize("step", ["train", "score"])
+def test_batches_are_small_whatever_ran_before(spark, step):
+    docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    if step == "train":
+        quality.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    else:
+        quality.score(docs, quality.fit(np.zeros((0, len(quality.FEATURES))), np.zeros(0)))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"

@@ -82,3 +82,12 @@ def test_components_equal_union_find(spark, seed):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(3), shared.Workspace(spark, "test")).collect()}
     assert got == {x: find(x) for x in list(parent)}
     assert components(spark.createDataFrame([], "a long, b long"), shared.Workspace(spark, "test")).count() == 0
+
+
+def test_forget_gives_back_what_arrow_keeps(monkeypatch):
+    released = []
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: released.append(1)})())
+    shared.once("own object", list)
+    shared.forget()
+    assert released
+    assert "own object" not in shared._ONCE
