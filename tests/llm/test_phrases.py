@@ -100,3 +100,21 @@ def test_large_products(spark):
     frequent = spark.createDataFrame([("en", "a", 1, 10**12), ("en", "b", 1, 10**12), ("en", "a b", 2, 10**12 - 1)], "lang string, phrase string, n_words int, f long")
     row = phrases.score_phrases(frequent, spark.createDataFrame([("en", 10**14)], "lang string, n long")).first()
     assert row["score"] == 1000 * (10**12 - 1) * 10**14 // 10**24
+
+
+def test_sketch_grows_with_the_text(spark, monkeypatch):
+    """Rare n-grams outnumber the cells of the narrowest sketch by more than the least count, and still hardly any passes."""
+    monkeypatch.setattr(phrases, "WIDTH", 8)
+    rows = [("en", f"new york city w{i} x{i * 7} y{i * 11} z{i * 13}") for i in range(4000)] + [("de", f"a{i} b{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(6)
+    size = sum(len(t) for _, t in rows)
+    work, width = phrases.Workspace(spark, "test"), phrases.sketch_width(size)
+    folder = phrases.sketch_corpus(work, docs, 5, 50, width)
+    bits = np.unpackbits(phrases.get_array(f"{folder}/row-0.bin", "u1"))
+    assert len(bits) == 1 << width > 1 << 8
+    assert sum(counts(rows, 5)[0].values()) / 256 > 50
+    assert bits.mean() < 0.1
+    monkeypatch.setattr(phrases, "HELD_NGRAMS", 5000)
+    monkeypatch.setattr(phrases, "SHARD_BYTES", 20_000)
+    assert sorted(tuple(r) for r in phrases.mine_phrases(docs, 5, 50, 50).collect()) == brute(rows, 5, 50, 50)
+    assert phrases.sketch_width(10**10) - phrases.sketch_width(10**10 >> 3) == 3
