@@ -22,6 +22,11 @@ MOST_IN_ARRAY = 512
 SITES_A_CELL, GRID_STEP, TOP_CELLS = 4, 4, 16
 #: Sites of a data set that the greedy assignment ranks for a point; how many of them a point looks at first.
 MOST_RANKED, WAYS_FIRST = 4096, 8
+#: Turns of a part: groups of points are cut there, so that no row holds more; places times ranks up to which all places are widened at once.
+PART, MOST_WIDENED = 1 << 20, 1_000_000
+_OPEN = (1 << 63) - 1
+_TOLD, _ENDS = "array<struct<x: bigint, over: boolean, turns: array<bigint>>>", "array<struct<t: bigint, i: bigint>>"
+_FILLED = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("r", pa.int64()), ("i", pa.int64())]))]
 
 
 def distances(points: DataFrame, sites: DataFrame, profile: Profile = RUPEE) -> DataFrame:
@@ -210,34 +215,166 @@ def greedy_capacity(points: DataFrame, sites: DataFrame, capacity: int | None, p
 
 
 def greedy_of_many(points: DataFrame, sites: DataFrame, capacity: int | None, profile: Profile = RUPEE, taken: DataFrame | None = None) -> DataFrame:
-    """``greedy_capacity`` for any number of sites: only the nearest ones of a place are ranked, more where those are full.
-
-    Points of one place look at the same sites, so places are searched, not points; time follows the
-    pairs of different places. Points without a position are an error.
+    """``greedy_capacity`` for any number of points and sites, place by place.
+
+    Points of one place with equal orders (a group) look at the same places in the same order, and sites of one
+    place fill in their order, so a round needs no pairs of points and sites: groups tell the places that they
+    look at who comes, a place works out from their numbers at which turn each of its sites closes for each size
+    of orders, and groups choose anew by these turns. Rounds follow the chains of places that push points on to one
+    another, not the sites of a place. Places that tie are compared by the site that is open in turn. Time follows
+    the pairs of different places (``_nearest_places``) and rounds. Points without a position or with no or negative
+    orders are an error.
     """
     number = prefix_sums(sites.select("dataset", "wh_ord", "wh_id", "lat", "lon"), ["dataset"], ["wh_ord", "wh_id", "lat", "lon"], {"i": F.lit(1).cast("long")})
     held = cut(number.withColumn("i", F.col("i") - 1))
-    own = F.array_sort(F.collect_list(F.struct("wh_ord", "i", "wh_id")))
-    spots = cut(held.groupBy("dataset", "lat", "lon").agg(F.min("i").alias("cand_ord"), own.alias("_own")))
-    sizes = held.groupBy("dataset").agg(F.count(F.lit(1)).alias("_n"))
+    room = held.withColumn("room", F.lit(capacity or 0).cast("long"))
+    if taken is not None:
+        room = room.join(taken.select("dataset", F.col("site").alias("i"), "taken"), ["dataset", "i"], "left").withColumn("room", F.col("room") - F.coalesce("taken", F.lit(0)))
+    spots = cut(room.groupBy("dataset", "lat", "lon").agg(F.min("i").alias("cand_ord"), F.array_sort(F.collect_list(F.struct("i", "room"))).alias("_own")))
+    sizes = spots.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
     placed = [F.when(F.col("lat").isNull() | F.col("lon").isNull(), F.raise_error(F.lit("a point has no position")).cast("double")).otherwise(F.col(c)).alias(c) for c in ("lat", "lon")]
-    turns = cut(_in_turn(points).select("dataset", "ord", "id", *placed, "orders", "_pos"))
-
-    def more(told: DataFrame) -> DataFrame:
-        told = cut(told)
-        asked = told.where("_short").select("dataset", "lat", "lon", (F.size("_ways") * 4).alias("want")).groupBy("dataset", "lat", "lon", "want").agg(F.lit(1).alias("_1")).drop("_1")
-        if not asked.limit(1).count():
-            return told
-        found = _nearest_ways(asked, spots, profile).withColumnsRenamed({"_ways": "_more"})
-        wide = told.withColumn("want", F.when(F.col("_short"), F.size("_ways") * 4)).join(found, ["dataset", "lat", "lon", "want"], "left")
-        return wide.withColumn("_ways", F.coalesce("_more", "_ways")).drop("want", "_more")
-
-    first = _nearest_ways(turns.select("dataset", "lat", "lon").distinct().withColumn("want", F.lit(WAYS_FIRST)), spots, profile).drop("want")
-    return _greedy(turns.join(sizes, "dataset").join(first, ["dataset", "lat", "lon"]), capacity, taken, more)
-
-
-def _nearest_ways(places: DataFrame, spots: DataFrame, profile: Profile) -> DataFrame:
-    """``places`` (dataset, lat, lon, want) with ``_ways``: the nearest ``want`` sites, in order. ``spots`` are the sites by place.
+    size = F.when(F.col("orders") >= 0, F.col("orders")).otherwise(F.raise_error(F.lit("a point has no or negative orders")).cast("long")).cast("long")
+    turns = cut(_in_turn(points).select("dataset", "ord", "id", *placed, size.alias("orders"), "_pos"))
+
+    groups = turns.groupBy("dataset", "lat", "lon", "orders", F.floor(F.col("_pos") / PART).alias("part")).agg(F.array_sort(F.collect_list("_pos")).alias("turns"))
+    near = _nearest_places(turns.select("dataset", "lat", "lon").distinct().withColumn("want", F.lit(WAYS_FIRST)), spots, profile).drop("want")
+    state = groups.join(sizes, "dataset").join(near, ["dataset", "lat", "lon"]).select("*", F.lit(1).cast("long").alias("look"), F.expr(f"CAST(array() AS {_TOLD})").alias("told"), F.lit(True).alias("moved"), F.lit(False).alias("short"))
+    state, closings = cut(_told(state, None)), None
+    while capacity:
+        moving = state.agg(F.max("moved").alias("moved"), F.max(F.col("short") & (F.col("look") > F.size("ranks")) & (F.size("ranks") < F.col("n"))).alias("wide")).first()
+        if not moving["moved"]:
+            break
+        if moving["wide"]:
+            state = _widened(state, spots, profile)
+        closings = cut(_closings(state, spots))
+        state = cut(_told(state, closings))
+
+    came = state.select("dataset", "orders", F.explode("told").alias("t")).select("dataset", "orders", "t.*")
+    if closings is not None:
+        came = came.join(closings, ["dataset", "x", "orders"], "left")
+        site = F.when(F.col("over"), F.col("x")).otherwise(F.get(F.filter("ends", lambda e: e["t"] >= F.col("_pos")), F.lit(0))["i"])
+    else:
+        site = F.col("x")
+    chosen = came.withColumn("_pos", F.explode("turns")).select("dataset", "_pos", site.alias("i"))
+    at = held.select("dataset", "i", "wh_id", F.col("lat").alias("_a"), F.col("lon").alias("_b"))
+    km = haversine(F.col("lat"), F.col("lon"), F.col("_a"), F.col("_b"), profile)
+    return turns.join(chosen, ["dataset", "_pos"]).join(at, ["dataset", "i"]).select("dataset", "ord", "id", "wh_id", km.alias("dist_km"))
+
+
+def _told(state: DataFrame, closings: DataFrame | None) -> DataFrame:
+    """``state`` after each group has chosen anew: ``told`` has what it tells each place it looks at, ``moved`` whether that changed.
+
+    A group looks at its nearest ``look`` places and their ties. A place without ``closings`` counts as open.
+    What finds no room there looks further from the next round on (``short``); if there is nothing further, it goes
+    to the nearest site all the same (``over``).
+    """
+    by = ["dataset", "lat", "lon", "orders", "part"]
+    seen = F.filter("ranks", lambda r: r["km"] <= F.element_at("ranks", F.least(F.col("look").cast("int"), F.size("ranks")))["km"])
+    state = state.withColumn("_seen", seen)
+    if closings is not None:
+        asked = state.select(*by, F.explode("_seen").alias("r")).select(*by, "r.*").join(closings, ["dataset", "x", "orders"], "left")
+        met = asked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("km", "x", "ends"))).alias("_met"))
+        state = state.join(met, by)
+    else:
+        state = state.withColumn("_met", F.transform("_seen", lambda r: F.struct(r["km"].alias("km"), r["x"].alias("x"), F.lit(None).cast(_ENDS).alias("ends"))))
+    state = state.withColumn("_last", F.size("_seen") >= F.col("n")).drop("_seen")
+    kept = [*by, "n", "ranks", "look", "turns"]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = {c: b.column(i) for i, c in enumerate([*kept, "_met", "_last"])}
+            at, flat = column["turns"].offsets.to_numpy(), column["turns"].values.to_numpy()
+            sizes, x, over, parts, short = [0], [], [], [], []
+            for r, (met, last) in enumerate(zip(column["_met"].to_pylist(), column["_last"].to_pylist(), strict=True)):
+                turns, lo = flat[at[r] : at[r + 1]], 0
+                for j, place in enumerate(met):
+                    if j and place["km"] == met[j - 1]["km"]:
+                        continue
+                    tier = [(p["x"], [(_OPEN, p["x"])] if p["ends"] is None else [(e["t"], e["i"]) for e in p["ends"]]) for p in met[j:] if p["km"] == place["km"]]
+                    till = max([e[-1][0] for _, e in tier if e], default=0)
+                    hi = lo + int(np.searchsorted(turns[lo:], till, "right"))
+                    mine = turns[lo:hi]
+                    if len(tier) == 1:
+                        came = [mine]
+                    else:
+                        first = np.stack([np.array([i for _, i in e] + [_OPEN])[np.searchsorted([t for t, _ in e], mine)] for _, e in tier])
+                        came = [mine[first.argmin(0) == k] for k in range(len(tier))]
+                    x += [p for p, _ in tier]
+                    over += [False] * len(tier)
+                    parts += came
+                    lo = hi
+                short.append(lo < len(turns) and not last)
+                if lo < len(turns) and last:
+                    x.append(min(p["x"] for p in met if p["km"] == met[0]["km"]))
+                    over.append(True)
+                    parts.append(turns[lo:])
+                sizes.append(len(x))
+            ends = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+            turns = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else [], pa.int64()))
+            told = pa.StructArray.from_arrays([pa.array(x, pa.int64()), pa.array(over, pa.bool_()), turns], ["x", "over", "turns"])
+            told = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), told)
+            yield pa.RecordBatch.from_arrays([*(column[c] for c in by), told, pa.array(short, pa.bool_())], [*by, "_new", "short"])
+
+    types = {f.name: f.dataType.simpleString() for f in state.schema}
+    new = state.select(*kept, "_met", "_last").mapInArrow(choose, ", ".join(f"{c} {types[c]}" for c in by) + f", _new {_TOLD}, short boolean")
+    out = state.drop("_met", "_last", "moved", "short").join(new, by)
+    moved = F.col("short") | (F.col("_new") != F.col("told"))
+    return out.select(*kept, F.col("_new").alias("told"), moved.alias("moved"), "short").withColumn("look", F.when(F.col("short"), F.col("look") * 4).otherwise(F.col("look")))
+
+
+def _closings(state: DataFrame, spots: DataFrame) -> DataFrame:
+    """(dataset, x, orders, ends): the sites of a place that points of this size meet open, in order, each with the last turn that finds it so."""
+    by = ["dataset", "x", "orders", "part"]
+    came = state.select("dataset", "orders", "part", F.explode("told").alias("t")).select(*by[:1], "t.x", *by[2:], "t.over", "t.turns")
+    all_ = F.array_sort(F.flatten(F.collect_list(F.when(~F.col("over"), F.col("turns")))))
+    came = cut(came.groupBy(*by).agg(all_.alias("all"), F.sum(F.when(F.col("over"), F.size("turns")).otherwise(0)).alias("over")))
+    level = F.struct((-F.col("orders")).alias("q"), "part", F.size("all").cast("long").alias("n"), "over")
+    filled = came.groupBy("dataset", "x").agg(F.array_sort(F.collect_list(level)).alias("levels")).join(spots.select("dataset", F.col("cand_ord").alias("x"), "_own"), ["dataset", "x"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for r in range(b.num_rows):
+                own = b.column(3).slice(r, 1).flatten()
+                sites, room = (np.array(own.field(c).to_numpy()) for c in ("i", "room"))
+                levels = [np.array(b.column(2).slice(r, 1).flatten().field(c).to_numpy()) for c in ("q", "part", "n", "over")]
+                edges = np.flatnonzero(np.diff(levels[0], prepend=levels[0][0] - 1)).tolist() + [len(levels[0])]
+                for a, z in zip(edges[:-1], edges[1:], strict=True):
+                    q, upto = -int(levels[0][a]), np.cumsum(levels[2][a:z])
+                    total = int(upto[-1])
+                    takes = np.where(room >= q, np.minimum(room // max(q, 1), total + 1) if q else total + 1, 0)
+                    till = np.cumsum(takes)
+                    used = np.flatnonzero(takes)
+                    full = used[till[used] <= total]
+                    ends = [[] for _ in range(a, z)]
+                    for k, rank in zip(np.searchsorted(upto, till[full]).tolist(), zip(till[full].tolist(), sites[full].tolist(), strict=True), strict=True):
+                        ends[k].append({"r": rank[0] - (int(upto[k - 1]) if k else 0), "i": rank[1]})
+                    if len(full) < len(used):
+                        ends[-1].append({"r": 0, "i": int(sites[used[len(full)]])})
+                    rows += [(b.column(0)[r].as_py(), b.column(1)[r].as_py(), q, int(levels[1][a + k]), e) for k, e in enumerate(ends)]
+                    room = room - q * np.clip(total - (till - takes), 0, takes)
+                    room[0] -= q * int(levels[3][a:z].sum())  # those who find no room anywhere
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _FILLED, strict=True)], [*by, "at"])
+
+    told = filled.select("dataset", "x", "levels", "_own").mapInArrow(fill, "dataset string, x long, orders long, part long, at array<struct<r: bigint, i: bigint>>")
+    ends = F.transform("at", lambda e: F.struct(F.when(e["r"] == 0, F.lit(_OPEN)).otherwise(F.element_at("all", e["r"].cast("int"))).alias("t"), e["i"].alias("i")))
+    return came.join(told, by).groupBy("dataset", "x", "orders").agg(F.array_sort(F.flatten(F.collect_list(ends))).alias("ends"))
+
+
+def _widened(state: DataFrame, spots: DataFrame, profile: Profile) -> DataFrame:
+    """``state`` with more ``ranks`` where groups look further than these go; everywhere if that makes MOST_WIDENED entries at most."""
+    want = F.col("short") & (F.col("look") > F.size("ranks")) & (F.size("ranks") < F.col("n"))
+    asked = state.where(want).groupBy("dataset", "lat", "lon").agg((8 * F.max("look")).cast("int").alias("want"))
+    most, every = asked.agg(F.max("want")).first()[0], state.select("dataset", "lat", "lon").distinct()
+    if every.count() * most <= MOST_WIDENED:
+        asked = every.withColumn("want", F.lit(most))
+    found = _nearest_places(asked, spots, profile).select("dataset", "lat", "lon", F.col("ranks").alias("_more"))
+    return cut(state.join(found, ["dataset", "lat", "lon"], "left").withColumn("ranks", F.when(F.size("_more") > F.size("ranks"), F.col("_more")).otherwise(F.col("ranks"))).drop("_more"))
+
+
+def _nearest_places(places: DataFrame, spots: DataFrame, profile: Profile) -> DataFrame:
+    """``places`` (dataset, lat, lon, want) with ``ranks``: km and number (x) of the nearest ``want`` spots and of what ties with the last, in order.
 
     A block of places keeps, of each block of spots, the nearest ``want`` and what ties with them.
     """
@@ -257,13 +394,12 @@ def _nearest_ways(places: DataFrame, spots: DataFrame, profile: Profile) -> Data
 
     met = meeting(cut(blocks(places)), spots.select("dataset", "cand_ord", "lat", "lon"), PLACES).select("dataset", "_places", "_candidates")
     near = met.mapInArrow(run, "dataset string, lat double, lon double, want int, cand_ord long")
-    where = spots.select("dataset", "cand_ord", F.col("lat").alias("_a"), F.col("lon").alias("_b"), "_own")
+    where = spots.select("dataset", "cand_ord", F.col("lat").alias("_a"), F.col("lon").alias("_b"))
     by = ["dataset", "lat", "lon", "want"]
-    near = near.join(where.drop("_own"), ["dataset", "cand_ord"]).select(*by, F.struct(haversine(F.col("lat"), F.col("lon"), F.col("_a"), F.col("_b"), profile).alias("km"), "cand_ord").alias("s"))
+    near = near.join(where, ["dataset", "cand_ord"]).select(*by, F.struct(haversine(F.col("lat"), F.col("lon"), F.col("_a"), F.col("_b"), profile).alias("km"), F.col("cand_ord").alias("x")).alias("s"))
     near = near.groupBy(*by).agg(F.array_sort(F.collect_list("s")).alias("s"))
-    near = near.withColumn("_far", F.element_at("s", F.least(F.col("want"), F.size("s")))["km"]).select(*by, F.explode(F.filter("s", lambda s: s["km"] <= F.col("_far"))).alias("s"))
-    each = near.select(*by, "s.*").join(where, ["dataset", "cand_ord"]).select(*by, "km", F.explode(F.slice("_own", F.lit(1), F.col("want"))).alias("o"))
-    return each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("km", "o.wh_ord", "o.i", "o.wh_id"))).alias("_ways")).withColumn("_ways", F.slice("_ways", F.lit(1), F.col("want")))
+    far = F.element_at("s", F.least(F.col("want"), F.size("s")))["km"]
+    return near.withColumn("_far", far).select(*by, F.filter("s", lambda s: s["km"] <= F.col("_far")).alias("ranks"))
 
 
 def _in_turn(points: DataFrame) -> DataFrame:

@@ -102,3 +102,27 @@ def test_greedy_of_many_equals_brute_force(spark, monkeypatch):
     got = assign.greedy_of_many(spark.createDataFrame(points, POINT), spark.createDataFrame(sites, SITE), 70).collect()
     assert {(r["dataset"], r["ord"]): r["wh_id"] for r in got} == turn_by_turn(points, sites, 70)
     assert len(got) == 50
+
+
+def test_sites_of_a_place_fill_in_one_round(spark, monkeypatch):
+    """Rounds follow the places that push points on, not the sites of a place; parts of a group change nothing."""
+    written, cut = [], assign.cut
+    monkeypatch.setattr(assign, "cut", lambda df: written.append(1) or cut(df))
+    monkeypatch.setattr(assign, "PART", 7)
+    rng = random.Random(8)
+    points = [("a", i, f"P{i}", 12.8, 77.4, rng.choice((0, 1, 2, 3))) for i in range(90)] + [("a", 90 + i, f"Q{i}", 12.9, 77.4, 2) for i in range(9)]
+    sites = [("a", 5, i, f"W{i}", 12.8, 77.4) for i in range(30)] + [("a", 5, 30, "V", 12.9, 77.4), ("a", 5, 31, "X", 13.0, 77.4)]
+    got = assign.greedy_of_many(spark.createDataFrame(points, POINT), spark.createDataFrame(sites, SITE), 6).collect()
+    assert {(r["dataset"], r["ord"]): r["wh_id"] for r in got} == turn_by_turn(points, sites, 6)
+    assert len(written) < 30
+
+
+def test_places_that_tie_and_full_ones(spark):
+    """Sites of two places as far away are taken in their order; without room the nearest takes all the same; what sites hold before counts."""
+    points = [("a", i, f"P{i}", 0.0, 0.0, (5, 3, 3, 2, 2, 1, 0)[i % 7]) for i in range(35)]
+    sites = [("a", 5, i, f"W{i}", 0.0, (-1.0, 1.0, 2.0)[i % 3]) for i in range(7)]
+    got = assign.greedy_of_many(spark.createDataFrame(points, POINT), spark.createDataFrame(sites, SITE), 9).collect()
+    assert {(r["dataset"], r["ord"]): r["wh_id"] for r in got} == turn_by_turn(points, sites, 9)
+    held = spark.createDataFrame([("a", 0, 9)], "dataset string, site long, taken long")
+    first = assign.greedy_of_many(spark.createDataFrame(points[:1], POINT), spark.createDataFrame(sites, SITE), 9, taken=held).collect()
+    assert [r["wh_id"] for r in first] == ["W1"]
